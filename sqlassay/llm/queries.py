@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, hilbert, langid, mixing, packing
+from . import exact, hilbert, jaccard, langid, media, mixing, packing, token_shards
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(documents(spark, sf_dir))
+    return found.drop("shard", "offset", "length")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.write_token_shards(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op4_exact_dedup, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_exact_dedup, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLES: dict[str, str] = {
