@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, hilbert, jaccard, langid, media, mixing, packing, token_shards
+from . import brown, exact, hilbert, jaccard, langid, media, mixing, packing, token_shards
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("shard", "offset", "length")
 
 
+def op5_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_exact_dedup, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_exact_dedup, op5_class_bigrams, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLES: dict[str, str] = {
