@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, exact, hilbert, jaccard, langid, media, mixing, packing, token_shards
+from . import brown, exact, hilbert, jaccard, langid, media, mixing, packing, suffix, token_shards
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(documents(spark, sf_dir))
     return found.drop("shard", "offset", "length")
@@ -52,7 +56,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_exact_dedup, op5_class_bigrams, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_media_columns, op4_exact_dedup, op5_class_bigrams, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLES: dict[str, str] = {
