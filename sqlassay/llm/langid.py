@@ -92,22 +92,22 @@ def fit(train: DataFrame, bits: int = BITS, train_docs: int = TRAIN_DOCS) -> tup
     return langs, logp.astype(np.float32), np.log(n / n.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """Add lang_pred and score (the posterior probability of that language) to columns ``keep`` of docs.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the language and the posterior probability of it, as ``names``, to columns ``keep`` of docs.
 
     Null texts, and texts without a letter, get 'und' and 0. Only the text is looked at.
     """
     langs, logp, prior = model
     bits = (len(logp) - 1).bit_length() - 1
     shared = ship(docs.sparkSession).sparkContext.broadcast((langs, np.ascontiguousarray(logp.T), prior))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    schema["lang_pred"].nullable = True
+    text = "text" if "text" in keep else "__text"
+    schema = docs.select(*keep, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, table, prior = shared.value
-        names = np.array([*langs, UNKNOWN], object)
+        called = np.array([*langs, UNKNOWN], object)
         for f in frames:
-            texts = [t or "" for t in f["__text"]]
+            texts = [t or "" for t in f[text]]
             best, sure = np.full(len(texts), len(langs)), np.zeros(len(texts))
             for a, b in blocks(texts, BLOCK) if langs else ():
                 grams, first, letter = hashed_ngrams(texts[a:b], bits)
@@ -119,9 +119,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 top = total.argmax(1)
                 best[a:b] = np.where(letter, top, len(langs))
                 sure[a:b] = np.where(letter, 1 / np.exp(total).sum(1), 0)
-            yield f.drop(columns="__text").assign(lang_pred=names[best], score=sure)
+            yield f[keep].assign(**{names[0]: called[best], names[1]: sure})
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(score, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInPandas(score, schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -142,5 +142,6 @@ def identify(docs: DataFrame, keep: list[str], held_out: int = 2, parts: int = 4
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is told with a probability of ``least`` or more."""
-    found = identify(docs, docs.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
+    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
