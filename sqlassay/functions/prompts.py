@@ -60,7 +60,7 @@ def decomposition_class(reply: Column) -> Column:
 def schema_links(reply: Column) -> Column:
     """Names in the brackets that end a schema-linking reply."""
     inside = F.regexp_extract(reply, r"(?is)Schema_links:\s*\[([^\]]*)\]", 1)
-    return F.filter(F.transform(F.split(inside, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_server_error(message: Column) -> Column:

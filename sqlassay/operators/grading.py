@@ -80,15 +80,29 @@ def simple_difficulty(sql: Column) -> Column:
     return F.when(score == 0, "easy").when(score <= 2, "medium").otherwise("hard")
 
 
-def grade_turns(pairs: DataFrame) -> DataFrame:
+#: What a statement without any clause looks like, for grading in place of one that does not parse.
+EMPTY = {
+    "select_items": "array()", "select_columns": "array()", "table_units": "array()", "where_conds": "array()", "where_units": "array()", "connectors": "array()", "group_names": "array()",
+    "group_ids": "array()", "having": "'[]'", "order_by": "''", "has_limit": "false", "keywords": "array()",
+}
+
+
+def grade_turns(pairs: DataFrame, unparsed: str = "zero") -> DataFrame:
     """Grade rows with structs ``pred`` and ``gold`` (see functions.parser) and text ``pred_sql``.
 
     Adds hardness ('unknown' for placeholders), partial (array), exact_match, counted (false
-    where the gold did not parse). A prediction that does not parse scores 0.
+    where the gold did not parse). A prediction that does not parse scores 0 or, with
+    ``unparsed`` "empty", is graded as a statement without any clause.
     """
     placeholder = F.upper(F.trim(F.col("pred_sql"))) == "SELECT 1"
     counted = F.col("gold.error").isNull()
-    graded = counted & ~placeholder & F.col("pred.error").isNull()
+    graded = counted & ~placeholder
+    if unparsed == "empty":
+        kinds = {f.name: f.dataType.simpleString() for f in pairs.schema["pred"].dataType.fields}
+        blank = [F.coalesce(f"pred.{c}", F.expr(v).cast(kinds[c])).alias(c) if (v := EMPTY.get(c)) else F.col(f"pred.{c}") for c in kinds]
+        pairs = pairs.withColumn("pred", F.struct(*blank))
+    else:
+        graded = graded & F.col("pred.error").isNull()
     scores = F.when(graded, partial_scores(F.col("pred"), F.col("gold")))
     out = pairs.withColumn("counted", counted | placeholder).withColumn("hardness", F.when(placeholder, "unknown").when(counted, hardness_of(F.col("gold"))))
     out = out.withColumn("partial", scores)

@@ -107,7 +107,7 @@ def single_examples(questions: DataFrame, tables: DataFrame, most_rows: int = 5)
     """Questions with their tables; of repeated table ids the first stays, and a few rows as a sample."""
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.monotonically_increasing_id()))
     once = tables.withColumn("__n", first).filter("__n = 1").drop("__n")
-    t = once.select(F.col("id").alias("table_id"), F.struct("header", F.slice("rows", 1, most_rows).alias("rows"), F.coalesce("name", "id").alias("name"), "types").alias("table"))
+    t = once.select(F.col("id").alias("table_id"), F.struct("header", F.slice("rows", 1, most_rows).alias("rows"), F.coalesce("name", F.col("id").cast("string")).alias("name"), "types").alias("table"))
     return questions.join(t, "table_id", "left").withColumn("db_id", F.col("table_id"))
 
 
@@ -122,7 +122,7 @@ def render_gold(agg: Column, sel: Column, conds: Column, table: str = "table") -
 
 def single_catalog(tables: DataFrame) -> DataFrame:
     """Table records as catalog entries; the first column is the key."""
-    return tables.select(F.col("id").alias("db_id"), F.array(F.coalesce("name", "id")).alias("table_names_original"), F.transform("header", lambda c: F.array(F.lit("0"), c)).alias("column_names_original"), F.col("types").alias("column_types"), F.array(F.lit(0)).alias("primary_keys"), F.array().cast("array<array<int>>").alias("foreign_keys"))
+    return tables.select(F.col("id").alias("db_id"), F.array(F.coalesce("name", F.col("id").cast("string"))).alias("table_names_original"), F.transform("header", lambda c: F.array(F.lit("0"), c)).alias("column_names_original"), F.col("types").alias("column_types"), F.array(F.lit(0)).alias("primary_keys"), F.array().cast("array<array<int>>").alias("foreign_keys"))
 
 
 def column_kinds(rows: Column, header: Column) -> Column:

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sqlassay.plans import dialect, registry, tables, textual  # noqa: F401
+from sqlassay.plans import details, dialect, registry, tables, textual  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Empty on the smallest tables; compared at 0.01 by the driver.
