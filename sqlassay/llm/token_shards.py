@@ -1,6 +1,7 @@
 """Token ids in binary shards, in training order.
 
-Every document is cut into sequences of at most ``SEQUENCE`` ids. Sequences are numbered, and
+Documents, each its ids and an end id, follow one another in a stream for each input split,
+and the stream is cut into sequences of ``SEQUENCE`` ids. Sequences are numbered, and
 a keyed Feistel permutation with cycle-walking sends each number to its global slot: a
 bijection of 0..N-1 that needs no sort and no memory. Rows are dealt by ranges of slots, and
 each range becomes one shard of records of fixed length, so that a reader seeks to any slot
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import scratch, staged
 from .media import filesystem
-from .tokens import blocks, encoder, tokenizer_path
+from .tokens import blocks, encoder, release, tokenizer_path
 
-SEQUENCE = 512
-SHARD_RECORDS = 16384
+SEQUENCE = 2048
+SHARD_RECORDS = 4096
+#: Tasks whose first numbers are broadcast; more are joined.
+MOST_TASKS = 1_000_000
 KEY = 0x5EED
 END = 1
 PAD = 0
@@ -56,29 +60,53 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
-    """All sequences on disk: doc_id, piece, n_tokens, ids (little-endian), and their place (task, local) there."""
+    """All sequences on disk, their ids compressed, and their place (task, local) there.
+
+    doc_ids, doc_starts and doc_lengths say which ids of which documents a sequence has, in
+    turn. Only the last sequence of a split is shorter than ``length``.
+    """
     path = path or tokenizer_path()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        release(words=False)
+        enc, press = encoder(path), zstandard.ZstdCompressor(level=1)
         unit = "<u2" if enc.vocab_size <= 65536 else "<u4"
         task, local = TaskContext.get().partitionId(), 0
+        stream, owner, at, start = np.zeros(0, unit), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def rows(last: bool) -> pd.DataFrame:
+            nonlocal stream, owner, at, start, local
+            out = []
+            ends = np.append(at[1:], len(stream))
+            for a in range(0, len(stream) if last else len(stream) - length + 1, length):
+                b = min(a + length, len(stream))
+                i, j = int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, b, side="left"))
+                low, high = np.maximum(at[i:j], a), np.minimum(ends[i:j], b)
+                ids = stream[a:b].tobytes()
+                out.append((b - a, zlib.crc32(ids), press.compress(ids), owner[i:j], start[i:j] + low - at[i:j], high - low, task, local))
+                local += 1
+            done = len(stream) if last else len(stream) // length * length
+            i = max(0, int(np.searchsorted(at, done, side="right")) - 1) if done < len(stream) else len(at)
+            skip = np.maximum(done - at[i:], 0)
+            stream, owner, start, at = stream[done:], owner[i:], start[i:] + skip, np.maximum(at[i:] - done, 0)
+            return pd.DataFrame(out, columns=["n_tokens", "ids_crc32", "ids", "doc_ids", "doc_starts", "doc_lengths", "task", "local"])
+
         for f in frames:
-            texts, ids = [t or "" for t in f["text"]], f["doc_id"].array
+            texts, names = [t or "" for t in f["text"]], [None if pd.isna(x) else x for x in f["doc_id"]]
             for a, b in blocks(texts):
                 flat, counts = enc.encode(texts[a:b])
-                out, end = [], 0
-                for k, n in enumerate(counts.tolist()):
-                    doc = np.append(flat[end : end + n], np.uint32(END)).astype(unit)
-                    end += n
-                    out += [(a + k, p, len(x), x.tobytes()) for p in range(-(-len(doc) // length)) for x in (doc[p * length : (p + 1) * length],)]
-                rows = pd.DataFrame(out, columns=["row", "piece", "n_tokens", "ids"])
-                yield pd.DataFrame({"doc_id": ids.take(rows.pop("row").to_numpy()), **rows, "task": task, "local": np.arange(local, local + len(rows))})
-                local += len(rows)
+                ends = np.cumsum(counts)
+                at = np.append(at, len(stream) + np.append(0, ends[:-1] + np.arange(1, b - a)))
+                start = np.append(start, np.zeros(b - a, np.int64))
+                owner = owner + names[a:b]
+                stream = np.append(stream, np.insert(flat, ends, END).astype(unit))
+                yield rows(False)
+        yield rows(True)
 
     kind = dict(docs.dtypes)["doc_id"]
     ship(docs.sparkSession)
-    return staged(docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, n_tokens int, ids binary, task int, local long"), "sequences")
+    shape = f"n_tokens int, ids_crc32 long, ids binary, doc_ids array<{kind}>, doc_starts array<long>, doc_lengths array<long>, task int, local long"
+    return staged(docs.select("doc_id", "text").mapInPandas(cut, shape), "sequences")
 
 
 def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -92,19 +120,20 @@ def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(np.int64), n, key))
 
-    # one row per task that wrote sequences: Spark broadcasts it when it is small
+    if per.count() <= MOST_TASKS:
+        first = F.broadcast(first)
     return rows.join(first, "task").withColumn("slot", slot(F.col("local") + F.col("__first"))).drop("task", "local", "__first"), n
 
 
 def write_token_shards(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = SEQUENCE, records: int = SHARD_RECORDS, key: int = KEY) -> DataFrame:
     """Write all documents' sequences as shards in ``folder``; the manifest, one row per sequence.
 
-    Returns doc_id, piece, n_tokens, slot, shard, record, ids_crc32 (over the ids as written).
-    Shard s has slots from s * records on, each ``length`` ids of two bytes (four if the
-    vocabulary needs them), padded with id 0. A shard appears under its name when it is
-    complete, and a task that is run again writes the same bytes. Null text is the end id
-    alone; repeated rows have sequences of their own; an empty table gives no rows and no
-    shards; other columns are ignored.
+    Returns slot, shard, record, n_tokens, ids_crc32 (over the ids as written), doc_ids,
+    doc_starts, doc_lengths. Shard s has slots from s * records on, each ``length`` ids of two
+    bytes (four if the vocabulary needs them), the last of a split padded with id 0. A shard
+    appears under its name when it is complete, and a task that is run again writes the same
+    bytes. Null text is the end id alone; repeated rows are written as often as they occur; an
+    empty table gives no rows and no shards; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-shards")
@@ -115,11 +144,11 @@ def write_token_shards(docs: DataFrame, folder: str | None = None, path: str | N
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = filesystem(folder)
         unit = 2 if encoder(path).vocab_size <= 65536 else 4
-        blank = PAD.to_bytes(unit, "little")
+        blank, press = PAD.to_bytes(unit, "little"), zstandard.ZstdDecompressor()
         now, out, name = -1, None, ""
         for f in frames:
-            crc = []
-            for shard, ids in zip(f["shard"], f["ids"]):
+            for shard, data in zip(f["shard"], f["ids"]):
+                ids = press.decompress(data)
                 if shard != now:
                     if out:
                         out.close()
@@ -127,15 +156,16 @@ def write_token_shards(docs: DataFrame, folder: str | None = None, path: str | N
                     now, name = shard, f"_{uuid.uuid4().hex}.tmp"
                     out = files.open_output_stream(f"{root}/{name}")
                 out.write(ids + blank * (length - len(ids) // unit))
-                crc.append(zlib.crc32(ids))
-            yield f.drop(columns="ids").assign(record=f["slot"] % records, ids_crc32=crc)
+            yield f.assign(record=f["slot"] % records)[names]
         if out:
             out.close()
             files.move(f"{root}/{name}", f"{root}/shard-{now:06d}.bin")
 
     kind = dict(docs.dtypes)["doc_id"]
+    shape = f"slot long, shard int, record long, n_tokens int, ids_crc32 long, doc_ids array<{kind}>, doc_starts array<long>, doc_lengths array<long>"
+    names = [c.split()[0] for c in shape.split(", ")]
     dealt = rows.repartition(max(1, -(-n // records)), "shard").sortWithinPartitions("shard", "slot")
-    return staged(dealt.mapInPandas(write, f"doc_id {kind}, piece int, n_tokens int, slot long, shard int, record long, ids_crc32 long"), "token-manifest")
+    return staged(dealt.mapInPandas(write, shape), "token-manifest")
 
 
 def read_slots(folder: str, first: int, many: int, length: int = SEQUENCE, records: int = SHARD_RECORDS, unit: int = 2) -> np.ndarray:
