@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import unit_hash
-from .tokens import blocks
+from .tokens import blocks, release
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -25,7 +25,7 @@ TRAIN_DOCS = 3000
 #: More languages than this are refused: the matrix is broadcast.
 MOST_LANGS = 512
 UNKNOWN = "und"
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 
 def hashed_ngrams(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -100,14 +100,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     langs, logp, prior = model
     bits = (len(logp) - 1).bit_length() - 1
     shared = ship(docs.sparkSession).sparkContext.broadcast((langs, np.ascontiguousarray(logp.T), prior))
-    text = "text" if "text" in keep else "__text"
-    schema = docs.select(*keep, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         langs, table, prior = shared.value
         called = np.array([*langs, UNKNOWN], object)
-        for f in frames:
-            texts = [t or "" for t in f[text]]
+        for batch in batches:
+            texts = [t or "" for t in batch]
             best, sure = np.full(len(texts), len(langs)), np.zeros(len(texts))
             for a, b in blocks(texts, BLOCK) if langs else ():
                 grams, first, letter = hashed_ngrams(texts[a:b], bits)
@@ -119,9 +117,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 top = total.argmax(1)
                 best[a:b] = np.where(letter, top, len(langs))
                 sure[a:b] = np.where(letter, 1 / np.exp(total).sum(1), 0)
-            yield f[keep].assign(**{names[0]: called[best], names[1]: sure})
+            yield pd.DataFrame({"lang": called[best], "score": sure})
 
-    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInPandas(score, schema)
+    # only the text goes to Python; a struct is taken apart after the rows are back
+    found = docs.withColumn("__found", F.pandas_udf(score, "lang string, score double", F.PandasUDFType.SCALAR_ITER)(F.col("text")))
+    return found.select(*keep, F.col("__found.lang").alias(names[0]), F.col("__found.score").alias(names[1]))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Words kept from one batch to the next; rarer ones are encoded again where they recur.
-CACHE_WORDS = 400_000
+from .words import hash_spans, word_spans
+
+#: Words kept from one batch to the next, at about 30 bytes each; beyond that all are forgotten.
+CACHE_WORDS = 3_000_000
 #: Bytes of text taken at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
 #: Fixed value: how this tokenizer splits a lower-cased ASCII word.
@@ -25,11 +28,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Encodes texts by a word-level tokenizer whose ids do not depend on white space.
+    """Encodes texts by a word-level tokenizer whose ids do not depend on white space or on the case of A-Z.
 
     Such a tokenizer gives a text the ids of its words in turn, so each distinct word is
-    encoded once. Unknown words are encoded many at a time as one text and told apart by the
-    tokens that end a word.
+    encoded once. Words are told apart by 64-bit hashes, found for a whole batch in numpy.
+    Unknown ones are encoded many at a time as one text and told apart by the tokens that end
+    a word.
     """
 
     def __init__(self, path: str):
@@ -39,79 +43,87 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
+        self.unit = np.uint16 if self.vocab_size <= 65536 else np.uint32
         self.ends = np.zeros(self.vocab_size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
+        # sorted runs of (hashes, first id, number of ids); ids lie in one array
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids = np.zeros(1 << 16, self.unit)
         self.used = 0
-        self.starts: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.counts: list[np.ndarray] = [np.zeros(0, np.int64)]
 
-    def _add(self, words: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts.append(self.used + np.cumsum(counts) - counts)
-        self.counts.append(counts)
-        self.used += len(flat)
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words))))
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), self.unit), np.array([len(x) for x in found], np.int64)
 
-    def _one_by_one(self, words: list[bytes]) -> None:
-        if words:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            self._add(words, np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64))
+    def _together(self, words: list[bytes], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.unit)
+        ends, want = np.flatnonzero(self.ends[flat]), np.cumsum(pieces)
+        if len(ends) != want[-1] or ends[-1] != len(flat) - 1:
+            return self._one_by_one(words)
+        return flat, np.diff(ends[want - 1], prepend=-1)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words (each once) under their hashes."""
         plain, pieces, odd = [], [], []
-        for w in words:
+        for k, w in enumerate(words):
             if _PLAIN.fullmatch(w):
                 low = w.lower()
-                plain.append(w)
+                plain.append(k)
                 pieces.append(1 if low.isalpha() else len(_PIECES.findall(low.decode())))
-            elif (t := w.decode()).isalpha():
-                plain.append(w)
+            elif w.decode().isalpha():
+                plain.append(k)
                 pieces.append(1)
             else:
-                odd.append(w)
-        self._one_by_one(odd)
+                odd.append(k)
+        many, order, parts = np.array(pieces, np.int64), [], []
         for k in range(0, len(plain), 2000):
-            part, want = plain[k : k + 2000], np.cumsum(pieces[k : k + 2000])
-            text = b" ".join(part).decode()
-            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[flat])
-            if len(ends) != want[-1] or ends[-1] != len(flat) - 1:
-                self._one_by_one(part)
-            else:
-                self._add(part, flat, np.diff(ends[want - 1], prepend=-1))
+            order += plain[k : k + 2000]
+            parts.append(self._together([words[i] for i in plain[k : k + 2000]], many[k : k + 2000]))
+        if odd:
+            order += odd
+            parts.append(self._one_by_one([words[i] for i in odd]))
+        flat, counts = (np.concatenate(x) for x in zip(*parts))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        run = hashes[order], self.used + np.cumsum(counts) - counts, counts
+        self.used += len(flat)
+        self.runs.append(tuple(x[np.argsort(run[0])] for x in run))
+        if len(self.runs) > 6:
+            every = [np.concatenate(x) for x in zip(*self.runs)]
+            by = np.argsort(every[0])
+            self.runs = [tuple(x[by] for x in every)]
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each hash; -1 where it is unknown."""
+        start, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        for names, at, n in self.runs:
+            k = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            hit = names[k] == h
+            start[hit], count[hit] = at[k[hit]], n[k[hit]]
+        return start, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many belong to each text."""
-        if len(self.known) > CACHE_WORDS:
+        if sum(len(r[0]) for r in self.runs) > CACHE_WORDS:
             self._clear()
-        split = [t.encode().split() for t in texts]
-        kept = (len(self.known), self.used, len(self.starts))
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        self._learn(new)
-        if len(self.starts) > 1:
-            self.starts, self.counts = [np.concatenate(self.starts)], [np.concatenate(self.counts)]
-        starts, counts = self.starts[0], self.counts[0]
-        get = self.known.__getitem__
-        n_words = np.array([len(ws) for ws in split], np.int64)
-        index = np.fromiter((get(w) for ws in split for w in ws), np.int64, int(n_words.sum()))
-        lens = counts[index]
+        data, first, size, per = word_spans([t.encode() for t in texts])
+        if not len(first):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        h, at, index = np.unique(hash_spans(data, first, size), return_index=True, return_inverse=True)
+        start, count = self._find(h)
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            a, n, raw = first[at[new]], size[at[new]], data.tobytes()
+            self._learn(h[new], [raw[x : x + y] for x, y in zip(a.tolist(), n.tolist())])
+            start[new], count[new] = self._find(h[new])
+        lens = count[index]
         total = np.concatenate([[0], np.cumsum(lens)])
-        flat = self.ids[np.repeat(starts[index] - total[:-1], lens) + np.arange(total[-1])]
-        ends = total[np.cumsum(n_words)] if len(texts) else np.zeros(0, np.int64)
-        per_text = np.diff(ends, prepend=0)
-        if len(self.known) > CACHE_WORDS and kept[0] > CACHE_WORDS // 2:  # full: keep what came first, which holds the frequent words
-            for w in list(self.known)[kept[0] :]:
-                del self.known[w]
-            self.used, self.starts, self.counts = kept[1], [starts[: kept[0]]], [counts[: kept[0]]]
-        return flat, per_text
+        flat = self.ids[np.repeat(start[index] - total[:-1], lens) + np.arange(total[-1])].astype(np.uint32)
+        return flat, np.diff(total[np.cumsum(per)], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -120,6 +132,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def release(words: bool = True) -> None:
+    """Give memory of earlier work back to the system: Python workers outlive stages, and so would their caches."""
+    if words:
+        _encoders.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts with about ``limit`` characters; a longer text is a run of its own."""
     a = size = 0
