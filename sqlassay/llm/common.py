@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,13 +31,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hpath)
     fs.deleteOnExit(hpath)
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    whole = fs.makeQualified(hpath).toString()  # with its scheme, for readers that are not Hadoop's
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def staged(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
@@ -79,3 +79,45 @@ def running_total(df: DataFrame, groups: list[str], bucket: str, order: list, va
 def buckets_for(rows: Column, rows_each: int = 512, most: int = 65536) -> Column:
     """How many buckets a group of so many rows is dealt into."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(rows / F.lit(rows_each)))).cast("int")
+
+
+def only_ids(rows: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """``rows`` without most of those whose ``column`` (long) is not in ``ids``, before they are shuffled.
+
+    A Bloom filter of 16 bits an id, of ``most_bits`` at most (32 MB), is put together from
+    segments and broadcast. It keeps all that must be kept; beyond its size it drops less.
+    """
+    spark = ship(rows.sparkSession)
+    n = ids.count()
+    power = min(max(n * 16, 1 << 16), most_bits).bit_length() - 1
+    segment = 1 << min(power, 20)
+
+    def places(x: np.ndarray) -> np.ndarray:
+        a = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        b = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.stack([(a >> np.uint64(64 - power)), (b >> np.uint64(64 - power))]).astype(np.int64)
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits: dict[int, np.ndarray] = {}
+        for f in frames:
+            at = places(f[column].to_numpy()).ravel()
+            for s in np.unique(at // segment).tolist():
+                bits.setdefault(s, np.zeros(segment, bool))[at[at // segment == s] % segment] = True
+        yield pd.DataFrame([(s, np.packbits(b).tobytes()) for s, b in bits.items()], columns=["s", "bits"])
+
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
+        both = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in f["bits"]]))
+        return pd.DataFrame({"s": f["s"][:1], "bits": [both.tobytes()]})
+
+    whole = np.zeros((1 << power) // 8, np.uint8)
+    shape = "s long, bits binary"
+    for r in ids.select(column).mapInPandas(mark, shape).groupBy("s").applyInPandas(merge, shape).toLocalIterator():
+        whole[r["s"] * segment // 8 : (r["s"] + 1) * segment // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series) -> pd.Series:
+        at = places(x.to_numpy())
+        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7))) & 1).all(0))
+
+    return rows.filter(may(F.col(column)))
