@@ -1,11 +1,14 @@
 """Language-model scores by a class-based bigram model (Brown).
 
-Words belong to units: each of the most frequent words is one, every other word belongs to
-the unit of its shape (its last bytes and its length). Exchange clustering assigns units, and
-so all words, to classes. The probability of a word after another is that of its class after
-the other's class, times that of its unit in the class, times that of the word in its unit,
-each smoothed. Word counts cover the whole training text and stay distributed; what the
-driver holds is bounded by the number of units.
+Every word that occurs ``LEAST`` times in training has a class of its own by exchange
+clustering; only rarer and unseen words go by their shape (last bytes and length). The most
+frequent words and the shapes are exchanged first, on the driver. From there on all words are
+exchanged in rounds: their counts by class of the neighbours are added up over the cluster,
+and in each round half the words, by their hash, move where the bigram likelihood rises most.
+The best assignment seen is kept. The probability of a word after another is that of its
+class after the other's class, times that of the word (or its shape and the word in it) in
+the class, each smoothed. Texts are kept on disk as numbers of words; a worker holds class
+and count of each clustered word, 6 bytes a word.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import staged
+from .common import running_total, staged
 from .langid import fold
 from .tokens import blocks
 from .words import hash_spans, mix64, word_spans
@@ -28,6 +32,10 @@ SHAPES = 512
 CLASSES = 64
 SWEEPS = 8
 ALPHA = 0.1
+#: Words that occur so often in training are clustered.
+LEAST = 2
+#: Rounds of exchange over all clustered words; half of them may move in each.
+ROUNDS = 4
 #: A word table with more rows than this is joined instead of read by every worker (12 bytes a row).
 TABLE_ROWS = 8_000_000
 BLOCK = 2_000_000
@@ -89,39 +97,210 @@ def word_counts(train: DataFrame) -> DataFrame:
     return staged(found.groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "word-counts")
 
 
-def unit_bigrams(train: DataFrame, core: np.ndarray) -> np.ndarray:
-    """How often each unit follows each, over the whole training text; a text begins after its end unit."""
-    units = len(core) + SHAPES
-    shared = ship(train.sparkSession).sparkContext.broadcast(core)
+def word_table(train: DataFrame) -> DataFrame:
+    """On disk: h, shape, n and place of every training token; clustered words are numbered by hash, others have -1."""
+    counts = word_counts(train)
+    often = counts.filter(F.col("n") >= LEAST).withColumn("__bucket", F.shiftright("h", 48).cast("int"))
+    often = running_total(often, [], "__bucket", ["h"], None, "place").drop("__bucket")
+    rare = counts.filter(F.col("n") < LEAST).withColumn("place", F.lit(-1).cast("long"))
+    return staged(often.unionByName(rare).withColumn("place", F.col("place").cast("int")), "words")
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(units * units, np.int64)
-        for f in frames:
-            texts = [(t or "").encode() for t in f["text"]]
+
+def unit_streams(docs: DataFrame, table: DataFrame, words: int, joined: bool) -> DataFrame:
+    """On disk: doc_id, held_out and the unit of every token: its place, or ``words`` + 2 * shape + (seen in training)."""
+    kind = dict(docs.dtypes)["doc_id"]
+    path = table.staged_at
+    head = f"doc_id {kind}, held_out boolean"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for a, b in blocks(texts, BLOCK):
-                u, before = unit_pairs(*tokens(texts[a:b]), shared.value)
-                key, n = np.unique(before * units + u, return_counts=True)
-                total[key] += n
+                h, shape, per = tokens(texts[a:b])
+                part = [batch.column("doc_id")[a:b], batch.column("held_out")[a:b]]
+                ends = np.append(0, np.cumsum(per)).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+                if joined:
+                    rows = pa.array(np.arange(number, number + b - a))
+                    number += b - a
+                    yield pa.RecordBatch.from_arrays([*part, rows, lists(h.view(np.int64)), lists(shape)], ["doc_id", "held_out", "row", "h", "shape"])
+                else:
+                    names, place = _table(path)
+                    at = lookup(h, names)
+                    unit = words + 2 * shape + (at >= 0)
+                    if len(names):
+                        unit = np.where((at >= 0) & (place[at] >= 0), place[at], unit)
+                    yield pa.RecordBatch.from_arrays([*part, lists(unit.astype(np.int32))], ["doc_id", "held_out", "units"])
+
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", "held_out", "text")
+    if not joined:
+        return staged(rows.mapInArrow(cut, f"{head}, units array<int>"), "units")
+    wide = staged(rows.mapInArrow(cut, f"{head}, row long, h array<long>, shape array<int>"), "tokens")
+    each = wide.select("row", F.posexplode(F.arrays_zip("h", "shape")).alias("at", "x")).select("row", "at", F.col("x.h").alias("h"), F.col("x.shape").alias("shape"))
+    each = each.join(table.select("h", "place"), "h", "left")
+    unit = F.when(F.col("place") >= 0, F.col("place")).otherwise(F.col("shape") * 2 + F.col("place").isNotNull().cast("int") + words)
+    lists = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", unit.cast("int").alias("u")))).alias("x"))
+    return staged(wide.select("row", "doc_id", "held_out").join(lists, "row").select("doc_id", "held_out", F.col("x.u").alias("units")), "units")
+
+
+def _stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of all texts of a batch, the units before them (a text's last one, its end, before its first), and each text's first place."""
+    units = batch.column("units")
+    u, per = units.flatten().to_numpy().astype(np.int64), units.value_lengths().to_numpy().astype(np.int64)
+    first = np.cumsum(per) - per
+    before = np.roll(u, 1)
+    before[first] = u[first + per - 1]
+    return u, before, first
+
+
+def _labels(path: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Label and count of every clustered word by its place; read once by a worker."""
+    if path not in _tables:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSelector
+
+        from .media import filesystem
+
+        files, root = filesystem(path)
+        label, n = np.zeros(words, np.int16), np.zeros(words, np.uint32)
+        for p in files.get_file_info(FileSelector(root)):
+            if p.path.endswith(".parquet"):
+                t = pq.read_table(p.path, columns=["place", "label", "n"], filesystem=files)
+                at = t["place"].to_numpy()
+                label[at], n[at] = t["label"].to_numpy(), np.minimum(t["n"].to_numpy(), 2**32 - 1)
+        _tables.clear()
+        _tables[path] = label, n
+    return _tables[path]
+
+
+def _called(u: np.ndarray, words: int, label: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """The label of every unit."""
+    out = shapes[np.maximum(u - words, 0) >> 1]
+    some = np.flatnonzero(u < words)
+    out[some] = label[u[some]]
+    return out
+
+
+def label_bigrams(train: DataFrame, labels: DataFrame, shapes: np.ndarray, words: int, size: int) -> np.ndarray:
+    """How often each label follows each, over the whole training text."""
+    path = labels.staged_at
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            u, before, _ = _stream(batch)
+            label, _ = _labels(path, words)
+            key = _called(before, words, label, shapes) * size + _called(u, words, label, shapes)
+            total += np.bincount(key, minlength=size * size)
         some = np.flatnonzero(total)
         for k in range(0, len(some), 200_000):
-            yield pd.DataFrame({"k": some[k : k + 200_000].astype(np.int32), "n": total[some[k : k + 200_000]]})
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 200_000].astype(np.int32)), pa.array(total[some[k : k + 200_000]])], ["k", "n"])
 
-    rows = train.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    # at most units squared counts, as one blob for each of them at most
-    out = np.zeros(units * units, np.int64)
-    blobs = rows.groupBy((F.col("k") / units).cast("int").alias("row")).agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("x"))
+    ship(train.sparkSession)
+    rows = train.select("units").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    # at most size squared counts, as one blob for each row of them at most
+    out = np.zeros(size * size, np.int64)
+    blobs = rows.groupBy((F.col("k") / size).cast("int").alias("row")).agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("x"))
     for r in blobs.select(F.col("x.k").alias("k"), F.col("x.n").alias("n")).toPandas().itertuples():
         out[np.asarray(r.k)] = np.asarray(r.n)
-    return out.reshape(units, units)
+    return out.reshape(size, size)
 
 
-def unit_pairs(h: np.ndarray, shape: np.ndarray, per: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit of every token, and of the one before it (the end's before a text's first)."""
-    at = lookup(h, core)
-    u = np.where(at >= 0, at, len(core) + shape)
-    before = np.roll(u, 1)
-    before[np.cumsum(per) - per] = int(np.searchsorted(core, END_HASH))
-    return u, before
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-9))
+
+
+def likelihood(pair: np.ndarray) -> float:
+    """Of the training text under class bigrams, without the part that classes do not change."""
+    return float(_xlogx(pair.astype(float)).sum() - _xlogx(pair.sum(1).astype(float)).sum() - _xlogx(pair.sum(0).astype(float)).sum())
+
+
+def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, own: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The class in which each word adds most to the likelihood, all others staying.
+
+    Entries (who, k, n), sorted by who: n times the neighbour's class is k (after the word), or
+    k - classes (before it). own: each word's class.
+    """
+    classes, words = len(pair), len(own)
+    pair = pair.astype(float)
+    rows, cols = pair.sum(1), pair.sum(0)
+    lines = np.concatenate([pair.T, pair])  # by k: the counts with each class a word may be in
+    gain = np.zeros((words, classes))
+    freq = np.bincount(who, n * (k < classes), words)[:, None]
+    for a in range(0, len(who), 50_000):
+        w, line, x = who[a : a + 50_000], lines[k[a : a + 50_000]], n[a : a + 50_000].astype(float)
+        add = _xlogx(line + x[:, None]) - _xlogx(line)
+        at = np.arange(len(w)), own[w]
+        stays = line[at]
+        add[at] = _xlogx(stays) - _xlogx(np.maximum(stays - x, 0))
+        start = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[start]] += np.add.reduceat(add, start)
+    for total in (rows, cols):
+        lost = _xlogx(total + freq) - _xlogx(np.broadcast_to(total, gain.shape))
+        at = np.arange(words), own
+        lost[at] = _xlogx(total[own]) - _xlogx(np.maximum(total[own] - freq[:, 0], 0))
+        gain -= lost
+    best = gain.argmax(1)
+    return np.where(gain[np.arange(words), best] > gain[np.arange(words), own] + 1e-6, best, own)
+
+
+def exchange_round(train: DataFrame, labels: DataFrame, shapes: np.ndarray, words: int, pair: np.ndarray, turn: int) -> DataFrame:
+    """On disk, the labels after half the words, those of one parity, have moved to their best class."""
+    path, classes = labels.staged_at, len(pair)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def total():
+            key, n = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept])
+            names, at = np.unique(key, return_inverse=True)
+            return names, np.bincount(at, n, len(names)).astype(np.int64)
+
+        def rows(key, n):
+            who = key // (2 * classes)
+            start = np.flatnonzero(np.diff(who, prepend=-1))
+            for a in range(0, len(start), 50_000):
+                s = start[a : a + 50_000]
+                end = start[a + 50_000] if a + 50_000 < len(start) else len(key)
+                cuts = pa.array(np.append(s, end).astype(np.int32) - np.int32(s[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(who[s].astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array((key[s[0] : end] % (2 * classes)).astype(np.int16))), pa.ListArray.from_arrays(cuts, pa.array(n[s[0] : end]))], ["place", "k", "n"])
+
+        for batch in batches:
+            u, before, _ = _stream(batch)
+            label, _ = _labels(path, words)
+            after, to = _called(u, words, label, shapes), _called(before, words, label, shapes)
+            own, left = (u < words) & (u % 2 == turn % 2), (before < words) & (before % 2 == turn % 2)
+            key = np.concatenate([before[left] * 2 * classes + after[left], u[own] * 2 * classes + classes + to[own]])
+            kept.append(np.unique(key, return_counts=True))
+            if len(kept) >= 16:
+                kept = [total()]
+                if len(kept[0][0]) > 2_000_000:
+                    yield from rows(*kept[0])
+                    kept = []
+        if kept:
+            yield from rows(*total())
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, _ = _labels(path, words)
+            place, per = batch.column("place").to_numpy(), batch.column("k").value_lengths().to_numpy()
+            k, n = batch.column("k").flatten().to_numpy().astype(np.int64), batch.column("n").flatten().to_numpy()
+            key, at = np.unique(np.repeat(np.arange(len(place)), per) * 2 * classes + k, return_inverse=True)
+            n = np.bincount(at, n, len(key))
+            best = best_class(key // (2 * classes), key % (2 * classes), n, label[place].astype(np.int64), pair)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(best.astype(np.int32))], ["place", "to"])
+
+    ship(train.sparkSession)
+    found = train.select("units").mapInArrow(count, "place int, k array<short>, n array<long>")
+    found = found.groupBy("place").agg(F.flatten(F.collect_list("k")).alias("k"), F.flatten(F.collect_list("n")).alias("n"))
+    moved = found.mapInArrow(choose, "place int, to int")
+    return staged(labels.join(moved, "place", "left").select("place", "n", F.coalesce("to", "label").alias("label")), "classes")
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -176,38 +355,49 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return cls
 
 
-def fit(train: DataFrame, counts: DataFrame) -> dict:
-    """The bounded part of the model: core words, log10 of class and unit probabilities, and totals."""
-    whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    end = F.col("h") == int(END_HASH.view(np.int64))
-    top = counts.orderBy(end.desc(), F.desc("n"), "h").limit(CORE + 1).select("h", "n").toPandas()
-    core = top["h"].to_numpy(np.int64).view(np.uint64)
-    if END_HASH not in core:
-        core, top = np.append(core, END_HASH), pd.concat([top, pd.DataFrame({"h": [int(END_HASH.view(np.int64))], "n": [0]})])
-    order = np.argsort(core)
-    core, core_n = core[order], top["n"].to_numpy(np.int64)[order]
-    rare = counts.filter(~F.col("h").isin([int(x) for x in core.view(np.int64)]))
+def cluster(train: DataFrame, table: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Classes of all clustered words (place, n, label; on disk), of the shapes, and how often each class follows each."""
+    often = table.filter("place >= 0")
+    core = [r["h"] for r in often.orderBy(F.desc("n"), "h").limit(CORE).select("h").collect()]
+    first = train.sparkSession.createDataFrame([(h, k) for k, h in enumerate(core)], "h long, core int")
+    shapes = np.arange(CORE, CORE + SHAPES)
+    start = often.join(F.broadcast(first), "h", "left").select("place", "n", F.coalesce("core", F.col("shape") + CORE).alias("label"))
+    start = staged(start, "coarse")
+    cls = exchange(label_bigrams(train, start, shapes, words, CORE + SHAPES))
+    # a class for every coarse unit: all words begin where their unit is
+    classes = F.element_at(F.lit(cls.tolist()), F.col("label") + 1).cast("int")
+    labels, shapes = staged(start.select("place", "n", classes.alias("label")), "classes"), cls[CORE:]
+    pair = label_bigrams(train, labels, shapes, words, CLASSES)
+    for turn in range(ROUNDS if words else 0):
+        moved = exchange_round(train, labels, shapes, words, pair, turn)
+        now = label_bigrams(train, moved, shapes, words, CLASSES)
+        if likelihood(now) <= likelihood(pair):
+            continue
+        labels, pair = moved, now
+    return labels, shapes, pair
+
+
+def fit(train: DataFrame, table: DataFrame, words: int) -> dict:
+    """The bounded part of the model: log10 of class and shape probabilities, class totals; and where the words' classes are."""
+    whole = table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    labels, shapes, pair = cluster(train, table, words)
     shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for r in table.filter("place < 0").groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         shape_n[r["shape"]], shape_v[r["shape"]] = r["n"], r["v"]
-    bigrams = unit_bigrams(train, core)
-    cls = exchange(bigrams)
-    unit_n = np.concatenate([core_n, shape_n])
-    class_n = np.bincount(cls, unit_n, CLASSES)
-    many = np.bincount(cls, minlength=CLASSES)
-    pair = np.zeros((CLASSES, CLASSES))
-    np.add.at(pair, (cls[:, None], cls[None, :]), bigrams)
-    after = np.log10((pair + ALPHA) / (pair.sum(1, keepdims=True) + ALPHA * CLASSES))
+    class_n, many = np.bincount(shapes, shape_n, CLASSES), np.bincount(shapes, minlength=CLASSES)
+    for r in labels.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        class_n[r["label"]] += r["n"]
+        many[r["label"]] += r["v"]
+    inside = np.log10(class_n + ALPHA * np.maximum(many, 1))
     return {
-        "core": core, "core_n": core_n, "cls": cls, "after": after, "unit": np.log10((unit_n + ALPHA) / (class_n + ALPHA * many)[cls]),
-        "rest": np.log10(shape_n + shape_v + 1), "n": int(whole["n"] or 0), "v": int(whole["v"] or 0),
+        "labels": labels.staged_at, "shapes": shapes, "after": np.log10((pair + ALPHA) / (pair.sum(1, keepdims=True) + ALPHA * CLASSES)), "inside": inside,
+        "shape": np.log10(shape_n + ALPHA) - inside[shapes] - np.log10(shape_n + shape_v + 1), "words": words, "n": int(whole["n"] or 0), "v": int(whole["v"] or 0),
     }
 
 
 def _table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The staged word table, sorted by hash; read once by a worker."""
+    """The staged word table's hashes, sorted, and their places; read once by a worker."""
     if path not in _tables:
-        import pyarrow as pa
         import pyarrow.parquet as pq
 
         from .media import filesystem
@@ -215,24 +405,15 @@ def _table(path: str) -> tuple[np.ndarray, np.ndarray]:
         files, root = filesystem(path)
         from pyarrow.fs import FileSelector
 
-        parts = [pq.read_table(p.path, columns=["h", "n"], filesystem=files) for p in files.get_file_info(FileSelector(root)) if p.path.endswith(".parquet")]
+        parts = [pq.read_table(p.path, columns=["h", "place"], filesystem=files) for p in files.get_file_info(FileSelector(root)) if p.path.endswith(".parquet")]
         t = pa.concat_tables(parts)
-        h, n = t["h"].to_numpy().view(np.uint64), np.minimum(t["n"].to_numpy(), 2**32 - 1).astype(np.uint32)
+        h, place = t["h"].to_numpy().view(np.uint64), t["place"].to_numpy()
         order = np.argsort(h)
         _tables.clear()
-        _tables[path] = h[order], n[order]
+        _tables[path] = h[order], place[order]
     return _tables[path]
 
 
-def _score_local(texts: list[bytes], model: dict) -> tuple[np.ndarray, ...]:
-    """Of every token: hash, its place in the core or -1, its log10 from classes and units, and its shape; tokens of each text."""
-    h, shape, per = tokens(texts)
-    u, before = unit_pairs(h, shape, per, model["core"])
-    at = np.where(u < len(model["core"]), u, -1)
-    cls = model["cls"]
-    return h, at, model["after"][cls[before], cls[u]] + model["unit"][u], shape, per
-
-
 def score(docs: DataFrame, held_out: int = 2, parts: int = 7, table_rows: int = TABLE_ROWS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -242,73 +423,31 @@ def score(docs: DataFrame, held_out: int = 2, parts: int = 7, table_rows: int =
     """
     spark = ship(docs.sparkSession)
     out = fold(F.col("doc_id"), parts) == held_out
-    train = docs.filter(~out).select("doc_id", "text")
-    counts = word_counts(train)
-    model = fit(train, counts)
+    table = word_table(docs.filter(~out).select("doc_id", "text"))
+    size = table.agg(F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("place") >= 0, 1)).alias("words")).first()
+    words = size["words"]
+    streams = unit_streams(docs.select("doc_id", out.alias("held_out"), "text"), table, words, size["v"] > table_rows)
+    model = fit(streams.filter(~F.col("held_out")), table, words)
     total = model["n"] + model["v"] + 1
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", out.alias("held_out"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    names = "n_tokens long, n_known long, base_score double, score double"
-    if model["v"] <= table_rows:
-        path = counts.staged_at
-
-        def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = shared.value
-            table, number = _table(path)
-            for f in frames:
-                texts = [(t or "").encode() for t in f["text"]]
-                for a, b in blocks(texts, BLOCK):
-                    h, at, own, shape, per = _score_local(texts[a:b], m)
-                    c = np.where(at >= 0, m["core_n"][at], 0).astype(np.float64)
-                    some = np.flatnonzero(at < 0)
-                    where = lookup(h[some], table)
-                    c[some] = np.where(where >= 0, number[where] if len(number) else 0, 0)
-                    own[some] += np.log10(c[some] + 1) - m["rest"][shape[some]]
-                    first = np.cumsum(per) - per
-                    part = f.iloc[a:b][["doc_id", "held_out"]].assign(n_tokens=per, n_known=np.add.reduceat((c > 0).astype(np.int64), first))
-                    yield part.assign(base_score=np.add.reduceat(np.log10((c + 1) / total), first), score=np.add.reduceat(own, first))
-
-        found = rows.mapInPandas(whole, f"doc_id {kind}, held_out boolean, {names}")
-    else:
-        found = _score_joined(rows, counts, shared, kind, total)
-    return found.withColumn("train_tokens", F.lit(model["n"]).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def _score_joined(rows: DataFrame, counts: DataFrame, shared, kind: str, total: int) -> DataFrame:
-    """The same scores with the word table joined, for tables that a worker can't hold.
 
-    Each row has its sum over core words, and its other words with their numbers; these are
-    joined with the table and summed by row.
-    """
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        m, number = shared.value, 0
-        task = TaskContext.get().partitionId()
-        for f in frames:
-            texts = [(t or "").encode() for t in f["text"]]
-            for a, b in blocks(texts, BLOCK):
-                h, at, own, shape, per = _score_local(texts[a:b], m)
-                core = at >= 0
-                own = np.where(core, own, own - m["rest"][shape])
-                c = np.where(core, m["core_n"][at], 0)
-                base = np.where(core, np.log10((c + 1) / total), -np.log10(total))
-                first = np.cumsum(per) - per
-                words, n, end = [], [], 0
-                for k in per.tolist():
-                    name, often = np.unique(h[end : end + k][~core[end : end + k]].view(np.int64), return_counts=True)
-                    words.append(name)
-                    n.append(often)
-                    end += k
-                part = f.iloc[a:b][["doc_id", "held_out"]].assign(row=[(task << 40) + number + k for k in range(b - a)], n_tokens=per, known=np.add.reduceat((core & (c > 0)).astype(np.int64), first))
-                number += b - a
-                yield part.assign(base=np.add.reduceat(base, first), own=np.add.reduceat(own, first), words=words, often=n)
-
-    wide = staged(rows.mapInPandas(spread, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, own double, words array<long>, often array<long>"), "scored")
-    each = wide.select("row", F.explode(F.arrays_zip("words", "often")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.often").alias("often"))
-    gain = F.col("often") * F.log10(F.col("n") + 1)
-    more = each.join(counts.select("h", "n"), "h").groupBy("row").agg(F.sum(gain).alias("gain"), F.sum("often").alias("more"))
-    both = wide.drop("words", "often").join(more, "row", "left").na.fill({"gain": 0.0, "more": 0})
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), (F.col("base") + F.col("gain")).alias("base_score"), (F.col("own") + F.col("gain")).alias("score"))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, before, first = _stream(batch)
+            label, n = _labels(m["labels"], words)
+            cls = _called(u, words, label, m["shapes"])
+            c = (np.maximum(u - words, 0) & 1).astype(np.float64)
+            some, other = np.flatnonzero(u < words), np.flatnonzero(u >= words)
+            c[some] = n[u[some]]
+            own = m["after"][_called(before, words, label, m["shapes"]), cls]
+            own[some] += np.log10(c[some] + ALPHA) - m["inside"][cls[some]]
+            own[other] += m["shape"][(u[other] - words) >> 1] + np.log10(c[other] + 1)
+            sums = [np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10((c + 1) / total), first), np.add.reduceat(own, first)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("units").value_lengths().cast(pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    found = streams.mapInArrow(whole, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.withColumn("train_tokens", F.lit(model["n"]).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sqlassay.llm import brown, exact, hilbert, induced, jaccard, langid, media, mixing, packing, suffix, token_shards
@@ -152,6 +153,21 @@ def test_exchange_finds_classes():
     assert cls[0] == cls[1] != cls[2] == cls[3]
 
 
+def test_class_bigrams_cluster_every_repeated_word(spark, monkeypatch):
+    # words of one shape, outside the core, differ by their neighbours alone
+    monkeypatch.setattr(brown, "CORE", 6)
+    rows = [(k, " ".join(f"le {a}xyz ri la {b}xyz ro" for a, b in zip("abcdefgh", "ijklmnop"))) for k in range(30)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    table = brown.word_table(train)
+    words = table.filter("place >= 0").count()
+    assert words == table.count() == 16 + 4 + 1
+    streams = brown.unit_streams(train, table, words, False)
+    labels = brown.cluster(streams, table, words)[0]
+    of = {r["h"]: r["label"] for r in labels.join(table.select("place", "h"), "place").collect()}
+    h = {w: of[int(brown.tokens([f"{w}xyz".encode()])[0][:1].view(np.int64)[0])] for w in "abcdefghijklmnop"}
+    assert not {h[w] for w in "abcdefgh"} & {h[w] for w in "ijklmnop"}
+
+
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_near_duplicates(table, small_blocks):
     rows = texts(table)
