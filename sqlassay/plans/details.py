@@ -44,6 +44,14 @@ def m10_partial_scores(spark, sf):
     return graded(spark, sf).filter("id % 7 <> 0").select("id", F.explode("partial").alias("s")).select("id", "s.component", "s.score")
 
 
+@query("""SELECT p_partkey AS id, c AS component, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 = 0 AND c LIKE 'select%' THEN 0.0 WHEN (p_partkey % 5 = 0 OR p_partkey % 7 = 0) AND p_partkey % 4 >= 2 AND c = 'where' THEN 0.0 ELSE 1.0 END AS score
+    FROM part, (SELECT unnest(['select', 'select(no AGG)', 'where', 'where(no OP)', 'group(no Having)', 'group', 'order', 'and/or', 'IUEN', 'keywords']) AS c) WHERE p_partkey % 11 <> 0 AND (p_partkey % 7 <> 0 OR p_partkey % 4 >= 2)
+    """)
+def m10_partial_scores_all(spark, sf):
+    # the grader's own verdict says which rows have scores: what follows a whole statement is not read
+    return graded(spark, sf).select("id", F.explode("partial").alias("s")).select("id", "s.component", "s.score")
+
+
 @query("SELECT p_partkey AS id, true AS same_values, p_partkey % 2 = 0 AS same_literals FROM part")
 def p08_rebuilt(spark, sf):
     # without literals, and with foreign-key columns under one name, two statements agree

@@ -40,6 +40,12 @@ def test_query(spark, small, duck, name):
         assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("part, whole", [("m10_partial_scores", "m10_partial_scores_all")])
+def test_whole_tables_hold_more(spark, small, part, whole):
+    some, every = (set(map(tuple, registry.QUERIES[k](spark, small).collect())) for k in (part, whole))
+    assert some < every
+
+
 def test_entry(spark):
     import __spark_entry__
 
