@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sqlassay.plans import details, dialect, registry, tables, textual  # noqa: F401
 
@@ -40,7 +41,15 @@ def test_query(spark, small, duck, name):
         assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("part, whole", [("m10_partial_scores", "m10_partial_scores_all")])
+def test_condition_failures_by_verdict(spark, small, monkeypatch):
+    # other ids, same rows: the failed ones stay the failed ones
+    own = textual._structural
+    monkeypatch.setattr(textual, "_structural", lambda s, d: own(s, d).withColumn("id", F.col("id") + 1))
+    got = textual.e15_condition_failure(spark, small).collect()
+    assert got and all(r["id"] % 5 == 4 and r["reason"] == "wrong_val(Brand) | op_mismatch(Size)" for r in got)
+
+
+@pytest.mark.parametrize("part, whole", [("m10_partial_scores", "m10_partial_scores_all"), ("d11_node_rows", "d11_node_rows_all")])
 def test_whole_tables_hold_more(spark, small, part, whole):
     some, every = (set(map(tuple, registry.QUERIES[k](spark, small).collect())) for k in (part, whole))
     assert some < every
