@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import buckets_for, running_total, scratch, staged
 
 BITS = 4
-#: A dimension with more distinct values is quantised by its first two bytes.
-MOST_VALUES = 65536
+#: Ranges that a dimension's values are dealt into, to add up their counts in order.
+RANGES = 1024
 
 
 def hilbert_index(cell: Column, dims: int, bits: int = BITS) -> Column:
@@ -49,19 +49,21 @@ def hilbert_index(cell: Column, dims: int, bits: int = BITS) -> Column:
 
 
 def _cuts(rows: DataFrame, name: str, bits: int) -> tuple[Column, list]:
-    """The column to compare, and at most 2 ** bits - 1 values that part it into equally full cells."""
-    column = F.col(name)
-    if dict(rows.dtypes)[name] == "string":
-        column = F.coalesce(column, F.lit(""))
-        if rows.select(column.alias("v")).distinct().limit(MOST_VALUES + 1).count() > MOST_VALUES:
-            column = F.substring(F.hex(F.encode(column, "UTF-8")), 1, 4)
-    else:
-        column = F.coalesce(column, F.lit(0))
-    counts = rows.groupBy(column.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    share = F.coalesce(F.sum("n").over(before), F.lit(0)) / F.sum("n").over(Window.partitionBy())
-    cells = counts.select("v", F.floor(share * (1 << bits)).alias("cell")).groupBy("cell").agg(F.min("v").alias("v"))
-    return column, sorted(r["v"] for r in cells.collect())[1:]
+    """The column to compare, and at most 2 ** bits - 1 values that part it into equally full cells.
+
+    Whatever the number of distinct values: whole values are counted, dealt into ranges in
+    their order, and the counts before each are added up by range.
+    """
+    column = F.coalesce(F.col(name), F.lit("" if dict(rows.dtypes)[name] == "string" else 0))
+    counts = staged(rows.groupBy(column.alias("v")).agg(F.count(F.lit(1)).alias("n")), "values")
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return column, []
+    # which range a value is in decides where it is added up, not the sum before it
+    ranges = staged(counts.repartitionByRange(RANGES, "v").withColumn("range", F.spark_partition_id()), "ranges")
+    before = running_total(ranges, [], "range", ["v"], "n", "before")
+    cells = before.select("v", F.floor(F.col("before") / F.lit(total) * (1 << bits)).alias("cell")).groupBy("cell").agg(F.min("v").alias("v"))
+    return column, sorted((r["v"] for r in cells.collect()), key=lambda v: v.encode() if isinstance(v, str) else v)[1:]
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:

@@ -230,6 +230,13 @@ def test_hilbert(table, spark):
     assert [r["hilbert"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == sorted(r["hilbert"] for r in got)
 
 
+def test_hilbert_cuts_of_many_values(spark):
+    # more distinct values than 65536, all with one prefix
+    rows = spark.range(70_000).select(F.format_string("source-%06d", "id").alias("source"))
+    _, cuts = hilbert._cuts(rows, "source", 4)
+    assert cuts == [f"source-{-(-70_000 * k // 16):06d}" for k in range(1, 16)]
+
+
 def test_hilbert_curve_is_a_path(spark):
     from pyspark.sql import functions as F
 
