@@ -4,8 +4,9 @@ Every string of ``DEPTH`` bytes has a minimizer: the leftmost of the smallest ha
 ``GRAM``-byte pieces, which the string alone decides. Strings that start next to each other
 and have the same minimizer make up a window. Equal strings lie in windows with equal
 minimizers, so windows are dealt to shards by minimizer, and only those whose minimizer occurs
-twice. Equal windows, as copies make them, are counted before they move. A shard's windows
-that differ under one minimizer are joined to one text, on disk, whose suffixes are sorted by
+twice. A minimizer with very many windows is split: its windows are cut again by the minimizer
+under another hash, until few enough differ. Equal windows, as copies make them, are counted
+before they move. A shard's windows that differ under one minimizer are joined to one text, on disk, whose suffixes are sorted by
 external induced sorting with common prefixes: a string occurs elsewhere if its suffix shares
 ``DEPTH`` bytes with a neighbour.
 """
@@ -31,6 +32,9 @@ DEPTH = 200
 GRAM = 32
 #: Bytes of window text in one shard, on the average.
 SHARD_BYTES = 6_000_000
+#: A minimizer with more windows is split, for as many times at most.
+HOT = 20_000
+LEVELS = 8
 #: Longer texts are cut into windows piece by piece.
 PIECE = 8_000_000
 
@@ -46,7 +50,7 @@ def windows(texts: list[bytes], depth: int = DEPTH, gram: int = GRAM) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 
-def _windows(texts: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, ...]:
+def _windows(texts: list[bytes], depth: int, gram: int, level: int = 0) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < depth:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
@@ -60,7 +64,7 @@ def _windows(texts: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, ...
             h = h[:-span] * power + h[span:]
             power = np.uint64(int(power) ** 2 % 2**64)
             span *= 2
-    h = mix64(total)
+    h = mix64(total + np.uint64(level * 0x632BE59BD9B4E019 % 2**64))
     # the upper 40 bits of the hash, then the place: the least is the leftmost of the smallest
     low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
     count, span, least = depth - gram + 1, 1, low
@@ -104,11 +108,59 @@ def distinct_texts(docs: DataFrame, depth: int) -> DataFrame:
     return staged(docs.select("text").mapInPandas(cut, "tid binary, text binary, starts array<long>, counts array<long>, keys array<long>"), "texts")
 
 
-def window_texts(texts: DataFrame, depth: int) -> DataFrame:
+def split_windows(texts: DataFrame, hot: list[set[int]], depth: int) -> DataFrame:
+    """tid, start, many, key, body (hash of the bytes) of the windows under the ``hot`` keys of each level, cut by one level more."""
+    shared = texts.sparkSession.sparkContext.broadcast([np.array(sorted(x), np.int64) for x in hot])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            who, at, many, key = [], [], [], []
+            for k, (starts, counts, keys) in enumerate(zip(f["starts"], f["counts"], f["keys"])):
+                some = np.isin(keys, shared.value[0])
+                who.append(np.full(int(some.sum()), k)), at.append(starts[some]), many.append(counts[some]), key.append(keys[some])
+            who, at, many, key = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (who, at, many, key))
+            texts = f["text"].tolist()
+            for level in range(1, len(shared.value) + 1):
+                if level > 1:
+                    some = np.isin(key, shared.value[level - 1])
+                    who, at, many, key = who[some], at[some], many[some], key[some]
+                bodies = [texts[w][s : s + n + depth - 1] for w, s, n in zip(who.tolist(), at.tolist(), many.tolist())]
+                parts = []
+                for a, b in blocks(bodies, 1_000_000):
+                    of, start, n, more = _windows(bodies[a:b], depth, GRAM, level)
+                    of = of + a
+                    parts.append((who[of], at[of] + start, n, mix64(key[of].view(np.uint64) * np.uint64(3) + more).view(np.int64)))
+                who, at, many, key = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+            body = [int.from_bytes(hashlib.blake2b(texts[w][s : s + n + depth - 1], digest_size=8).digest(), "little", signed=True) for w, s, n in zip(who.tolist(), at.tolist(), many.tolist())]
+            yield pd.DataFrame({"tid": [f["tid"].iloc[w] for w in who.tolist()], "start": at, "many": many, "key": key, "body": np.array(body, np.int64)})
+
+    ship(texts.sparkSession)
+    return texts.mapInPandas(cut, "tid binary, start long, many long, key long, body long")
+
+
+def window_texts(texts: DataFrame, depth: int, hot: int = HOT) -> DataFrame:
     """On disk, for each window whose minimizer occurs twice: tid, start, key, sid (names its content) and, once a task, the bytes."""
     each = texts.select("tid", F.explode(F.arrays_zip("starts", "counts", "keys")).alias("w")).select("tid", F.col("w.starts").alias("start"), F.col("w.counts").alias("many"), F.col("w.keys").alias("key"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    found = each.join(often, "key").distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "many", "key")).alias("found"))
+    often = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "minimizers")
+    # at most one key for each ``hot`` windows
+    levels = [{r["key"] for r in often.filter(F.col("n") > hot).collect()}]
+    spark, parts = texts.sparkSession, []
+    while levels[-1]:
+        keys = spark.createDataFrame([(k,) for k in sorted(levels[-1])], "key long")
+        each = each.join(F.broadcast(keys), "key", "left_anti").select("tid", "start", "many", "key")
+        parts.append(each.join(often.select("key"), "key"))
+        each = staged(split_windows(texts, levels, depth).distinct(), "split")
+        # equal windows are counted and never move, so that only different ones make a key hot
+        kinds = each.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        often = staged(kinds.filter("n > 1"), "minimizers")
+        each = each.drop("body")
+        if len(levels) == LEVELS:
+            break
+        levels.append({r["key"] for r in often.filter(F.col("kinds") > hot).collect()})
+    found = each.join(often.select("key"), "key")
+    for part in parts:
+        found = found.unionByName(part)
+    found = found.distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "many", "key")).alias("found"))
     # a text that several tasks kept is taken from any one of them
     rows = texts.select("tid", "text").join(found, "tid").dropDuplicates(["tid"])
 
@@ -141,28 +193,46 @@ def repeated_in_shards(found: DataFrame, depth: int, shards: int, limit: int = M
     def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text = tempfile.TemporaryFile()
         names, sizes, sure = [], [], []
-        key, group = None, {}
+        last = alone = None  # the window being read; the first of its minimizer, until there is another
+        many = 0
+
+        def put(w):
+            names.append(w[1])
+            sizes.append(len(w[3]))
+            sure.append(w[2] > 1)
+            text.write(w[3] + bytes([SEPARATOR]))
+
+        def close():
+            nonlocal alone, many
+            if many == 0:
+                alone = last
+            else:
+                if alone is not None:
+                    put(alone)
+                    alone = None
+                put(last)
+            many += 1
 
         def settle():
-            whole = [(sid, data, n) for sid, (n, data) in group.items()]
-            if len(whole) > 1:
-                for sid, data, n in whole:
-                    names.append(sid)
-                    sizes.append(len(data))
-                    sure.append(n > 1)
-                    text.write(data + bytes([SEPARATOR]))
-                return []
-            return [(sid, [0, len(data) - depth + 1]) for sid, data, n in whole if n > 1]
+            nonlocal alone, many
+            out = [(alone[1], [0, len(alone[3]) - depth + 1])] if alone is not None and alone[2] > 1 else []
+            alone, many = None, 0
+            return out
 
         for f in frames:
             out = []
             for k, sid, n, data in zip(f["key"], f["sid"], f["n"], f["data"]):
-                if k != key:
-                    out += settle()
-                    key, group = k, {}
-                had = group.get(sid, (0, None))
-                group[sid] = (had[0] + n, had[1] if data is None else data)
+                if last is not None and (k, sid) == (last[0], last[1]):
+                    last = (k, sid, last[2] + n, last[3] if data is None else data)
+                    continue
+                if last is not None:
+                    close()
+                    if k != last[0]:
+                        out += settle()
+                last = (k, sid, n, data)
             yield pd.DataFrame(out, columns=["sid", "runs"])
+        if last is not None:
+            close()
         yield pd.DataFrame(settle(), columns=["sid", "runs"])
         if not names:
             return
@@ -184,7 +254,7 @@ def repeated_in_shards(found: DataFrame, depth: int, shards: int, limit: int = M
     return dealt.mapInPandas(sort, "sid binary, runs array<long>")
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, limit: int = MEMORY_ENTRIES) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, limit: int = MEMORY_ENTRIES, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte is removed that a ``depth``-byte string covers which starts anywhere else in
@@ -197,7 +267,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD
     copies = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"))
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= depth)
     texts = distinct_texts(docs, depth)
-    found = window_texts(texts, depth)
+    found = window_texts(texts, depth, hot)
     size = found.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     marked = repeated_in_shards(found, depth, max(1, -(-size // shard_bytes)), limit)
     spans = found.select("tid", "start", "sid").join(marked, "sid").groupBy("tid").agg(F.collect_list(F.struct("start", "runs")).alias("marks"))

@@ -97,6 +97,23 @@ def test_repeats(table):
     assert Counter(got) == Counter(want)
 
 
+def test_common_minimizers_are_split(spark):
+    # one phrase in different surroundings in all texts, and a passage that some share around it
+    rng = np.random.default_rng(7)
+    some = lambda n: "".join(rng.choice(list("abcdefghij klmnop"), n))
+    _, at, many, key = suffix.windows([(sea := some(300_000)).encode()], 200, 32)
+    low = int(at[key.argmin()] + many[key.argmin()] - 1)  # the piece of the smallest hash
+    phrase, passage = sea[low : low + 32] + some(8), some(200)
+    rows = [(k, some(150) + phrase + (passage if k % 8 == 0 else some(150)) + some(40)) for k in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [suffix.window_texts(suffix.distinct_texts(table, 200), 200, hot).groupBy("key").agg(F.countDistinct("sid").alias("n")).agg(F.max("n")).first()[0] for hot in (10**9, 20)]
+    assert found[0] > 40 and found[1] <= 20
+    plain, split = (Counter(map(tuple, suffix.remove_repeats(table, shard_bytes=5000, limit=50, hot=hot).collect())) for hot in (10**9, 20))
+    starts = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    gone = {i: sum(any(starts[t[k : k + 200]] > 1 for k in range(max(0, x - 199), min(x, len(t) - 200) + 1)) for x in range(len(t))) for i, t in rows}
+    assert plain == split and {r[0]: r[2] for r in split} == gone and any(gone.values())
+
+
 def test_media(table):
     got = media.media_columns(table).collect()
     assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == Counter((i, len(t.encode())) for i, t in texts(table))
