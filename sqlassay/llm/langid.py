@@ -140,8 +140,24 @@ def identify(docs: DataFrame, keep: list[str], held_out: int = 2, parts: int = 4
     return predict(docs.withColumn("__held", out), model, [*keep, "__held"]).withColumnRenamed("__held", "held_out")
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+
+    @F.pandas_udf("boolean")
+    def has(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+
+    return docs.filter(has(F.col("text")))
+
+
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a probability of ``least`` or more."""
+    """The rows of ``docs`` whose language is told with a probability of ``least`` or more.
+
+    Where no document outside the held-out fold has a label, nothing is learned, and every
+    document with a letter is kept.
+    """
     model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    if not model[0]:
+        return with_letter(docs)
     found = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
     return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

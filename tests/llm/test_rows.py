@@ -290,6 +290,13 @@ def test_language_needs_no_labels(odd):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string")), ["doc_id"]).collect()} == {"und"}
 
 
+def test_documents_stay_without_labels(odd):
+    plain = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.known_language(plain)
+    want = Counter((i, t) for i, t in texts(odd) if any(map(str.isalpha, t)))
+    assert kept.columns == plain.columns and Counter(texts(kept)) == want and want
+
+
 def test_packing(table):
     enc = Tokenizer.from_file(tokenizer_path())
     enc.encode_special_tokens = True
