@@ -38,7 +38,11 @@ LEAST = 2
 ROUNDS = 4
 #: A word table with more rows than this is joined instead of read by every worker (12 bytes a row).
 TABLE_ROWS = 8_000_000
-BLOCK = 2_000_000
+#: Words in one part of the vocabulary, whose counts a task holds in a round of exchange.
+PART_WORDS = 100_000
+#: Counted neighbours that a task holds before it sends them on; up to which count a gain is tabled.
+BUFFER, SMALL = 4_000_000, 24
+BLOCK = 1_000_000
 #: The end of a text, as the hash of no word.
 END_HASH = np.uint64(0x0123456789ABCDEF)
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -229,14 +233,18 @@ def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, own: np.ndarray, p
     pair = pair.astype(float)
     rows, cols = pair.sum(1), pair.sum(0)
     lines = np.concatenate([pair.T, pair])  # by k: the counts with each class a word may be in
+    base = _xlogx(lines)
+    # most entries have a small n: what these add is worked out once for each k and n
+    small = np.stack([_xlogx(lines + x) - base for x in range(SMALL + 1)])
     gain = np.zeros((words, classes))
     freq = np.bincount(who, n * (k < classes), words)[:, None]
     for a in range(0, len(who), 50_000):
-        w, line, x = who[a : a + 50_000], lines[k[a : a + 50_000]], n[a : a + 50_000].astype(float)
-        add = _xlogx(line + x[:, None]) - _xlogx(line)
-        at = np.arange(len(w)), own[w]
-        stays = line[at]
-        add[at] = _xlogx(stays) - _xlogx(np.maximum(stays - x, 0))
+        w, at, x = who[a : a + 50_000], k[a : a + 50_000], n[a : a + 50_000].astype(float)
+        add = small[np.minimum(n[a : a + 50_000], SMALL).astype(np.int64), at]
+        more = np.flatnonzero(x > SMALL)
+        add[more] = _xlogx(lines[at[more]] + x[more, None]) - base[at[more]]
+        stays = lines[at, own[w]]
+        add[np.arange(len(w)), own[w]] = _xlogx(stays) - _xlogx(np.maximum(stays - x, 0))
         start = np.flatnonzero(np.diff(w, prepend=-1))
         gain[w[start]] += np.add.reduceat(add, start)
     for total in (rows, cols):
@@ -249,57 +257,73 @@ def best_class(who: np.ndarray, k: np.ndarray, n: np.ndarray, own: np.ndarray, p
 
 
 def exchange_round(train: DataFrame, labels: DataFrame, shapes: np.ndarray, words: int, pair: np.ndarray, turn: int) -> DataFrame:
-    """On disk, the labels after half the words, those of one parity, have moved to their best class."""
+    """On disk, the labels after half the words, those of one parity, have moved to their best class.
+
+    Tasks count neighbours' classes and send the counts, packed, to the part of the vocabulary
+    that a word's place belongs to; a task of the second stage has all counts of its part.
+    """
     path, classes = labels.staged_at, len(pair)
+    wide = 2 * classes
+    parts = max(1, words // PART_WORDS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def total():
-            key, n = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept])
-            names, at = np.unique(key, return_inverse=True)
-            return names, np.bincount(at, n, len(names)).astype(np.int64)
-
-        def rows(key, n):
-            who = key // (2 * classes)
-            start = np.flatnonzero(np.diff(who, prepend=-1))
-            for a in range(0, len(start), 50_000):
-                s = start[a : a + 50_000]
-                end = start[a + 50_000] if a + 50_000 < len(start) else len(key)
-                cuts = pa.array(np.append(s, end).astype(np.int32) - np.int32(s[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(who[s].astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array((key[s[0] : end] % (2 * classes)).astype(np.int16))), pa.ListArray.from_arrays(cuts, pa.array(n[s[0] : end]))], ["place", "k", "n"])
+    def packed(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        cuts = np.searchsorted(key, np.arange(parts + 1) * -(-words // parts) * wide)
+        cuts[-1] = len(key)
+        some = np.flatnonzero(np.diff(cuts))
+        data = [key[cuts[p] : cuts[p + 1]].tobytes() + n[cuts[p] : cuts[p + 1]].astype(np.uint32).tobytes() for p in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             u, before, _ = _stream(batch)
             label, _ = _labels(path, words)
             after, to = _called(u, words, label, shapes), _called(before, words, label, shapes)
             own, left = (u < words) & (u % 2 == turn % 2), (before < words) & (before % 2 == turn % 2)
-            key = np.concatenate([before[left] * 2 * classes + after[left], u[own] * 2 * classes + classes + to[own]])
-            kept.append(np.unique(key, return_counts=True))
-            if len(kept) >= 16:
-                kept = [total()]
-                if len(kept[0][0]) > 2_000_000:
-                    yield from rows(*kept[0])
-                    kept = []
-        if kept:
-            yield from rows(*total())
+            kept += [before[left] * wide + after[left], u[own] * wide + classes + to[own]]
+            held += len(kept[-1]) + len(kept[-2])
+            if held >= BUFFER:
+                yield packed(kept)
+                kept, held = [], 0
+        if held:
+            yield packed(kept)
+
+    def merged(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*kept))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[start], np.add.reduceat(n, start)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            label, _ = _labels(path, words)
-            place, per = batch.column("place").to_numpy(), batch.column("k").value_lengths().to_numpy()
-            k, n = batch.column("k").flatten().to_numpy().astype(np.int64), batch.column("n").flatten().to_numpy()
-            key, at = np.unique(np.repeat(np.arange(len(place)), per) * 2 * classes + k, return_inverse=True)
-            n = np.bincount(at, n, len(key))
-            best = best_class(key // (2 * classes), key % (2 * classes), n, label[place].astype(np.int64), pair)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(best.astype(np.int32))], ["place", "to"])
+            for data in batch.column("data").to_pylist():
+                many = len(data) // 12
+                kept.append((np.frombuffer(data, np.int64, many), np.frombuffer(data, np.uint32, many, 8 * many).astype(np.int64)))
+                held += many
+                if held >= 2 * BUFFER:
+                    kept = [merged(kept)]
+                    held = len(kept[0][0]) // 2  # what is merged only grows when there is more of it
+        if not kept:
+            return
+        key, n = merged(kept)
+        label, _ = _labels(path, words)
+        who = key // wide
+        start = np.flatnonzero(np.diff(who, prepend=-1))
+        start = np.append(start, len(who))
+        for a in range(0, len(start) - 1, 10_000):  # a row of gains for each word
+            cut = start[a : a + 10_001]
+            some = slice(cut[0], cut[-1])
+            place = who[cut[:-1]]
+            best = best_class(np.repeat(np.arange(len(place)), np.diff(cut)), key[some] % wide, n[some], label[place].astype(np.int64), pair)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(best.astype(np.int32))], ["place", "to"])
 
     ship(train.sparkSession)
-    found = train.select("units").mapInArrow(count, "place int, k array<short>, n array<long>")
-    found = found.groupBy("place").agg(F.flatten(F.collect_list("k")).alias("k"), F.flatten(F.collect_list("n")).alias("n"))
-    moved = found.mapInArrow(choose, "place int, to int")
+    found = train.select("units").mapInArrow(count, "part int, data binary")
+    moved = found.repartitionById(parts, F.col("part")).select("data").mapInArrow(choose, "place int, to int")
     return staged(labels.join(moved, "place", "left").select("place", "n", F.coalesce("to", "label").alias("label")), "classes")
 
 

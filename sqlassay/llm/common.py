@@ -20,10 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir, deleted when the driver's JVM ends.
 
-    Only where that setting is missing (tests, a laptop) a local temporary folder is used.
+    Where that setting is missing, a local session (tests, a laptop) uses a temporary folder;
+    a cluster, whose executors could not read it, is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir() + "/sqlassay-scratch"
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -49,6 +52,43 @@ def staged(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFram
     return out
 
 
+def discard(*staged_tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, and let Spark drop the shuffle files of finished jobs."""
+    for df in staged_tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct: whatever their names, they clash with no working column."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def row_key() -> Column:
+    """What tells rows apart by doc_id and text: bytes that are equal only if both are; null text counts as empty."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return F.concat(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), F.encode(name, "UTF-8"))
+
+
+def rows_with_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of each ``key`` (row_key) in ``keys`` one row of ``docs``, with its columns; texts are shuffled once."""
+    rows = docs.select(row_key().alias("key"), whole(docs).alias("row")).groupBy("key").agg(F.first("row").alias("row"))
+    return rows.join(keys.select("key"), "key", "left_semi").select("row.*")
+
+
+def one_by_one(groups: DataFrame, count: str, out: str, most: int = 4096) -> DataFrame:
+    """A row for each of the ``count`` members of a group, numbered from 1; large groups are dealt over tasks in blocks."""
+    n = F.col(count).cast("long")
+    small = groups.filter(n.between(1, most)).withColumn(out, F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    large = groups.filter(n > most).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / most))))
+    large = large.repartition(*[c for c, t in large.dtypes if not t.startswith("map")])
+    first = F.col("__block") * most
+    large = large.withColumn(out, F.explode(F.sequence(first + 1, F.least(n, first + most))))
+    return small.unionByName(large.drop("__block"))
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, WORD, "w"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long")
@@ -81,13 +121,29 @@ def buckets_for(rows: Column, rows_each: int = 512, most: int = 65536) -> Column
     return F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(rows / F.lit(rows_each)))).cast("int")
 
 
-def only_ids(rows: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """``rows`` without most of those whose ``column`` (long) is not in ``ids``, before they are shuffled.
+def join_hot(rows: DataFrame, table: DataFrame, on: str, least: int = 4096) -> DataFrame:
+    """``rows`` joined with their row of ``table`` (one for each value of ``on``), however many rows share a value.
+
+    Values with more than a 20 000th of all rows, and more than ``least``, are looked up in a
+    broadcast part of ``table`` (fewer than 20 000 rows of it); only the others are shuffled.
+    ``rows`` is read three times: it should be on disk.
+    """
+    least = max(least, rows.count() // 20_000)
+    hot = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > least).select(on)
+    hot = staged(hot, "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, on)
+    few = staged(table.join(F.broadcast(hot), on, "left_semi"), "hot-rows")
+    return rows.join(F.broadcast(hot), on, "left_anti").join(table, on).unionByName(rows.join(F.broadcast(few), on))
+
+
+def maybe_in(ids: DataFrame, column: str, most_bits: int = 1 << 28):
+    """A predicate over a long column: true for all that are in ``ids``, and for few others.
 
     A Bloom filter of 16 bits an id, of ``most_bits`` at most (32 MB), is put together from
-    segments and broadcast. It keeps all that must be kept; beyond its size it drops less.
+    segments and broadcast; beyond its size it is true more often.
     """
-    spark = ship(rows.sparkSession)
+    spark = ship(ids.sparkSession)
     n = ids.count()
     power = min(max(n * 16, 1 << 16), most_bits).bit_length() - 1
     segment = 1 << min(power, 20)
@@ -120,4 +176,10 @@ def only_ids(rows: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 <<
         at = places(x.to_numpy())
         return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7))) & 1).all(0))
 
-    return rows.filter(may(F.col(column)))
+    return may
+
+
+def only_ids(rows: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """``rows`` without most of those whose ``column`` (long) is not in ``ids``, before they are shuffled."""
+    return rows.filter(maybe_in(ids, column, most_bits)(F.col(column)))
+

@@ -7,10 +7,10 @@ its ordered list of identifiers; equal lists are equal texts, so long texts move
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_hot, one_by_one, rows_with_keys, staged
 
 #: A chunk ends after 256 characters or more at a line end or at punctuation with white space; without one, at 2304.
 CHUNK = r"(?s).{256,2047}?(?:\n|[.!?;:,]\s)|.{1,2304}"
@@ -38,6 +38,17 @@ def verified_strength(docs: DataFrame, bits: int = 64) -> int:
     raise ValueError("two chunks share a 256-bit identifier")
 
 
+def recipe_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """On disk, per (recipe, doc_id, text_sha256): rows (how many agree), keep_id, group_size."""
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    strength = verified_strength(texts, bits)
+    ids = F.transform(chunks(F.col("text")), lambda c: identifier(c, strength, bits))
+    recipes = texts.select("doc_id", ids.alias("recipe"), F.sha2("text", 256).alias("text_sha256"))
+    recipes = staged(recipes.groupBy("recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")), "recipes")
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    return join_hot(recipes, groups, "recipe")
+
+
 def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """Per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -45,21 +56,17 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     repeated rows with that doc_id, one. A null doc_id stays only if its group has no other.
     An empty table gives no rows; other columns of ``docs`` are ignored.
     """
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    strength = verified_strength(texts, bits)
-    ids = F.transform(chunks(F.col("text")), lambda c: identifier(c, strength, bits))
-    recipes = texts.select("doc_id", ids.alias("recipe"), F.sha2("text", 256).alias("text_sha256"))
-    recipes = staged(recipes.groupBy("recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    rows = recipes.join(groups, "recipe").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    rows = one_by_one(recipe_groups(docs, bits).drop("recipe"), "rows", "__i")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__i") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: one of each group of equal texts."""
-    keep = exact_groups(docs, bits).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")))
-    one = Window.partitionBy("doc_id", "__text_sha").orderBy(F.col("__sha"))
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns, whatever their names: one of each group of equal texts.
+
+    Which row stays, and nulls, as in exact_groups; of rows that agree in doc_id and text any
+    one stays. An empty table gives no rows. Whole texts move once, to that choice.
+    """
+    keep = recipe_groups(docs, bits).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return rows_with_keys(docs, keep.select(F.concat(F.unhex("text_sha256"), F.encode(name, "UTF-8")).alias("key")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, running_total, scratch, staged
+from .common import buckets_for, running_total, staged, whole
 
 BITS = 4
 #: Ranges that a dimension's values are dealt into, to add up their counts in order.
@@ -66,18 +66,15 @@ def _cuts(rows: DataFrame, name: str, bits: int) -> tuple[Column, list]:
     return column, sorted((r["v"] for r in cells.collect()), key=lambda v: v.encode() if isinstance(v, str) else v)[1:]
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), lang, source, hilbert.
-
-    Dimensions: size (by its logarithm), source, lang. ``size`` is the text's UTF-8 bytes plus
-    one. Shards are runs of the curve whose row counts differ by one at most; slots count from
-    0 within a shard. Nulls sort as empty values, a null text has size 1; repeated rows get
-    slots of their own; an empty table gives no rows; other columns are ignored.
-    """
+def _described(docs: DataFrame) -> list[Column]:
     text = F.col("text")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), "lang", "source")
-    rows = staged(rows.withColumn("__log", F.floor(F.log2("size") * 4).cast("int")), "hilbert")
+    return [F.col("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.col("lang"), F.col("source")]
+
+
+def _assigned(rows: DataFrame, shards: int, bits: int) -> DataFrame:
+    """Add shard, slot, hilbert to staged rows (size, lang, source, row: a number of its own)."""
+    rows = rows.withColumn("__log", F.floor(F.log2("size") * 4).cast("int"))
     cell = []
     for name in ("__log", "source", "lang"):
         column, cuts = _cuts(rows, name, bits)
@@ -88,22 +85,51 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFr
     cells = cells.withColumn("hilbert", hilbert_index(F.col("__cell"), 3, bits))
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__total", F.sum("__n").over(Window.partitionBy()))
-    cells = staged(cells.withColumn("__buckets", buckets_for(F.col("__n"), 2048)), "hilbert-cells")
+    cells = staged(cells.withColumn("__buckets", buckets_for(F.col("__n"))), "hilbert-cells")
     rows = rows.join(F.broadcast(cells), "__cell")
-    rows = rows.withColumn("__hash", F.xxhash64("doc_id")).withColumn("__bucket", F.pmod(F.col("__hash"), F.col("__buckets").cast("long")).cast("int"))
-    rows = running_total(rows, ["hilbert"], "__bucket", ["__hash", "doc_id", "text_crc32"], None, "__rank")
+    # dealt by the row's own number: rows that are equal in everything do not share a bucket
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("row"), F.col("__buckets").cast("long")).cast("int"))
+    rows = running_total(rows, ["hilbert"], "__bucket", ["row"], None, "__rank")
     rank = F.col("__rank") + F.col("__first")
     rows = rows.withColumn("__rank", rank).withColumn("shard", F.floor(F.col("__rank") * shards / F.col("__total")).cast("int"))
     start = F.ceil(F.col("shard").cast("long") * F.col("__total") / shards)
-    slot = (F.col("__rank") - start).cast("long")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source", "hilbert")
+    return rows.withColumn("slot", (F.col("__rank") - start).cast("long"))
+
+
+def _result(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "lang", "source", "hilbert")
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), lang, source, hilbert.
+
+    Dimensions: size (by its logarithm), source, lang. ``size`` is the text's UTF-8 bytes plus
+    one. Shards are runs of the curve whose row counts differ by one at most; slots count from
+    0 within a shard. Within a cell the order is that of the input's files. Nulls sort as empty
+    values, a null text has size 1; repeated rows get slots of their own; an empty table gives
+    no rows; other columns are ignored.
+    """
+    rows = docs.select(*_described(docs), F.monotonically_increasing_id().alias("row"))
+    return _result(_assigned(staged(rows, "hilbert"), shards, bits))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> DataFrame:
-    """Write ``docs`` as one folder per shard, rows in curve order; returns the assignment."""
-    plan = staged(hilbert_shards(docs, shards), "hilbert-plan")
-    place = plan.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    rows = docs.withColumn("__text_crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.join(place, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_crc") == F.col("__crc"))).select(*docs.columns, "shard", "slot")
-    rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return plan
+    """Write ``docs`` as one folder per shard, rows in curve order; returns the assignment, as hilbert_shards() does.
+
+    Every row, repeated ones too, is written under a slot of its own. The added columns are
+    called shard and slot, with underscores after them where ``docs`` has such names. An empty
+    table writes no rows.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("shard", "slot"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    base = staged(docs.select(whole(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "hilbert-rows")
+    rows = base.select("row", *[F.col(f"doc.{c}") for c in ("doc_id", "text", "lang", "source")])
+    plan = staged(_assigned(staged(rows.select("row", *_described(rows)), "hilbert"), shards, BITS), "hilbert-plan")
+    placed = base.join(plan.select("row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "row")
+    out = placed.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    out.select("doc.*", F.col("__shard").alias(names[0]), F.col("__slot").alias(names[1])).write.partitionBy(names[0]).parquet(path)
+    return _result(plan)

@@ -7,7 +7,8 @@ texts at once, in a matrix of buckets by languages that is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,15 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import unit_hash
+from .common import staged, unit_hash, whole
 from .tokens import blocks, release
 
 BITS = 16
 ORDERS = (1, 2, 3)
 #: Training reads about so many documents of each language at most, picked by a hash of doc_id.
 TRAIN_DOCS = 3000
-#: More languages than this are refused: the matrix is broadcast.
-MOST_LANGS = 512
+#: Languages whose matrix is broadcast at once (134 MB); more are scored block by block.
+BLOCK_LANGS = 512
 UNKNOWN = "und"
 BLOCK = 500_000
 
@@ -53,17 +54,15 @@ def hashed_ngrams(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray],
     return out, first, letter
 
 
-def fit(train: DataFrame, bits: int = BITS, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log probabilities (buckets + 1, languages) and log priors, from columns doc_id, text, lang."""
+def fit(train: DataFrame, bits: int = BITS, train_docs: int = TRAIN_DOCS, block: int = BLOCK_LANGS) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """The model, from columns doc_id, text, lang, for ``block`` languages at a time: languages, log probabilities (buckets + 1, languages), log priors."""
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    langs = sorted(sizes)
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs, total = sorted(sizes), sum(sizes.values())
     if not langs:
-        return [], np.zeros(((1 << bits) + 1, 0), np.float32), np.zeros(0)
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / sizes[k]))])
-    sample = train.filter(unit_hash(5, F.col("doc_id")) < rate[F.col("lang")])
+        return
+    rates = train.sparkSession.createDataFrame([(k, min(1.0, train_docs / sizes[k])) for k in langs], "lang string, rate double")
+    sample = train.join(F.broadcast(rates) if len(langs) <= block else rates, "lang").filter(unit_hash(5, F.col("doc_id"), F.col("text")) < F.col("rate"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -74,6 +73,9 @@ def fit(train: DataFrame, bits: int = BITS, train_docs: int = TRAIN_DOCS) -> tup
                 for a, b in blocks(texts, BLOCK):
                     for h in hashed_ngrams(texts[a:b], bits)[0]:
                         into += np.bincount(h, minlength=len(into))
+            if len(sums) > 64:  # a table of counts for each language met: not for all of very many
+                yield pd.DataFrame([(k, v.tobytes()) for k, v in sums.items()], columns=["lang", "counts"])
+                sums = {}
         yield pd.DataFrame([(k, v.tobytes()) for k, v in sums.items()], columns=["lang", "counts"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
@@ -81,47 +83,62 @@ def fit(train: DataFrame, bits: int = BITS, train_docs: int = TRAIN_DOCS) -> tup
 
     ship(train.sparkSession)
     shape = "lang string, counts binary"
-    parts = sample.repartition(8).mapInPandas(count, shape).groupBy("lang").applyInPandas(add, shape).collect()
-    counts = np.ones(((1 << bits) + 1, len(langs)))
-    for r in parts:
-        counts[:, langs.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
-    counts[-1] = 0
-    logp = np.log(np.maximum(counts, 1e-300) / counts.sum(0))
-    logp[-1] = 0
-    n = np.array([sizes[k] for k in langs], float)
-    return langs, logp.astype(np.float32), np.log(n / n.sum())
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Add the language and the posterior probability of it, as ``names``, to columns ``keep`` of docs.
-
-    Null texts, and texts without a letter, get 'und' and 0. Only the text is looked at.
+    parts = sample.select("lang", "text").repartition(max(8, len(langs))).mapInPandas(count, shape).groupBy("lang").applyInPandas(add, shape)
+    if len(langs) > block:
+        parts = staged(parts, "language-counts")
+    for k in range(0, len(langs), block):
+        some = langs[k : k + block]
+        counts = np.ones(((1 << bits) + 1, len(some)))
+        for r in parts.filter(F.col("lang").between(some[0], some[-1])).collect():
+            counts[:, some.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
+        counts[-1] = 0
+        logp = np.log(np.maximum(counts, 1e-300) / counts.sum(0))
+        logp[-1] = 0
+        yield some, logp.astype(np.float32), np.log(np.array([sizes[x] for x in some], float) / total)
+
+
+def predict(docs: DataFrame, model: Iterable[tuple[list[str], np.ndarray, np.ndarray]], row: Column) -> DataFrame:
+    """Columns row (as given), lang (the most probable language) and score (its posterior probability) for each of docs.
+
+    Null texts, and texts without a letter, get 'und' and 0; without a model all do. Only the
+    text is looked at. Each block of languages is scored on its own; the best of the blocks'
+    best and the sum of their sums are exactly those of all languages.
     """
-    langs, logp, prior = model
-    bits = (len(logp) - 1).bit_length() - 1
-    shared = ship(docs.sparkSession).sparkContext.broadcast((langs, np.ascontiguousarray(logp.T), prior))
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release()
-        langs, table, prior = shared.value
-        called = np.array([*langs, UNKNOWN], object)
-        for batch in batches:
-            texts = [t or "" for t in batch]
-            best, sure = np.full(len(texts), len(langs)), np.zeros(len(texts))
-            for a, b in blocks(texts, BLOCK) if langs else ():
-                grams, first, letter = hashed_ngrams(texts[a:b], bits)
-                total = np.tile(prior, (b - a, 1))
-                for h in grams:
-                    # no text starts past the end of the n-grams: three zeros follow the last
-                    total += np.stack([np.add.reduceat(row[h].astype(np.float64), first) for row in table], 1)
-                total -= total.max(1, keepdims=True)
-                top = total.argmax(1)
-                best[a:b] = np.where(letter, top, len(langs))
-                sure[a:b] = np.where(letter, 1 / np.exp(total).sum(1), 0)
-            yield pd.DataFrame({"lang": called[best], "score": sure})
-
-    # only the text goes to Python; a struct is taken apart after the rows are back
-    found = docs.withColumn("__found", F.pandas_udf(score, "lang string, score double", F.PandasUDFType.SCALAR_ITER)(F.col("text")))
-    return found.select(*keep, F.col("__found.lang").alias(names[0]), F.col("__found.score").alias(names[1]))
+    ship(docs.sparkSession)
+
+    def scorer(shared):
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            release()
+            langs, table, prior = shared.value
+            bits = (table.shape[1] - 1).bit_length() - 1
+            called = np.array(langs, object)
+            for batch in batches:
+                texts = [t or "" for t in batch]
+                best, most, mass, some = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
+                for a, b in blocks(texts, BLOCK):
+                    grams, first, letter = hashed_ngrams(texts[a:b], bits)
+                    total = np.tile(prior, (b - a, 1))
+                    for h in grams:
+                        # no text starts past the end of the n-grams: three zeros follow the last
+                        total += np.stack([np.add.reduceat(row[h].astype(np.float64), first) for row in table], 1)
+                    best[a:b], most[a:b], some[a:b] = total.argmax(1), total.max(1), letter
+                    mass[a:b] = np.exp(total - most[a:b, None]).sum(1)
+                yield pd.DataFrame({"lang": np.where(some, called[best], None), "most": most, "mass": mass})
+
+        return F.pandas_udf(score, "lang string, most double, mass double", F.PandasUDFType.SCALAR_ITER)
+
+    # only the text goes to Python; structs are taken apart after the rows are back
+    found = []
+    for langs, logp, prior in model:
+        found.append(scorer(docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logp.T), prior)))(F.col("text")))
+    if not found:
+        return docs.select(row.alias("row"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    each = docs.select(row.alias("row"), F.array(*found).alias("found"))
+    top = F.array_max(F.transform("found", lambda f: F.struct(f["most"].alias("most"), f["lang"].alias("lang"), f["mass"].alias("mass"))))
+    each = each.select("row", "found", top.alias("top"))
+    mass = F.aggregate("found", F.lit(0.0), lambda s, f: s + f["mass"] * F.exp(f["most"] - F.col("top.most")))
+    known = F.col("top.lang").isNotNull()
+    return each.select("row", F.coalesce("top.lang", F.lit(UNKNOWN)).alias("lang"), F.when(known, 1 / mass).otherwise(0.0).alias("score"))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -130,14 +147,15 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def identify(docs: DataFrame, keep: list[str], held_out: int = 2, parts: int = 4, **options) -> DataFrame:
-    """Learn from the labelled documents outside fold ``held_out`` and predict for all.
+    """Columns ``keep`` of docs, held_out, lang_pred and score: learned from the labelled documents outside fold ``held_out``, told for all.
 
     Repeated rows are predicted alike, an empty table gives no rows, and without any labelled
-    document everything is 'und'.
+    document everything is 'und'. Nulls as in predict(); other columns are ignored.
     """
     out = fold(F.col("doc_id"), parts) == held_out
     model = fit(docs.filter(~out), **options)
-    return predict(docs.withColumn("__held", out), model, [*keep, "__held"]).withColumnRenamed("__held", "held_out")
+    found = predict(docs, model, F.struct(*keep, out.alias("held_out")))
+    return found.select("row.*", F.col("lang").alias("lang_pred"), "score")
 
 
 def with_letter(docs: DataFrame) -> DataFrame:
@@ -151,13 +169,14 @@ def with_letter(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a probability of ``least`` or more.
+    """The rows of ``docs`` whose language is told with a probability of ``least`` or more, with their columns, whatever their names.
 
-    Where no document outside the held-out fold has a label, nothing is learned, and every
-    document with a letter is kept.
+    Null texts, empty ones and those without a letter go; repeated rows stay or go alike; an
+    empty table gives no rows. Where no document outside the held-out fold has a label,
+    nothing is learned, and every document with a letter is kept.
     """
     model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    if not model[0]:
+    first = next(model, None)
+    if first is None:
         return with_letter(docs)
-    found = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
-    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    return predict(docs, chain([first], model), whole(docs)).filter((F.col("lang") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import scratch, staged
+from .common import join_hot, maybe_in, scratch, staged
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -79,7 +79,7 @@ def from_png(stored: bytes) -> bytes:
 
 
 class ShardWriter:
-    """Appends members to tar shards of this task; a task that is run again writes new shards."""
+    """Appends members to tar shards of this task; a task that is run again writes new shards, and no row names the old ones."""
 
     def __init__(self, folder: str, limit: int = SHARD_BYTES):
         self.files, self.root = filesystem(folder)
@@ -106,39 +106,39 @@ class ShardWriter:
             self.out = None
 
 
+def payload_columns(width: int = WIDTH) -> tuple[Column, Column]:
+    """n_bytes of the text, and digest: the SHA-256 of its payload, as payload() makes it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.octet_length(text)
+    return n.cast("long"), F.sha2(F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(1), F.ceil(n / width)).cast("int") * width - n)), 256)
+
+
 def store_texts(docs: DataFrame, folder: str) -> DataFrame:
-    """Write every text's payload to tar shards in ``folder``; one row per document, on disk.
+    """Write every distinct payload once to tar shards in ``folder``; (digest, shard, offset, length) of each, on disk.
 
-    Returns doc_id, n_bytes, digest (SHA-256 of the payload), shard, offset, length. A task
-    stores equal payloads once; a row of another task may name its own copy, and
-    stored_objects() takes one of them for all.
+    Payloads that occur once are stored where they are read. Only those that occur again (and
+    the few that a Bloom filter takes for such) are shuffled, one of a task at most, to meet
+    their equals.
     """
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to, known = ShardWriter(folder), {}
+        to = ShardWriter(folder)
         for f in frames:
             rows = []
-            for t in f["text"]:
-                data = (t or "").encode()
-                whole = payload(data)
-                digest = hashlib.sha256(whole).digest()
-                if digest not in known:
-                    png = to_png(whole)
-                    known[digest] = (*to.add(f"{digest.hex()}.png", png), len(png))
-                rows.append((len(data), digest.hex(), *known[digest]))
-            yield pd.concat([f[["doc_id"]], pd.DataFrame(rows, f.index, ["n_bytes", "digest", "shard", "offset", "length"])], axis=1)
+            for digest, text in zip(f["digest"], f["text"]):
+                png = to_png(payload((text or "").encode()))
+                rows.append((digest, *to.add(f"{digest}.png", png), len(png)))
+            yield pd.DataFrame(rows, columns=["digest", "shard", "offset", "length"])
         to.close()
 
-    kind = dict(docs.dtypes)["doc_id"]
     ship(docs.sparkSession)
+    texts = docs.select("text", payload_columns()[1].alias("digest")).withColumn("name", F.xxhash64("digest"))
+    again = staged(texts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "media-again")
+    repeated = maybe_in(again, "name")(F.col("name"))
+    single, several = texts.filter(~repeated), texts.filter(repeated)
+    met = several.groupBy("digest").agg(F.first("text").alias("text"))
     # written before anything reads it: shards are closed when a task's rows are
-    return staged(docs.select("doc_id", "text").mapInPandas(store, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
-
-
-def stored_objects(rows: DataFrame) -> DataFrame:
-    """One place for each digest: digest, shard, offset, length."""
-    place = F.min(F.struct("shard", "offset", "length")).alias("__at")
-    return rows.groupBy("digest").agg(place).select("digest", "__at.*")
+    return staged(single.select("digest", "text").unionByName(met).mapInPandas(store, "digest string, shard string, offset long, length long"), "media-objects")
 
 
 def _reader(folder: str):
@@ -191,24 +191,28 @@ def read_back(objects: DataFrame, folder: str) -> DataFrame:
             for digest, shard, offset, length, height in zip(f["digest"], f["shard"], f["offset"], f["length"], f["height"]):
                 stored = read(shard, offset, length)
                 samples = from_png(stored)
+                if hashlib.sha256(samples).hexdigest() != digest:
+                    raise ValueError(f"{shard} at {offset} is not {digest}")
                 mean, spread, bits = features(samples)
-                out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"png {WIDTH}x{height} mean {mean:.4f} std {spread:.4f} hash {bits}"))
-            yield pd.DataFrame(out, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out.append((digest, shard, offset, length, len(samples), digest, zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"png {WIDTH}x{height} mean {mean:.4f} std {spread:.4f} hash {bits}"))
+            yield pd.DataFrame(out, columns=["digest", "shard", "offset", "length", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     ship(objects.sparkSession)
-    return objects.mapInPandas(look, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return objects.mapInPandas(look, "digest string, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Store every text of ``docs`` as media, read it back, and return what was read.
 
     Per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, shard, offset, length. Null text is empty; equal texts have equal
-    values; an empty table gives no rows; other columns are ignored. ``folder`` must be
-    shared by all executors; without one, a scratch folder is taken.
+    media_sha256, feature, shard, offset, length (where the one stored copy lies). Null text
+    is empty; equal texts, repeated rows too, have equal values; an empty table gives no rows;
+    other columns are ignored. ``folder`` must be shared by all executors; without one, a
+    scratch folder is taken.
     """
     folder = folder or scratch(docs.sparkSession, "media")
-    rows = store_texts(docs, folder)
-    objects = with_metadata(stored_objects(rows), folder)
+    size, digest = payload_columns()
+    objects = with_metadata(store_texts(docs, folder), folder)
     seen = staged(read_back(objects, folder), "media-read")
-    return rows.join(seen, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length")
+    rows = staged(docs.select("doc_id", size.alias("n_bytes"), digest.alias("digest")), "media-rows")
+    return join_hot(rows, seen, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length")

@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import buckets_for, running_total, staged
-from .tokens import blocks, encoder, release, tokenizer_path
+from .common import buckets_for, running_total, staged, whole
+from .tokens import encoder, release, text_blocks, tokenizer_path
 
 CAPACITY = 4096
 END = 1
@@ -85,57 +86,65 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (length from 1 to capacity, other columns kept)."""
-    per = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("__n"))
+    """Add sequence_id and offset to pieces (length from 1 to capacity, other columns kept, whatever their names).
+
+    Nulls elsewhere and repeated rows are kept; an empty table gives no rows.
+    """
+    base = staged(pieces.select("length", whole(pieces).alias("piece"), F.monotonically_increasing_id().alias("row")), "pieces")
+    per = base.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for r in per.collect():  # at most ``capacity`` rows
-        counts[r["length"]] = r["__n"]
+        counts[r["length"]] = r["n"]
     rows, _ = plan(counts, capacity)
     start = (rows[:, 0] << 48) + rows[:, 1]
-    schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            length, number = f["length"].to_numpy(np.int64), f.pop("__number").to_numpy(np.int64)
-            at = rows[np.searchsorted(start, (length << 48) + number, side="right") - 1] if len(f) else rows[:0]
-            turn = number - at[:, 1]
-            yield f.assign(sequence_id=at[:, 3] + turn // np.maximum(at[:, 2], 1), offset=at[:, 4] + turn % np.maximum(at[:, 2], 1) * length)
+    @F.pandas_udf("sequence_id long, offset long")
+    def put(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        length, number = length.to_numpy(np.int64), number.to_numpy(np.int64)
+        at = rows[np.searchsorted(start, (length << 48) + number, side="right") - 1] if len(length) else rows[:0]
+        turn = number - at[:, 1]
+        return pd.DataFrame({"sequence_id": at[:, 3] + turn // np.maximum(at[:, 2], 1), "offset": at[:, 4] + turn % np.maximum(at[:, 2], 1) * length})
 
     ship(pieces.sparkSession)
-    names = pieces.columns
-    sized = pieces.join(F.broadcast(per.withColumn("__buckets", buckets_for(F.col("__n"), 1024)).drop("__n")), "length")
-    sized = sized.withColumn("__bucket", F.pmod(F.xxhash64(*names), F.col("__buckets").cast("long")).cast("int"))
-    numbered = running_total(sized, ["length"], "__bucket", names, None, "__number")
-    return numbered.select(*names, "__number").mapInPandas(put, schema)
+    sized = base.join(F.broadcast(per.select("length", buckets_for(F.col("n")).alias("buckets"))), "length")
+    # dealt by the row's own number: equal pieces do not share a bucket
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets").cast("long")).cast("int"))
+    numbered = running_total(sized, ["length"], "bucket", ["row"], None, "number")
+    return numbered.select("piece", put("length", "number").alias("at")).select("piece.*", "at.*")
 
 
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32.
 
     A document is its text's ids and then one end id; null text is empty. Only a longer one is
-    cut, into pieces of ``capacity`` ids and a last shorter one.
+    cut, into pieces of ``capacity`` ids and a last shorter one. Other columns are ignored.
     """
     path = path or tokenizer_path()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(words=False)
         enc = encoder(path)
-        for f in frames:
-            texts = [t or "" for t in f["text"]]
-            ids = f["doc_id"].array
-            for a, b in blocks(texts):
-                flat, counts = enc.encode(texts[a:b])
-                out, end = [], 0
-                for k, n in enumerate(counts.tolist()):
-                    doc = np.append(flat[end : end + n], np.uint32(END)).astype("<u4")
-                    end += n
-                    out += [(a + k, p, p * capacity, len(x), zlib.crc32(x.tobytes())) for p in range(-(-len(doc) // capacity)) for x in (doc[p * capacity : (p + 1) * capacity],)]
-                rows = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
-                yield pd.DataFrame({"doc_id": ids.take(rows.pop("row").to_numpy()), **rows})
+        for batch in batches:
+            for a, b, texts in text_blocks(batch):
+                flat, counts = enc.encode(texts)
+                ends = np.cumsum(counts)
+                flat = np.insert(flat, ends, END).astype("<u4", copy=False)
+                counts, ends = counts + 1, ends + np.arange(1, b - a + 1)
+                parts = -(-counts // capacity)
+                who = np.repeat(np.arange(b - a), parts)
+                piece = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * capacity
+                length = np.minimum(counts[who] - start, capacity)
+                at = (ends - counts)[who] + start
+                crc = [zlib.crc32(flat[x : x + n]) for x, n in zip(at.tolist(), length.tolist())]
+                ids = batch.column("doc_id").take(pa.array(a + who))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names)
 
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    # the id stays an Arrow column: pandas would make doubles of longs beside a null
+    return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -144,4 +153,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     Repeated rows are packed as often as they occur; an empty table gives no rows; other
     columns are ignored; null text is the end id alone.
     """
-    return place(staged(cut(docs, path, capacity), "pieces"), capacity)
+    return place(cut(docs, path, capacity), capacity)

@@ -14,8 +14,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix_sources(documents(spark, sf_dir))
-    return mix.selectExpr("doc_id", "size", "source_size", "target", "taken", "explode(sequence(1L, rows)) AS row").drop("row")
+    return mixing.taken_rows(mixing.mix_sources(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +38,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.media_columns(documents(spark, sf_dir))
-    return found.drop("shard", "offset", "length")
+    return media.media_columns(documents(spark, sf_dir))
 
 
 def op5_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

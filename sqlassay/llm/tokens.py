@@ -13,7 +13,9 @@ from .words import hash_spans, word_spans
 #: Words kept from one batch to the next, at about 30 bytes each; beyond that all are forgotten.
 CACHE_WORDS = 3_000_000
 #: Bytes of text taken at once.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+#: White space between words, for cutting a very long text.
+_GAP = re.compile(r"[\x20\x09-\x0D]")
 
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
 #: Fixed value: how this tokenizer splits a lower-cased ASCII word.
@@ -107,7 +109,13 @@ class WordEncoder:
         return start, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and how many belong to each text."""
+        """The ids of all texts in one array, and how many belong to each text; a very long one is taken piece by piece."""
+        if len(texts) != 1 or len(texts[0]) <= 2 * BLOCK_BYTES:
+            return self._encode(texts)
+        found = [self._encode([x])[0] for x in pieces(texts[0], BLOCK_BYTES)]
+        return np.concatenate(found), np.array([sum(map(len, found))], np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if sum(len(r[0]) for r in self.runs) > CACHE_WORDS:
             self._clear()
         data, first, size, per = word_spans([t.encode() for t in texts])
@@ -142,6 +150,32 @@ def release(words: bool = True) -> None:
         pass
 
 
+def pieces(text: str, limit: int) -> Iterator[str]:
+    """A text cut at white space into pieces of at least ``limit`` characters, the last one aside; words stay whole."""
+    a = 0
+    while a < len(text):
+        gap = _GAP.search(text, min(a + limit, len(text)))
+        b = gap.start() if gap else len(text)
+        yield text[a:b]
+        a = b
+
+
+def text_blocks(batch, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs [a, b) of an Arrow batch's rows with about ``limit`` bytes of text, and these texts; null is empty."""
+    import pyarrow.compute as pc
+
+    column = batch.column("text")
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
+    a = held = 0
+    for b, n in enumerate(size):
+        if held and held + n > limit:
+            yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+            a, held = b, 0
+        held += n
+    if a < len(size):
+        yield a, len(size), [t or "" for t in column.slice(a).to_pylist()]
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts with about ``limit`` characters; a longer text is a run of its own."""
     a = size = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -10,6 +12,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a very long text that are taken at once.
+PIECE = 1_000_000
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -42,10 +47,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs of anything but ASCII white space; A-Z count as a-z.
     """
+    if len(texts) == 1 and len(texts[0]) > 2 * PIECE:  # a very long text is taken piece by piece
+        found = [hash_spans(*word_spans([x])[:3]) for x in _pieces(texts[0])]
+        return np.concatenate(found), np.array([sum(map(len, found))], np.int64)
     data, first, size, per = word_spans(texts)
     return hash_spans(data, first, size), per
 
 
+def _pieces(text: bytes):
+    a = 0
+    while a < len(text):
+        gap = _GAP.search(text, min(a + PIECE, len(text)))
+        b = gap.start() if gap else len(text)
+        yield text[a:b]
+        a = b
+
+
 def hash_spans(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     if not len(first):
         return np.zeros(0, np.uint64)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sqlassay.llm import brown, exact, hilbert, induced, jaccard, langid, media, mixing, packing, suffix, token_shards
+from sqlassay.llm import brown, common, exact, hilbert, induced, jaccard, langid, media, mixing, packing, suffix, token_shards
 from sqlassay.llm.tokens import WordEncoder, tokenizer_path
 
 from .conftest import texts
@@ -27,14 +27,8 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
 
 
-def test_mix(table):
-    got = mixing.mix_sources(table).collect()
-    want = Counter((i, len(WORD.findall(t))) for i, t in texts(table))
-    assert Counter({(r["doc_id"], r["size"]): 0 for r in got}).keys() == want.keys()
-    by = defaultdict(list)
-    for r in got:
-        by[r["source"]].append(r)
-    sizes = {s: sum(r["size"] * r["rows"] for r in rs) for s, rs in by.items()}
+def mix_targets(sizes):
+    """Plain rounds of sharing: sources over their cap leave, the rest share again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     target, live, rest = {}, set(order), 1.5 * sum(sizes.values())
@@ -44,22 +38,60 @@ def test_mix(table):
         target |= {s: 2.0 * sizes[s] for s in over} if over else share
         rest -= sum(2 * sizes[s] for s in over)
         live = live - over if over else set()
-    for s, rs in by.items():
-        assert rs[0]["source_size"] == sizes[s] and rs[0]["target"] == pytest.approx(target[s])
-        assert abs(sum(r["taken"] * r["rows"] for r in rs) - target[s]) <= max(r["size"] * r["rows"] for r in rs) / 2 + 1e-6
-        assert all(r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in rs)
-    again = mixing.mix_sources(table.repartition(3)).collect()
-    key = lambda r: (str(r["doc_id"]), r["size"], str(r["source"]))
-    assert sorted(map(tuple, got), key=lambda t: tuple(map(str, t))) == sorted(map(tuple, again), key=lambda t: tuple(map(str, t))) and len(set(map(key, got))) == len(got)
-
-
-def test_mixed_documents(table):
-    taken = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix_sources(table).collect()}
+    return target
+
+
+def assert_mix(table):
+    mix = mixing.mix_sources(table)
+    got = mixing.taken_rows(mix).collect()
+    every = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in table.collect()]
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter(every)
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for _, s, n in every:
+        sizes[s] += n
+        largest[s] = max(largest[s], n)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
+    target = mix_targets(sizes)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+    for s in sizes:  # half a document at most, repeated rows or not
+        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
+    again = mixing.taken_rows(mixing.mix_sources(table.repartition(3))).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     mixed = mixing.mixed_documents(table)
     assert mixed.columns == table.columns
-    got = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in mixed.collect())
-    every = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in table.collect())
-    assert got == Counter({k: taken[k] * n for k, n in every.items() if taken[k]})
+    want = Counter()
+    for r in got:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in mixed.collect()) == +want
+    content = Counter((r["doc_id"], r["text"]) for r in table.collect())
+    assert all((r["doc_id"], r["text"]) in content for r in mixed.collect())
+
+
+def test_mix(table):
+    assert_mix(table)
+
+
+def test_mix_cuts_inside_repeated_rows(spark):
+    # 2000 rows without an id, all of 5 words, and another source: targets lie inside the group
+    rows = [(None, "one two three four five", "a")] * 2000 + [(7, "w " * 50, "b")] * 60 + [(k, "x y z", "c") for k in range(40)]
+    assert_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_rows_dealt_one_by_one(spark):
+    groups = spark.createDataFrame([(1, 0), (2, 1), (3, 10_000), (None, 3)], "g long, n long")
+    got = Counter((r["g"], r["k"]) for r in common.one_by_one(groups, "n", "k", most=7).collect())
+    want = [(2, 1), *((3, k) for k in range(1, 10_001)), *((None, k) for k in (1, 2, 3))]
+    assert got == Counter(want)
+
+
+def test_join_on_hot_values(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), "id")
+    table = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = common.join_hot(rows, table, "k", least=100)
+    assert got.count() == 2000 and got.filter("v <> 2 * k").isEmpty() and got.columns == ["k", "id", "v"]
 
 
 @pytest.mark.parametrize("bits", [64, 4])
@@ -76,7 +108,10 @@ def test_exact(table, bits):
         assert r["group_size"] == len(ids) and r["keep_id"] == max((i for i in ids if i is not None), default=None)
     assert Counter(sha[r["text_sha256"]] for r in got if r["kept"]) == Counter(groups.keys())
     kept = exact.exact_dedup(table, bits)
-    assert kept.columns == table.columns and Counter(r["text"] or "" for r in kept.collect()) == Counter(groups.keys())
+    assert kept.columns == table.columns
+    rows = Counter(map(tuple, kept.collect()))
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept.collect()) == Counter((max((i for i in ids if i is not None), default=None), t) for t, ids in groups.items())
+    assert rows <= Counter(map(tuple, table.collect()))
 
 
 def test_repeats(table):
@@ -131,14 +166,42 @@ def test_media(table):
     assert all(len(v) == 1 for v in by.values())
 
 
-def test_media_header_alone(odd, spark, tmp_path):
-    rows = media.store_texts(odd, f"file://{tmp_path}")
-    for r in media.with_metadata(media.stored_objects(rows), f"file://{tmp_path}").collect():
-        assert r["width"] == 192 and r["bit_depth"] == 8 and r["height"] > 0
+def test_media_store(odd, spark, tmp_path):
+    # by the standard library's own tar reader and an inflate of our own: every payload is stored once
+    import tarfile
+
+    objects = media.store_texts(odd.repartition(5), f"file://{tmp_path}")
+    want = {hashlib.sha256(media.payload(t.encode())).hexdigest(): media.payload(t.encode()) for _, t in texts(odd)}
+    stored = Counter()
+    for shard in tmp_path.glob("*.tar"):
+        with tarfile.open(shard) as tar:
+            for member in tar:
+                png = tar.extractfile(member).read()
+                width, height = (int.from_bytes(png[x : x + 4], "big") for x in (16, 20))
+                at, body = 8, b""
+                while at < len(png):
+                    size = int.from_bytes(png[at : at + 4], "big")
+                    body += png[at + 8 : at + 8 + size] if png[at + 4 : at + 8] == b"IDAT" else b""
+                    at += size + 12
+                lines = zlib.decompress(body)
+                assert b"".join(lines[k * (width + 1) + 1 : (k + 1) * (width + 1)] for k in range(height)) == want[member.name[:-4]]
+                stored[member.name[:-4]] += 1
+    assert stored == Counter(want.keys()) and Counter(r["digest"] for r in objects.collect()) == stored
+    for r in media.with_metadata(objects, f"file://{tmp_path}").collect():
+        assert r["width"] == 192 and r["bit_depth"] == 8 and r["height"] * 192 == len(want[r["digest"]])
     with pytest.raises(ValueError):
         media.from_png(media.to_png(b"x" * 192)[:-20] + b"\0" * 20)
 
 
+def test_media_features():
+    p = bytes(range(192)) * 2
+    x = [sum(p[k * 6 : k * 6 + 6]) / 6 for k in range(64)]
+    mean = sum(x) / 64
+    bits = int("".join("1" if v > mean else "0" for v in x), 2).to_bytes(8, "big").hex()
+    got = media.features(p)
+    assert got[2] == bits and got[0] == pytest.approx(sum(p) / len(p)) and got[1] == pytest.approx((sum((v - got[0]) ** 2 for v in p) / len(p)) ** 0.5)
+
+
 def test_class_bigrams(table):
     import math
 
@@ -216,6 +279,48 @@ def test_near_duplicates(table, small_blocks):
     if not small_blocks:
         kept = jaccard.keep_one(table)
         assert kept.columns == table.columns
+        groups = defaultdict(list)
+        for i, t in rows:
+            if sets[t]:
+                groups[root(t)].append((i is None, i or 0, hashlib.sha256(t.encode()).digest(), t))
+        want = Counter((None if g[0] else g[1], g[3]) for g in map(min, groups.values())) + Counter((i, t) for i, t in rows if not sets[t])
+        assert Counter(texts(kept)) == want
+
+
+def test_sets_whose_ids_clash(docs):
+    # ids of 6 bits: most sets share one, and a second hash tells them apart
+    plain, short = (jaccard.set_ids(docs.select("doc_id", "text"), bits=bits).select("doc_id", "set_id") for bits in (64, 6))
+    group = lambda df: Counter(tuple(sorted(r["x"])) for r in df.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.collect_list("doc_id").alias("x")).collect())
+    assert group(plain) == group(short)
+
+
+def test_large_family(spark):
+    # a family of many times what a block holds: near copies of one text, and another group that a chain ties to it
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in rng.permutation(4000)]
+    base, rows = words[:120], []
+    for k in range(600):
+        t = list(base)
+        t[int(rng.integers(120))] = f"x{k}"
+        rows.append((k, " ".join(t)))
+    for k in range(1, 60):  # each is like the one before alone
+        rows.append((1000 + k, " ".join(base[2 * k :] + words[200 : 200 + 2 * k])))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()}
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and root(a) != root(b):
+                n = len(sets[a] & sets[b])
+                if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                    up[max(root(a), root(b))] = min(root(a), root(b))
+    assert got == {i: root(i) for i in sets}
 
 
 def test_similar_sets_share_a_signature():
@@ -263,9 +368,15 @@ def test_hilbert_curve_is_a_path(spark):
     assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for (_, a), (_, b) in zip(rows, rows[1:]))
 
 
-def test_shards_on_disk(docs, spark, tmp_path):
-    hilbert.write_shards(docs, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+def test_shards_on_disk(table, spark, tmp_path):
+    plan = hilbert.write_shards(table, str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s"))
+    new = [c for c in got.columns if c not in table.columns]
+    assert sorted(new) == (["shard", "slot"] if "shard" not in table.columns else ["shard_", "slot_"])
+    name = {c.rstrip("_"): c for c in new}
+    assert Counter(map(tuple, got.select(*table.columns).collect())) == Counter(map(tuple, table.collect()))
+    key = lambda r: (r["doc_id"], zlib.crc32((r["text"] or "").encode()), r[name["shard"]], r[name["slot"]])
+    assert Counter(map(key, got.collect())) == Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in plan.collect())
 
 
 def test_language(docs):
@@ -284,6 +395,20 @@ def test_language_of_odd_rows(odd):
     assert kept.columns == odd.columns and all(any(map(str.isalpha, r["text"])) for r in kept.collect())
 
 
+def test_language_blocks_agree_with_one_matrix(docs):
+    # the posterior by hand from the model's own tables, in one block of languages and in blocks of one
+    whole, parts = (langid.identify(docs, ["doc_id"], block=n) for n in (512, 1))
+    a, b = ({r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in x.collect()} for x in (whole, parts))
+    assert a == b
+    (langs, logp, prior), = langid.fit(docs.filter(langid.fold(F.col("doc_id"), 4) != 2))
+    for r in docs.limit(20).collect():
+        grams, _, letter = langid.hashed_ngrams([r["text"] or ""])
+        total = prior + sum(logp[h].astype(float).sum(0) for h in grams)
+        total = np.exp(total - total.max())
+        if letter[0]:
+            assert a[r["doc_id"]] == (langs[total.argmax()], pytest.approx(total.max() / total.sum(), abs=1e-6))
+
+
 def test_language_needs_no_labels(odd):
     from pyspark.sql import functions as F
 
@@ -368,10 +493,35 @@ def test_token_shards(table, tmp_path):
             assert any(w[start : start + len(ids)] == ids for w in whole)
         if len(whole) == 1:
             assert [t for _, x in sorted(parts[doc]) for t in x] == whole[0]
-    assert sum(r["n_tokens"] < 32 for r in got) <= table.rdd.getNumPartitions()
+    assert sum(r["n_tokens"] < 32 for r in got) <= 1
+    for r in got:
+        assert sum(r["doc_lengths"]) == r["n_tokens"] <= 32
     assert (token_shards.read_slots(folder, n // 2, 7, 32, 16) == data[n // 2 : n // 2 + 7]).all()
 
 
+def test_token_shards_do_not_depend_on_files(docs, tmp_path):
+    some = []
+    for k, df in enumerate((docs, docs.repartition(7).orderBy(F.rand(3)), docs.coalesce(1))):
+        folder = f"file://{tmp_path}/{k}"
+        (tmp_path / str(k)).mkdir()
+        rows = token_shards.write_token_shards(df, folder, length=64, records=100, chunk=500 * (k + 1)).collect()
+        some.append((Counter(str(r) for r in rows), token_shards.read_slots(folder, 0, 10**9, 64, 100).tobytes()))
+    assert some[0] == some[1] == some[2] and some[0][1]
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    from sqlassay.llm import tokens, words
+
+    text = " ".join(f"Word{k % 977} naïve,  {k}." for k in range(3000))
+    enc = WordEncoder(tokenizer_path())
+    want = enc.encode([text])[0].tolist(), words.word_hashes([text.encode()])[0].tolist()
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(words, "PIECE", 1000)
+    flat, per = enc.encode([text])
+    h, many = words.word_hashes([text.encode()])
+    assert (flat.tolist(), h.tolist()) == want and per.tolist() == [len(flat)] and many.tolist() == [len(h)]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 65, 1000):
         assert sorted(token_shards.feistel(np.arange(n), n).tolist()) == list(range(n))
