@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value worked out once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def common(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     once = F.array_distinct(a)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default metrics, dimensions and entities with the words that show them.
+# Default metrics, dimensions, entities and intents with the words that show them.
 METRICS = {
     "record_count": ("how many", "count", "number of", "total"), "distinct_count": ("unique", "distinct", "different"), "average_value": ("average", "mean", "avg"),
     "sum_value": ("total", "sum", "amount"), "max_value": ("maximum", "max", "highest", "largest", "top"), "min_value": ("minimum", "min", "lowest", "smallest", "bottom"),
@@ -16,30 +18,58 @@ INTENTS = {
     "aggregation": ("count", "total", "sum", "average", "max", "min"), "grouping": ("by", "per", "group", "each", "every"), "filtering": ("where", "with", "having", "that", "which"),
     "ordering": ("top", "bottom", "highest", "lowest", "first", "last"), "comparison": ("greater", "less", "more", "fewer", "above", "below"),
 }
-AGGREGATE_HINTS = (
-    ("COUNT", r"\b(how many|number of|count|total number)\b"), ("SUM", r"\b(total|sum)\b(?!.*\btotal number\b)"), ("MAX", r"\b(highest|most|largest|maximum|max|latest)\b"),
-    ("MIN", r"\b(lowest|fewest|smallest|minimum|min|earli|first)\b"), ("AVG", r"\b(average|mean|avg)\b"),
-)
+# Whole words that call for an aggregate, in the order they are tried.
+AGGREGATE_HINTS = {
+    "COUNT": ("how many", "number of", "count", "total number"),
+    "SUM": ("total", "sum"),
+    "MAX": ("highest", "most", "largest", "maximum", "max", "latest"),
+    "MIN": ("lowest", "fewest", "smallest", "minimum", "min", "earli", "first"),
+    "AVG": ("average", "mean", "avg"),
+}
 
 
 def matched(question: Column, rules: dict[str, tuple[str, ...]]) -> Column:
     """Names of the rules of which a word occurs, in rule order."""
     q = F.lower(question)
+    # one search a rule: whichever of its words comes first ends it
+    return F.array_compact(F.array(*[F.when(q.rlike("|".join(re.escape(x) for x in w)), F.lit(k)) for k, w in rules.items()]))
+
+
+def rules_from_config(spark, config: dict) -> DataFrame:
+    """Rules (kind, name, keyword) from a configuration: metrics' *_patterns, dimensions, entities with their keywords.
+
+    A configuration may be wrapped in ``semantic_layer_config``. Without any rule the default ones apply.
+    """
+    config = config.get("semantic_layer_config", config)
+    names = {"count_patterns": "record_count", "distinct_count_patterns": "distinct_count", "avg_patterns": "average_value", "sum_patterns": "sum_value", "max_patterns": "max_value", "min_patterns": "min_value"}
+    rows = [("metric", names.get(k, k.removesuffix("_patterns")), w) for k, ws in config.get("metrics", {}).items() for w in ws]
+    rows += [("dimension", k.removesuffix("_patterns"), w) for k, ws in config.get("dimensions", {}).items() for w in ws]
+    rows += [("entity", k, w) for k, ws in config.get("entities", {}).items() for w in (ws.get("keywords", [k]) if isinstance(ws, dict) else ws)]
+    if not rows:
+        rows = [(kind, k, w) for kind, rules in (("metric", METRICS), ("dimension", DIMENSIONS), ("entity", ENTITIES)) for k, ws in rules.items() for w in ws]
+    return spark.createDataFrame(rows, "kind string, name string, keyword string")
 
-    def hit(words) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | q.contains(w)
-        return out
 
-    return F.array_compact(F.array(*[F.when(hit(w), F.lit(k)) for k, w in rules.items()]))
+def with_rule(rules: DataFrame, kind: str, name: str, *keywords: str) -> DataFrame:
+    """The rules and one more."""
+    return rules.unionByName(rules.sparkSession.createDataFrame([(kind, name, w) for w in keywords], "kind string, name string, keyword string"))
 
 
-def rule_matches(questions: DataFrame, rules: DataFrame, key: str = "q_id", text: str = "question") -> DataFrame:
-    """The same with rules as a table (name, keyword): one row per question and rule that matches."""
-    small = rules.limit(10_001).count() <= 10_000
-    pairs = questions.join(F.broadcast(rules) if small else rules, F.lower(text).contains(F.lower("keyword")))
-    return pairs.select(key, "name").distinct()
+def rule_matches(questions: DataFrame, rules: DataFrame, key: str = "q_id", text: str = "question", most_broadcast: int = 10_000) -> DataFrame:
+    """The same with rules as a table (name, keyword): one row per question and rule that matches.
+
+    Up to ``most_broadcast`` rules are broadcast. Of more, a question meets those alone that
+    begin with three letters it has in a row, by a hash join.
+    """
+    if rules.limit(most_broadcast + 1).count() <= most_broadcast:
+        pairs = questions.join(F.broadcast(rules), F.lower(text).contains(F.lower("keyword")))
+        return pairs.select(key, "name").distinct()
+    heads = rules.select("name", F.lower("keyword").alias("__word")).withColumn("__head", F.substring("__word", 1, 3))
+    sizes = [r["n"] for r in heads.select(F.length("__head").alias("n")).distinct().collect() if r["n"]]  # of 1, 2 and 3
+    asked = questions.select(key, F.lower(text).alias("__text"))
+    grams = [F.array_distinct(F.regexp_extract_all("__text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sizes]
+    met = asked.withColumn("__head", F.explode(F.flatten(F.array(*grams)))).join(heads, "__head")
+    return met.filter(F.col("__text").contains(F.col("__word"))).select(key, "name").distinct()
 
 
 def schema_entities(question: Column, tables: Column) -> Column:
@@ -81,7 +111,7 @@ def suggested_patterns(a: Column) -> Column:
 def enhance(sql: Column, a: Column) -> Column:
     """SELECT * becomes a count where one is asked for; hints follow as a comment."""
     counted = F.when(F.array_contains(a["metrics"], "record_count"), F.regexp_replace(sql, r"(?i)^\s*SELECT\s+\*", "SELECT COUNT(*)")).otherwise(sql)
-    hints = F.concat_ws(", ", F.when(F.size(a["dimensions"]) > 0, "group by " + "dimension"), F.when(F.array_contains(a["intents"], "ordering"), "order the result"))
+    hints = F.concat_ws(", ", F.when(F.size(a["dimensions"]) > 0, "group by dimension"), F.when(F.array_contains(a["intents"], "ordering"), "order the result"))
     return F.when(hints != "", F.concat(counted, F.lit(" -- "), hints)).otherwise(counted)
 
 
@@ -100,6 +130,17 @@ def hints(a: Column) -> Column:
     return F.concat_ws("\n", line("Metrics", a["metrics"]), line("Dimensions", a["dimensions"]), line("Entities", a["entities"]), F.concat(F.lit("Complexity: "), a["complexity_text"]))
 
 
+def bundle(question: Column, sql: Column) -> Column:
+    """All that is said of a question in one struct: analysis, hints, approach, patterns, and the statement enhanced."""
+    a = analyse(question)
+    return F.struct(a.alias("analysis"), hints(a).alias("hints"), approach(a).alias("approach"), suggested_patterns(a).alias("patterns"), enhance(sql, a).alias("sql"))
+
+
+def with_hints(prompt: Column, a: Column) -> Column:
+    """A prompt with the hints of its question after it."""
+    return F.concat(prompt, F.lit("\n\nHints:\n"), hints(a))
+
+
 def batch_statistics(analysed: DataFrame, a: str = "analysis") -> DataFrame:
     c = F.col(f"{a}.complexity")
     return analysed.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 6).alias("avg_complexity"), F.min(c).alias("min_complexity"), F.max(c).alias("max_complexity"), F.sum(F.size(f"{a}.entities")).alias("entities"))
@@ -107,8 +148,8 @@ def batch_statistics(analysed: DataFrame, a: str = "analysis") -> DataFrame:
 
 def aggregate_hint(question: Column) -> Column:
     q, out = F.lower(question), F.lit("NONE")
-    for name, pattern in reversed(AGGREGATE_HINTS):
-        out = F.when(q.rlike(pattern), name).otherwise(out)
+    for name, words in reversed(AGGREGATE_HINTS.items()):
+        out = F.when(q.rlike(rf"\b({'|'.join(words)})\b"), name).otherwise(out)
     return out
 
 

@@ -92,8 +92,18 @@ def failure_scan(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("kind", kind).filter("kind <> 'ok'").orderBy(F.when(F.col("kind") == "error", 0).otherwise(1), "query_id")
 
 
+def regression_scan(before: DataFrame, after: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of the listed lines (query_id), those whose results before and after, (query_id, cells), are not the same rows as often."""
+    rows = before.select("query_id", F.lit(-1).alias("side"), "cells").unionByName(after.select("query_id", F.lit(1).alias("side"), "cells"))
+    found = multisets_equal(rows.join(lines.select("query_id"), "query_id", "left_semi"))
+    return lines.select("query_id").join(found.filter("NOT equal"), "query_id", "left_semi")
+
+
 def try_sql(spark, sql: str, run: bool = True, most_rows: int = 1000, seconds: float = 60.0) -> tuple[str, object]:
-    """('result', rows) or ('exception', message); analysed only, if not ``run``; cancelled after ``seconds``."""
+    """('result', rows) or ('exception', message); analysed only, if not ``run``; cancelled after ``seconds``.
+
+    A result of more than ``most_rows`` rows stays distributed: it is given as the DataFrame.
+    """
     import threading
     import uuid
 
@@ -105,7 +115,8 @@ def try_sql(spark, sql: str, run: bool = True, most_rows: int = 1000, seconds: f
             return "result", df.columns
         spark.sparkContext.setJobGroup(group, "try_sql", True)
         timer.start()
-        return "result", [tuple(r) for r in df.limit(most_rows).collect()]
+        rows = [tuple(r) for r in df.limit(most_rows + 1).collect()]
+        return "result", rows if len(rows) <= most_rows else df
     except Exception as e:  # whatever the statement raises is its result
         return "exception", str(e).splitlines()[0]
     finally:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -22,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Length 1; a zero vector stays."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return once(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
 
 
 def similarity_of_distance(d: Column) -> Column:
@@ -83,6 +85,59 @@ def hybrid_search(pairs: DataFrame, k: int, quality: Column) -> DataFrame:
     return top(near, k, F.desc("score"), F.col("id"))
 
 
+def hybrid_fallback(found: DataFrame, store: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Strategy search with a way out: questions without any hit get the k best strategies by success rate, with score 0."""
+    without = asked.select("q_id").join(found.select("q_id").distinct(), "q_id", "left_anti")
+    from pyspark.sql import Window
+
+    best = store.filter("is_active").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("success_rate"), "strategy_id"))).filter(F.col("rank") <= k)
+    rows = without.join(F.broadcast(best.select(F.col("strategy_id").alias("id"), "rank")), F.lit(True))  # k rows
+    return found.select("q_id", "id", "rank", "score").unionByName(rows.select("q_id", "id", "rank", F.lit(0.0).alias("score")))
+
+
+def relevant_schemas(pairs: DataFrame, k: int) -> DataFrame:
+    """The k nearest schemas of each question, however far."""
+    return top(pairs, k, F.desc("similarity"), F.col("id"))
+
+
+def comprehensive(questions: DataFrame, statements: DataFrame, schemas: DataFrame, k: int, least: float, same_text: Column) -> DataFrame:
+    """Similar questions, similar statements and relevant schemas in one table (kind, q_id, id, rank, similarity)."""
+    parts = {"question": similar_questions(questions, k, least, same_text), "statement": similar_statements(statements, k, least), "schema": relevant_schemas(schemas, k)}
+    out = None
+    for kind, rows in parts.items():
+        rows = rows.select(F.lit(kind).alias("kind"), "q_id", "id", "rank", "similarity")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+# What is typed to leave, and commands before a search text.
+LEAVING = ("quit", "exit", "q")
+COMMANDS = ("schema", "sql")
+
+
+def command(typed: Column) -> Column:
+    """struct(kind, text) of what is typed: leave, help, empty, all-schemas, schema, sql or, by default, question."""
+    line = F.trim(typed)
+    low = F.lower(line)
+    kind = F.when(low.isin(*LEAVING), "leave").when(low == "help", "help").when(line == "", "empty").when(low == "all-schemas", "all-schemas")
+    text = F.lit("")
+    for word in COMMANDS:
+        kind = kind.when(low.startswith(f"{word} "), word)
+        text = F.when(low.startswith(f"{word} "), F.trim(F.substring(line, len(word) + 2, 1_000_000))).otherwise(text)
+    kind = kind.otherwise("question")
+    return F.struct(kind.alias("kind"), F.when(kind == "question", line).otherwise(text).alias("text"))
+
+
+def shown(found: DataFrame, text: str) -> DataFrame:
+    """Found rows as lines ``rank. text (similarity)``."""
+    line = F.format_string("%d. %s (%.3f)", F.col("rank").cast("int"), F.col(text).cast("string"), F.col("similarity"))
+    return found.select("q_id", "rank", line.alias("line"))
+
+
 def matching(df: DataFrame, where: dict) -> DataFrame:
     """Metadata filter: {column: value}, {column: {'$gte': value}}, {'$and': [filters]}; reaches the scan."""
     for key, want in where.items():
@@ -98,9 +153,14 @@ def matching(df: DataFrame, where: dict) -> DataFrame:
     return df
 
 
+def word_slot(word: Column, size: int) -> Column:
+    """A word's slot from 0 to size - 1, by the first six digits of its MD5: any engine can work it out."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("int"), F.lit(size))
+
+
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A stand-in encoder: counts of hashed words, at length 1. No model is needed."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    return normalised(counts)
+    """A stand-in encoder: counts of hashed words, at length 1. No model is needed. Null and wordless text is all zeros."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    slots = F.transform(words, lambda w: word_slot(w, size))
+    counts = once(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double")))
+    return once(counts, normalised)

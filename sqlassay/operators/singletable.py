@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import jaccard
+from ..functions.arrays import jaccard, once
 
 # Aggregate numbers of single-table queries, months, and what separates words in headers.
 AGGREGATES = ("", "MAX", "MIN", "COUNT", "SUM", "AVG")
@@ -31,32 +31,44 @@ def safe_headers(df: DataFrame, key: str, headers: str, reserved: tuple[str, ...
     return rows.withColumn("safe", F.when(before > 0, F.concat_ws("_", "__name", before.cast("string"))).otherwise(F.col("__name"))).drop("__name")
 
 
-def resolve_column(name: Column, headers: Column, least: float = 0.6, min_tokens: int = 1) -> Column:
-    """Index of the header that ``name`` means, or null.
+def value_lite(c: Column) -> Column:
+    """value() without dates, number formats, articles and leftovers of cards: quotes and percent signs go, case too."""
+    v = F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, "[−–]", "-")), "^[\"']+|[\"']+$", ""), "%+$", ""))
+    return once(v, lambda x: once(F.when(x.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), x.try_cast("double")), lambda n: F.struct(n.alias("num"), F.when(n.isNull(), x).alias("str"))))
+
+
+def resolve_column(name: Column, headers: Column, least: float = 0.6, min_tokens: int = 1, lite: bool = False) -> Column:
+    """Index of the header that ``name`` means, or null; ``lite`` does not look inside AGG(...) or behind col_.
 
     colN; the very name; the normalised name; the name without AGG(...) or col_; the most
     alike by words, from ``least`` on; the first that begins like it, or it like that.
     """
-    bare = F.regexp_replace(F.trim(name), r"(?i)^(?:MAX|MIN|COUNT|SUM|AVG)\s*\(\s*(?:DISTINCT\s+)?(.*?)\s*\)$", "$1")
-    number = F.regexp_extract(F.lower(bare), r"^col(\d{1,6})$", 1)
-    bare = F.regexp_replace(bare, r"(?i)^col_", "")
-    want = column_name(bare)
-    words = F.split(want, " ")
+    bare = F.regexp_replace(F.trim(name), r"(?i)^(?:MAX|MIN|COUNT|SUM|AVG)\s*\(\s*(?:DISTINCT\s+)?(.*?)\s*\)$", "$1") if not lite else F.trim(name)
     names = F.transform(headers, column_name)
 
-    def first(test) -> Column:
-        hit = F.array_position(F.transform(names, test), True)
-        return F.when(hit > 0, hit - 1)
+    def resolve(x: Column) -> Column:
+        """x: number (of colN), bare, want (the normalised name), words, names (the normalised headers)."""
+        want, words, known = x["want"], x["words"], x["names"]
+
+        def first(test) -> Column:
+            hit = F.array_position(F.transform(known, test), True)
+            return F.when(hit > 0, hit - 1)
 
-    exact = F.array_position(headers, bare)
-    alike = F.transform(names, lambda h: F.when((F.size(words) >= min_tokens), jaccard(F.split(h, " "), words)).otherwise(F.lit(0.0)))
-    best = F.array_max(alike)
-    numbered = F.when(number.cast("int") < F.size(headers), number.cast("int"))
-    found = F.coalesce(
-        F.when(exact > 0, exact - 1), first(lambda h: h == want), F.when(best >= least, F.array_position(alike, best) - 1),
-        F.when(want != "", first(lambda h: h.startswith(want) | want.startswith(h))),
-    )
-    return F.when(number != "", numbered).otherwise(found).cast("int")
+        exact = F.array_position(headers, x["bare"])
+        alike = F.transform(known, lambda h: F.when((F.size(words) >= min_tokens), jaccard(F.split(h, " "), words)).otherwise(F.lit(0.0)))
+        near = once(alike, lambda a: F.when(F.array_max(a) >= least, F.array_position(a, F.array_max(a)) - 1))
+        numbered = F.when(x["number"].cast("int") < F.size(headers), x["number"].cast("int"))
+        found = F.coalesce(
+            F.when(exact > 0, exact - 1), first(lambda h: h == want), near,
+            F.when(want != "", first(lambda h: h.startswith(want) | want.startswith(h))),
+        )
+        return F.when(x["number"] != "", numbered).otherwise(found).cast("int")
+
+    def described(b: Column) -> Column:
+        plain = b if lite else F.regexp_replace(b, r"(?i)^col_", "")
+        return once(column_name(plain), lambda w: F.struct(F.regexp_extract(F.lower(b), r"^col(\d{1,6})$", 1).alias("number"), plain.alias("bare"), w.alias("want"), F.split(w, " ").alias("words"), names.alias("names")))
+
+    return once(once(bare, described), resolve)
 
 
 def operator_index(op: Column) -> Column:
@@ -65,18 +77,14 @@ def operator_index(op: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """Month D, YYYY and D Month YYYY as YYYY-MM-DD; other text as it is."""
-    low = F.lower(F.trim(c))
     us, uk = r"^([a-z]+) (\d{1,2}), (\d{4})$", r"^(\d{1,2}) ([a-z]+) (\d{4})$"
+    months = F.array(*map(F.lit, MONTHS))
 
-    def month(n: Column) -> Column:
-        return F.array_position(F.array(*map(F.lit, MONTHS)), n)
-
-    def build(m: Column, d: Column, y: Column) -> Column:
-        return F.when(month(m) > 0, F.concat_ws("-", y, F.lpad(month(m).cast("string"), 2, "0"), F.lpad(d, 2, "0")))
+    def build(low: Column, pattern: str, m: int, d: int) -> Column:
+        number = lambda n: F.when(n > 0, F.concat_ws("-", F.regexp_extract(low, pattern, 3), F.lpad(n.cast("string"), 2, "0"), F.lpad(F.regexp_extract(low, pattern, d), 2, "0")))
+        return F.when(low.rlike(pattern), once(F.array_position(months, F.regexp_extract(low, pattern, m)), number))
 
-    first = build(F.regexp_extract(low, us, 1), F.regexp_extract(low, us, 2), F.regexp_extract(low, us, 3))
-    second = build(F.regexp_extract(low, uk, 2), F.regexp_extract(low, uk, 1), F.regexp_extract(low, uk, 3))
-    return F.coalesce(first, second, c)
+    return F.coalesce(once(F.lower(F.trim(c)), lambda low: F.coalesce(build(low, us, 1, 2), build(low, uk, 2, 1))), c)
 
 
 def number_text(c: Column) -> Column:
@@ -90,11 +98,17 @@ def value(c: Column) -> Column:
     v = F.regexp_replace(v, "[−–]", "-")
     v = F.regexp_replace(F.regexp_replace(v, '^"+|"+$', ""), "^'+|'+$", "")
     v = F.lower(F.regexp_replace(F.regexp_replace(v, r"(?i)\s*category:articles with hcards$", ""), r"(?i)^the\s+", ""))
-    dated = iso_date(v)
-    plain = number_text(v)
-    num = F.when(plain.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), plain.try_cast("double"))
-    text = F.when(plain.rlike(r"[a-z]"), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(F.regexp_replace(plain, r"[\s,]+", ""))
-    return F.when(dated != v, F.struct(F.lit(None).cast("double").alias("num"), dated.alias("str"))).otherwise(F.struct(num.alias("num"), F.when(num.isNull(), text).alias("str")))
+
+    def shown(plain: Column) -> Column:
+        num = F.when(plain.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), plain.try_cast("double"))
+        text = F.when(plain.rlike(r"[a-z]"), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(F.regexp_replace(plain, r"[\s,]+", ""))
+        return once(num, lambda n: F.struct(n.alias("num"), F.when(n.isNull(), text).alias("str")))
+
+    def read(x: Column) -> Column:
+        dated = lambda d: F.when(d != x, F.struct(F.lit(None).cast("double").alias("num"), d.alias("str"))).otherwise(once(number_text(x), shown))
+        return once(iso_date(x), dated)
+
+    return once(v, read)
 
 
 def values_match(a: Column, b: Column) -> Column:
@@ -144,12 +158,17 @@ def conditions_match(pred: Column, gold: Column, match=values_match, relaxed: bo
 
 def structural(pred: Column, gold: Column, match=values_match, relaxed: bool = True) -> Column:
     """struct(agg_ok, sel_ok, cond_ok, em) of {agg, sel, conds} structs; COUNT ignores the column; a missing MAX or MIN is forgiven if gold has conditions."""
-    agg = pred["agg"] == gold["agg"]
-    if relaxed:
-        agg = agg | ((pred["agg"] == 0) & gold["agg"].isin(1, 2) & (F.size(gold["conds"]) > 0))
-    sel = (pred["sel"] == gold["sel"]) | ((pred["agg"] == 3) & (gold["agg"] == 3))
-    cond = conditions_match(pred["conds"], gold["conds"], match, relaxed)
-    return F.struct(agg.alias("agg_ok"), sel.alias("sel_ok"), cond.alias("cond_ok"), (agg & sel & cond).alias("em"))
+
+    def compare(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        agg = p["agg"] == g["agg"]
+        if relaxed:
+            agg = agg | ((p["agg"] == 0) & g["agg"].isin(1, 2) & (F.size(g["conds"]) > 0))
+        sel = (p["sel"] == g["sel"]) | ((p["agg"] == 3) & (g["agg"] == 3))
+        made = F.struct(agg.alias("agg"), sel.alias("sel"), conditions_match(p["conds"], g["conds"], match, relaxed).alias("cond"))
+        return once(made, lambda m: F.struct(m["agg"].alias("agg_ok"), m["sel"].alias("sel_ok"), m["cond"].alias("cond_ok"), (m["agg"] & m["sel"] & m["cond"]).alias("em")))
+
+    return once(F.struct(pred.alias("p"), gold.alias("g")), compare)
 
 
 def parse_single(sql: Column, headers: Column) -> Column:
@@ -171,7 +190,7 @@ def parse_single(sql: Column, headers: Column) -> Column:
         return F.struct(resolve_column(name, headers).alias("col"), op.alias("op"), value(x["v"]).alias("val"))
 
     conds = F.filter(F.transform(found, build), lambda c: c["col"].isNotNull())
-    return F.when(sel.isNotNull(), F.struct(F.greatest(agg, F.lit(0)).cast("int").alias("agg"), sel.cast("int").alias("sel"), conds.alias("conds"), star.alias("count_star")))
+    return once(sel, lambda s: F.when(s.isNotNull(), F.struct(F.greatest(agg, F.lit(0)).cast("int").alias("agg"), s.cast("int").alias("sel"), conds.alias("conds"), star.alias("count_star"))))
 
 
 def failure_category(gold_ok: Column, pred_ok: Column, agg: Column, sel: Column, cond: Column) -> Column:
@@ -225,22 +244,51 @@ def dominant_failure(report: DataFrame, ok: str = "ok") -> DataFrame:
     return report.filter(F.col("category") != ok).groupBy().agg(F.min_by("category", F.struct(-F.col("count"), F.col("category"))).alias("category"), F.max("count").alias("count"))
 
 
+def readable(conds: Column, headers: Column) -> Column:
+    """Conditions as text: header, operator and value of each, joined by AND."""
+    operators = F.array(*map(F.lit, ("=", ">", "<", "OP")))
+
+    def show(c: Column) -> Column:
+        name = F.coalesce(F.get(headers, c["col"]), F.concat(F.lit("col"), c["col"].cast("string")))
+        return F.concat_ws(" ", name, F.element_at(operators, c["op"] + 1), F.coalesce(c["val"]["num"].cast("string"), c["val"]["str"]))
+
+    return F.array_join(F.transform(conds, show), " AND ")
+
+
+def accuracy_by(rows: DataFrame, key: str) -> DataFrame:
+    """accuracy() for each value of a column."""
+    parsed = F.col("gold_ok") & F.col("pred_ok")
+    n, ok = F.count(F.lit(1)), F.sum(F.when(parsed, 1).otherwise(0))
+    hits = lambda c: F.sum(F.when(parsed & F.col(c), 1).otherwise(0))
+    return rows.groupBy(key).agg(n.alias("total"), (n - ok).alias("parse_failures"), F.round(hits("em") / n, 6).alias("em"))
+
+
 def run_single(queries: DataFrame, cells: DataFrame) -> DataFrame:
     """Execute all single-table queries in one job.
 
     queries: query_id, db_id, agg, sel, conds; cells: db_id, row_id, col, value. Returns
     query_id, n_rows and, by aggregate number, the result (rounded text; a sorted array of
     values without one). Conditions compare as numbers where both sides are.
+
+    Cells are read as values once, on one side. Conditions for equality find their cells by
+    what these hold, in a hash join; only the others look at a whole column. Values are
+    collected for queries without aggregate alone, whose result they are.
     """
-    conds = queries.select("query_id", "db_id", F.size("conds").alias("need"), F.explode_outer("conds").alias("c"))
-    wanted = conds.filter("need > 0").select("query_id", "db_id", "need", F.col("c.col").alias("col"), F.col("c.op").alias("op"), F.col("c.val").alias("val"))
-    hit = wanted.join(cells, ["db_id", "col"]).withColumn("have", value(F.col("value")))
-    num, text = F.col("have.num") - F.col("val.num"), F.col("have.str") == F.col("val.str")
-    ok = F.when(F.col("op") == 0, F.coalesce(F.abs(num) < 1e-9, text)).when(F.col("op") == 1, num > 0).when(F.col("op") == 2, num < 0).otherwise(text)
-    kept = hit.filter(ok).groupBy("query_id", "db_id", "row_id", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need").select("query_id", "db_id", "row_id")
-    free = queries.filter(F.size("conds") == 0).select("query_id", "db_id").join(cells.select("db_id", "row_id").distinct(), "db_id").select("query_id", "db_id", "row_id")
-    rows = kept.unionByName(free).join(queries.select("query_id", "agg", F.greatest("sel", F.lit(0)).alias("col")), "query_id").join(cells, ["db_id", "row_id", "col"])
+    ready = cells.withColumn("have", value(F.col("value"))).select("db_id", "row_id", "col", "value", "have", mark(F.col("have")).alias("mark"))
+    conds = queries.select("query_id", "db_id", F.size("conds").alias("need"), F.posexplode("conds").alias("at", "c"))
+    wanted = conds.select("query_id", "db_id", "need", F.col("c.col").alias("col"), F.col("c.op").alias("op"), F.col("c.val").alias("val"), mark(F.col("c.val")).alias("mark"))
+    equal = wanted.filter("op = 0 OR op = 3 AND val.num IS NULL").join(ready.select("db_id", "row_id", "col", "mark"), ["db_id", "col", "mark"]).select("query_id", "db_id", "row_id", "need")
+    num = F.col("have.num") - F.col("val.num")
+    other = wanted.filter("op = 1 OR op = 2").drop("mark").join(ready, ["db_id", "col"]).filter(((F.col("op") == 1) & (num > 0)) | ((F.col("op") == 2) & (num < 0))).select("query_id", "db_id", "row_id", "need")
+    kept = equal.unionByName(other).groupBy("query_id", "db_id", "row_id", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need").select("query_id", "db_id", "row_id")
+    free = queries.filter(F.size("conds") == 0).select("query_id", "db_id").join(ready.select("db_id", "row_id").distinct(), "db_id").select("query_id", "db_id", "row_id")
+    rows = kept.unionByName(free).join(queries.select("query_id", "agg", F.greatest("sel", F.lit(0)).alias("col")), "query_id").join(ready.select("db_id", "row_id", "col", "value"), ["db_id", "row_id", "col"])
     n = F.col("value").try_cast("double")
-    all_aggs = rows.groupBy("query_id", "agg").agg(F.count(F.lit(1)).alias("n_rows"), F.max(n).alias("x1"), F.min(n).alias("x2"), F.sum(n).alias("x4"), F.avg(n).alias("x5"), F.array_sort(F.collect_list("value")).alias("x0"))
+    all_aggs = rows.groupBy("query_id", "agg").agg(F.count(F.lit(1)).alias("n_rows"), F.max(n).alias("x1"), F.min(n).alias("x2"), F.sum(n).alias("x4"), F.avg(n).alias("x5"), F.array_sort(F.collect_list(F.when(F.col("agg") == 0, F.col("value")))).alias("x0"))
     pick = F.when(F.col("agg") == 3, F.col("n_rows").cast("double")).when(F.col("agg") == 1, F.col("x1")).when(F.col("agg") == 2, F.col("x2")).when(F.col("agg") == 4, F.col("x4")).when(F.col("agg") == 5, F.col("x5"))
     return all_aggs.select("query_id", "n_rows", F.round(pick, 6).alias("result"), F.when(F.col("agg") == 0, F.col("x0")).alias("values"))
+
+
+def mark(v: Column) -> Column:
+    """What values that are equal have in common: the number to nine places, or the text."""
+    return F.coalesce(F.concat(F.lit("n"), F.round(v["num"], 9).cast("string")), F.concat(F.lit("s"), v["str"]))

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import jaccard
-from ..shipping import ship
 
 # What a question's words say about the pattern it needs.
 PATTERN_WORDS = {
-    "aggregation": "average mean avg sum total count,how many,number of,max maximum min minimum",
-    "grouping": "each every per by group",
-    "ranking": "top bottom highest lowest best worst first last",
-    "filtering": "where with that which greater less equal between",
+    "aggregation": ("average", "mean", "avg", "sum", "total", "count", "how many", "number of", "max", "maximum", "min", "minimum"),
+    "grouping": ("each", "every", "per", "by", "group"),
+    "ranking": ("top", "bottom", "highest", "lowest", "best", "worst", "first", "last"),
+    "filtering": ("where", "with", "that", "which", "greater", "less", "equal", "between"),
 }
 REQUIRED_WORDS = {"join": ("join", "combine", "with", "and"), "group by": ("group", "each", "per"), "order by": ("order", "sort", "top", "highest", "lowest"), "limit": ("limit", "top", "first", "last")}
 IMPLIED = {"aggregation": ("aggregat", "average", "sum"), "grouping": ("each", "per"), "ranking": ("top", "rank")}
@@ -32,10 +28,6 @@ def has_any(text: Column, words) -> Column:
     return out
 
 
-def _words(s: str) -> list[str]:
-    return [w for part in s.split(",") for w in ([part] if part in ("how many", "number of") else part.split())]
-
-
 # ---- store -------------------------------------------------------------------------------
 
 
@@ -114,8 +106,8 @@ def with_rules(strategies: DataFrame) -> DataFrame:
 def question_patterns(question: Column, tables: Column | None = None, intent: Column | None = None) -> Column:
     """Pattern names that a question's words imply; basic_select if none."""
     q = F.lower(question)
-    found = [F.when(has_any(q, _words(w)), F.lit(k)) for k, w in PATTERN_WORDS.items()]
-    found.insert(3, F.when(has_any(q, _words(PATTERN_WORDS["ranking"])), F.lit("ordering")))
+    found = [F.when(has_any(q, w), F.lit(k)) for k, w in PATTERN_WORDS.items()]
+    found.insert(3, F.when(has_any(q, PATTERN_WORDS["ranking"]), F.lit("ordering")))
     if tables is not None:
         found.append(F.when(F.size(F.filter(tables, lambda t: q.contains(F.lower(t)))) > 1, F.lit("join")))
     names = F.array_compact(F.array(*found))
@@ -183,28 +175,22 @@ def union_candidates(sources: list[DataFrame], most: int, key: str = "q_id") ->
 def diverse(candidates: DataFrame, k: int, key: str = "q_id", alike: float = 0.85) -> DataFrame:
     """k of each query's ranked candidates, none with the pattern or nearly the keywords of a better one while others are left.
 
-    Greedy, so one query's candidates (at most what ranked() let through) are one group.
+    Chosen in k rounds over all queries at once: a round takes each query's best candidate that
+    is like none chosen before, or, where there is none left, its best other one. No query's
+    candidates are gathered in one task.
     """
-
-    def pick(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["rank", "strategy_id"])
-        rows, chosen = list(f.itertuples(index=False)), []
-
-        def near(a, b) -> bool:
-            x, y = set(a.keywords), set(b.keywords)
-            return a.pattern == b.pattern or (bool(x | y) and len(x & y) / len(x | y) > alike)
-
-        for r in rows:
-            if len(chosen) < k and not any(near(r, c) for c in chosen):
-                chosen.append(r)
-        for r in rows:
-            if len(chosen) < k and r not in chosen:
-                chosen.append(r)
-        out = pd.DataFrame(chosen, columns=f.columns)
-        return out.assign(rank=range(1, len(out) + 1))
-
-    ship(candidates.sparkSession)
-    return candidates.groupBy(key).applyInPandas(pick, candidates.schema)
+    chosen, first = None, F.struct("rank", "strategy_id")
+    for place in range(1, k + 1):
+        if chosen is None:
+            free = candidates.withColumn("__near", F.lit(False))
+        else:
+            taken = chosen.groupBy(key).agg(F.collect_list(F.struct("strategy_id", "pattern", "keywords")).alias("__taken"))  # fewer than k each
+            near = F.exists("__taken", lambda c: (c["pattern"] == F.col("pattern")) | (jaccard(c["keywords"], F.col("keywords")) > alike))
+            free = candidates.join(taken, key).filter(~F.exists("__taken", lambda c: c["strategy_id"] == F.col("strategy_id"))).withColumn("__near", near).drop("__taken")
+        row = F.struct(*candidates.columns)
+        best = free.groupBy(key).agg(F.min_by(row, F.struct("__near", first)).alias("__r")).select("__r.*").withColumn("rank", F.lit(place).cast("int"))
+        chosen = best if chosen is None else chosen.unionByName(best)
+    return chosen
 
 
 def explanation(similarity: Column, intent: Column, rate: Column, samples: Column) -> Column:
@@ -427,7 +413,3 @@ def refine_loop(questions: DataFrame, attempt, judge, rounds: int = 3, good: flo
             break
     return best_candidates(best)
 
-
-def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The shape of a generator to be put in with mapInPandas; this one passes rows on."""
-    yield from frames

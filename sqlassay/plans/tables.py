@@ -102,10 +102,11 @@ def v01_cosine_topk(spark, sf):
     return retrieval.top(pairs, 10, F.desc("similarity"), F.col("id")).select("q_id", "id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, 1.0 AS unit FROM embeddings")
+@query("""SELECT vec_id, k AS place, round(CASE WHEN n > 0 THEN embedding[k + 1]::DOUBLE / n ELSE 0.0 END, 6) AS x
+    FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n, unnest(range(len(embedding))) AS k FROM embeddings)""")
 def v02_normalise(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding", retrieval.normalised(F.col("embedding")).alias("u"))
-    return e.select("vec_id", F.round(retrieval.norm(F.col("embedding")), 5).alias("norm"), F.round(retrieval.norm(F.col("u")), 6).alias("unit"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(retrieval.normalised(F.col("embedding"))).alias("place", "x"))
+    return e.select("vec_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS near FROM pairs),
@@ -143,9 +144,8 @@ def v10_filter_algebra(spark, sf):
     s AS (SELECT *, round(0.6 * s + 0.4 * (id % 10) / 10, 6) AS score FROM r WHERE near <= 10), t AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM s) SELECT q_id, id, rank::BIGINT AS rank, score FROM t WHERE rank <= 5""")
 def v11_hybrid_rerank(spark, sf):
     pairs = _pairs(spark, sf).withColumn("similarity", F.round("similarity", 9))
-    near = retrieval.top(pairs, 10, F.desc("similarity"), F.col("id")).drop("rank")
-    near = near.withColumn("score", F.round(0.6 * F.col("similarity") + 0.4 * (F.col("id") % 10) / 10, 6))
-    return retrieval.top(near, 5, F.desc("score"), F.col("id")).select("q_id", "id", F.col("rank").cast("long").alias("rank"), "score")
+    found = retrieval.hybrid_search(pairs, 5, (F.col("id") % 10) / 10).withColumn("score", F.round("score", 6))
+    return found.select("q_id", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 # ---- strategies --------------------------------------------------------------------------
@@ -219,14 +219,13 @@ def k08_ranked(spark, sf):
     return strategies.ranked(rows).select("q_id", "strategy_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT user_id AS q_id, event_type AS pattern, 1::BIGINT AS n FROM (SELECT user_id, event_type, min(event_id) AS first, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS k FROM events GROUP BY 1, 2) WHERE k <= 3
-    AND user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 3)""")
+@query("""WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS again FROM events)
+    SELECT user_id AS q_id, event_id AS strategy_id, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY again > 1, place) AS k FROM r) WHERE k <= 3""")
 def k09_diverse(spark, sf):
-    e = table(spark, sf, "events")
-    wide = e.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds")).filter("kinds >= 3").select("user_id")
-    rows = e.join(wide, "user_id").select(F.col("user_id").alias("q_id"), F.col("event_id").alias("strategy_id"), F.col("event_type").alias("pattern"), F.array(F.col("event_id").cast("string")).alias("keywords"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("strategy_id")))
-    return strategies.diverse(rows, 3).groupBy("q_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    # every user: those of few types fill up with repeated ones
+    e = table(spark, sf, "events").select(F.col("user_id").alias("q_id"), F.col("event_id").alias("strategy_id"), F.col("event_type").alias("pattern"), F.array(F.col("event_id").cast("string")).alias("keywords"))
+    rows = e.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("strategy_id")))
+    return strategies.diverse(rows, 3).select("q_id", "strategy_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT p_partkey AS id, ['aggregation,ranking', 'grouping', 'basic_select', 'aggregation,filtering'][(p_partkey % 4 + 1)::INT] AS patterns FROM part""")
@@ -365,7 +364,8 @@ def s13_cells(spark, sf):
     return corpora.cells(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), rows.alias("rows")))
 
 
-@query()
+@query("""SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split, count(*) AS n
+    FROM (SELECT ('0x' || substr(md5('7/' || doc_id), 1, 8))::BIGINT / 4294967296 AS u FROM documents) GROUP BY 1""")
 def s12_hash_split(spark, sf):
     rows = corpora.hash_split(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", {"train": 0.8, "dev": 0.1, "test": 0.1})
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

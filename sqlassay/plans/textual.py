@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import parser, quotes, semantic, sqltext
-from ..functions import prompts
+from ..functions import parser, prompts, quotes, semantic, sqltext, statements
 from ..operators import grading, singletable
 from ..sources import corpora
 from .registry import query, table
@@ -70,7 +69,7 @@ def n08_underscores(spark, sf):
 def n09_top1_to_max(spark, sf):
     k = F.col("p_partkey") % 3
     sql = F.when(k == 0, F.concat(F.lit("SELECT pick FROM `table` WHERE c = '"), "p_brand", F.lit("' ORDER BY x DESC LIMIT 1"))).when(k == 1, F.lit("SELECT pick FROM table ORDER BY pick ASC LIMIT 1")).otherwise(F.lit("SELECT SUM(pick) FROM table"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), sqltext.repair_single_table(sql).alias("out"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), statements.repair_single_table(sql).alias("out"))
 
 
 @query("SELECT p_partkey AS id, 'SELECT MAX(size) FROM wikisql_data WHERE brand = ''' || p_brand || ''' AND col9 = 1 AND name = 2' AS out FROM part")
@@ -89,7 +88,7 @@ def n12_quoted(spark, sf):
 def n13_extract(spark, sf):
     k = F.col("p_partkey") % 3
     text = F.when(k == 0, F.concat(F.lit("Here it is:\n```sql\nSELECT a FROM t\n WHERE s = "), F.col("p_size").cast("string"), F.lit(";\n```\nDone."))).when(k == 1, F.lit("Final SQL: SELECT b FROM `t`\n\nThis works.")).otherwise(F.lit("SELECT x FROM u\nthen\nSELECT c FROM t"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), sqltext.extract_sql(text).alias("out"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), statements.extract_sql(text).alias("out"))
 
 
 @query("SELECT p_partkey AS id, p_partkey % 3 <> 2 AS valid, p_partkey % 3 = 0 AS complete FROM part")
@@ -136,13 +135,6 @@ def n23_names(spark, sf):
     return df.select("id", F.array_join(sqltext.tables_in(F.col("sql")), ",").alias("tables"), F.array_join(sqltext.columns_in(F.col("sql")), ",").alias("columns"))
 
 
-@query("SELECT lower(p_brand) AS wanted, min(p_brand) AS stored FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
-def n24_literal_casing(spark, sf):
-    p = table(spark, sf, "part").select("p_brand")
-    stored = p.groupBy(F.lower(F.trim("p_brand")).alias("wanted")).agg(F.countDistinct("p_brand").alias("n"), F.min("p_brand").alias("stored")).filter("n = 1")
-    return p.select(F.lower("p_brand").alias("wanted")).distinct().join(stored, "wanted").select("wanted", "stored")
-
-
 @query("SELECT p_partkey AS id, CASE WHEN length(p_name) <= 8 THEN p_name ELSE substr(p_name, 1, 5) || '...' END AS short, p_brand AS sql, p_type AS db_id FROM part")
 def n27_text_helpers(spark, sf):
     p = table(spark, sf, "part")
@@ -210,15 +202,8 @@ def p01_tokens(spark, sf):
     return df.select("id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(toks, " ").alias("joined"))
 
 
-@query("SELECT p_partkey AS id, unnest(['root', 'where']) AS role FROM part WHERE p_partkey % 4 = 2")
-def d11_node_rows(spark, sf):
-    rows = parser.parse_statements(_pairs(spark, sf).filter("id % 4 = 2").withColumn("catalog", F.lit(CATALOG)), "gold_sql", "catalog", "gold")
-    return parser.node_rows(rows.select("id", F.col("gold.tree").alias("tree")), "id", "tree").select("id", "role")
-
-
 @query("SELECT p_partkey AS id, unnest(CASE WHEN p_partkey % 4 = 2 THEN ['root', 'where'] ELSE ['root'] END) AS role FROM part")
-def d11_node_rows_all(spark, sf):
-    # every statement of the table; d11_node_rows shows those with a nested one alone
+def d11_node_rows(spark, sf):
     rows = parser.parse_statements(_pairs(spark, sf).withColumn("catalog", F.lit(CATALOG)), "gold_sql", "catalog", "gold")
     return parser.node_rows(rows.select("id", F.col("gold.tree").alias("tree")), "id", "tree").select("id", "role")
 
@@ -239,9 +224,11 @@ def _headers():
     return F.array(*map(F.lit, HEADERS))
 
 
-@query("SELECT p_partkey AS id, 'SELECT MAX(col2) FROM table WHERE col1 = ''' || p_brand || ''' AND col2 > ''' || p_size || '''' AS sql FROM part")
+@query("SELECT p_partkey AS id, 'SELECT MAX(col2) FROM table WHERE col1 = ''' || p_brand || ''' AND col2 > ' || p_size AS sql FROM part")
 def s07_render_gold(spark, sf):
-    conds = F.array(F.struct(F.lit(1).alias("col"), F.lit(0).alias("op"), F.col("p_brand").alias("val")), F.struct(F.lit(2).alias("col"), F.lit(1).alias("op"), F.col("p_size").cast("string").alias("val")))
+    # text is quoted, numbers are not
+    cond = lambda c, o, v, text: F.struct(F.lit(c).alias("col"), F.lit(o).alias("op"), v.alias("val"), F.lit(text).alias("is_text"))
+    conds = F.array(cond(1, 0, F.col("p_brand"), True), cond(2, 1, F.col("p_size").cast("string"), False))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), corpora.render_gold(F.lit(1), F.lit(2), conds).alias("sql"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,27 +13,50 @@ from ..functions import sqltext
 EXAMPLES = "db_id string, question string, query string, sql string, query_toks array<string>, query_toks_no_value array<string>, question_toks array<string>"
 SINGLE = "question_id long, db_id string, question string, sql string, query string, table_id string, table struct<header:array<string>,rows:array<array<string>>,name:string,types:array<string>>"
 CATALOG = "db_id string, table_names array<string>, table_names_original array<string>, column_names array<array<string>>, column_names_original array<array<string>>, column_types array<string>, primary_keys array<int>, foreign_keys array<array<int>>"
+TABLE_RECORD = "id string, name string, header array<string>, types array<string>, rows array<array<string>>"
 SPLITS = ("train", "dev", "test")
+CORRUPT = "__unreadable"
 #: Aggregates and operators of structured single-table gold, by number.
 AGGREGATES, OPERATORS = ("", "MAX", "MIN", "COUNT", "SUM", "AVG"), ("=", ">", "<", "OP")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool | None = None) -> DataFrame:
-    """A JSON array, or JSON lines (by default for .jsonl); an empty table when there is nothing to read."""
+    """A JSON array, or JSON lines (by default for .jsonl); an empty table when there is nothing that can be read.
+
+    A file that is no JSON counts as nothing to read, as a missing one does. A bad line among
+    JSON lines is refused: no row is dropped in silence.
+    """
     lines = path.endswith(".jsonl") if lines is None else lines
-    reader = spark.read.option("multiLine", not lines).option("mode", "DROPMALFORMED")
+    none = spark.createDataFrame([], schema or "value string")
+    reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     try:
-        return (reader.schema(schema) if schema else reader).json(path)
+        rows = (reader.schema(f"{schema}, {CORRUPT} string") if schema else reader).json(path)
     except Exception as e:  # AnalysisException of a missing path; anything else is a fault
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        return spark.createDataFrame([], schema or "value string")
+        return none
+    if CORRUPT not in rows.columns:
+        return rows
+    if rows.columns == [CORRUPT] or rows.filter(F.col(CORRUPT).isNotNull()).limit(1).collect():
+        if lines:
+            raise ValueError(f"{path} has lines that are no JSON records")
+        return none
+    return rows.drop(CORRUPT)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_text(df: DataFrame, path: str, column: str = "value") -> None:
+    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def table_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of single tables, from a JSON array or JSON lines: id, header, rows, types, name."""
+    return read_json(spark, path, TABLE_RECORD)
+
+
 def load_split(spark: SparkSession, folder: str, split: str, schema: str = EXAMPLES) -> DataFrame:
     """A corpus split, with example_id in file order; unknown splits are refused, missing files are empty."""
     if split not in SPLITS:
@@ -112,11 +134,19 @@ def single_examples(questions: DataFrame, tables: DataFrame, most_rows: int = 5)
 
 
 def render_gold(agg: Column, sel: Column, conds: Column, table: str = "table") -> Column:
-    """SELECT AGG(colN) FROM table WHERE colI op v AND ... from structured gold; conds: array of struct(col, op, val)."""
+    """SELECT AGG(colN) FROM table WHERE colI op v AND ... from structured gold.
+
+    conds: array of struct(col, op, val, is_text); values that are text are quoted, others not.
+    """
     name = F.concat(F.lit("col"), sel.cast("string"))
     fn = F.element_at(F.array(*map(F.lit, AGGREGATES)), agg + 1)
     head = F.concat(F.lit("SELECT "), F.when(fn != "", F.concat(fn, F.lit("("), name, F.lit(")"))).otherwise(name), F.lit(f" FROM {table}"))
-    each = F.transform(conds, lambda c: F.concat(F.lit("col"), c["col"].cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, OPERATORS)), c["op"] + 1), F.lit(" '"), F.replace(c["val"], F.lit("'"), F.lit("''")), F.lit("'")))
+
+    def shown(c: Column) -> Column:
+        quoted = F.concat(F.lit("'"), F.replace(c["val"], F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.when(c["is_text"], quoted).otherwise(c["val"])
+
+    each = F.transform(conds, lambda c: F.concat(F.lit("col"), c["col"].cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, OPERATORS)), c["op"] + 1), F.lit(" "), shown(c)))
     return F.when(F.size(conds) > 0, F.concat(head, F.lit(" WHERE "), F.array_join(each, " AND "))).otherwise(head)
 
 
@@ -142,10 +172,7 @@ def sql_type(kind: Column) -> Column:
 
 def export_tsv(df: DataFrame, path: str, *columns: str) -> None:
     """Tab-separated lines of the columns; rows that lack one are left out."""
-    full = df
-    for c in columns:
-        full = full.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
-    full.select(F.concat_ws("\t", *[F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " ") for c in columns]).alias("value")).write.mode("overwrite").text(path)
+    write_text(tsv_lines(df, *columns), path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -186,8 +213,9 @@ def replace_failed(predictions: DataFrame, again: DataFrame, key: str = "line")
 
 
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 7) -> DataFrame:
-    """Add ``split``: by a hash of ``key``, so equal keys stay together and reruns agree."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") / float(2**53)
+    """Add ``split``: by a digest of ``key`` that any engine can work out, so equal keys stay together and reruns agree."""
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8)
+    u = F.conv(digest, 16, 10).cast("double") / float(2**32)
     total, edge, out = sum(shares.values()), 1.0, None
     for name in reversed(list(shares)):
         out = F.lit(name) if out is None else F.when(u < edge, F.lit(name)).otherwise(out)
@@ -200,6 +228,96 @@ def few_shot(df: DataFrame, per: str, k: int, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(per).orderBy(order))).filter(F.col("__n") <= k).drop("__n")
 
 
+def database_split(df: DataFrame, shares: dict[str, float], seed: int = 7) -> DataFrame:
+    """A database's examples all go to one split."""
+    return hash_split(df, "db_id", shares, seed)
+
+
+def difficulty_split(df: DataFrame, shares: dict[str, float], key: str = "example_id", level: str = "hardness", seed: int = 7) -> DataFrame:
+    """Every difficulty is split by the same shares: dealt by a hash of key and level."""
+    return hash_split(df.withColumn("__level", F.concat_ws("/", level, F.col(key).cast("string"))), "__level", shares, seed).drop("__level")
+
+
+def cross_domain_split(df: DataFrame, test: list[str]) -> DataFrame:
+    """The named databases are the test split; the others train."""
+    return df.withColumn("split", F.when(F.col("db_id").isin(test), "test").otherwise("train"))
+
+
+def samples(df: DataFrame, n: int, order: str = "example_id") -> DataFrame:
+    """The first n examples: a look at a split."""
+    return df.orderBy(order).limit(n)
+
+
+def databases(df: DataFrame) -> DataFrame:
+    return df.select("db_id").distinct()
+
+
+def database_schema(tables: DataFrame, db_id: str) -> DataFrame:
+    return catalog_rows(tables.filter(F.col("db_id") == db_id))
+
+
+def verified_counts(examples: DataFrame, expected: DataFrame) -> DataFrame:
+    """(split, expected, found, ok) of the expected sizes of splits."""
+    found = examples.groupBy("split").agg(F.count(F.lit(1)).alias("found"))
+    out = expected.join(found, "split", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return out.select("split", "expected", "found", (F.col("expected") == F.col("found")).alias("ok"))
+
+
+def headers_for(rows: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
+    """Add headers: of the first of the sources (key, headers) that has any."""
+    out = rows
+    for k, s in enumerate(sources):
+        out = out.join(s.select(key, F.col("headers").alias(f"__h{k}")), key, "left")
+    some = [F.when(F.size(f"__h{k}") > 0, F.col(f"__h{k}")) for k in range(len(sources))]
+    return out.withColumn("headers", F.coalesce(*some)).drop(*[f"__h{k}" for k in range(len(sources))])
+
+
+def catalog_headers(tables: DataFrame) -> DataFrame:
+    """(db_id, headers) of catalog entries: the first table's columns in order."""
+    rows = catalog_rows(tables).filter("table_idx = 0")
+    return rows.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "column"))), lambda x: x["column"]).alias("headers"))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(line, sql) of lines ``sql<TAB>db_id``: a blank line is an empty prediction and keeps its number."""
+    return predictions(numbered(spark.read.text(path), "line"))
+
+
+def predictions(lines: DataFrame) -> DataFrame:
+    return lines.select("line", F.trim(F.split(F.trim("value"), "\t")[0]).alias("sql"))
+
+
+def first_pair(gold: DataFrame, pred: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row that shows what is compared: the first line's database, headers (eight at most), gold and prediction."""
+    g = gold.orderBy("line").limit(1)
+    shown = g.join(headers, "db_id", "left").join(pred.withColumnRenamed("sql", "pred_sql"), "line", "left")
+    return shown.select("db_id", F.slice("headers", 1, 8).alias("headers"), F.substring("sql", 1, 100).alias("gold_sql"), F.substring("pred_sql", 1, 100).alias("pred_sql"))
+
+
+def prefilled(sql: Column) -> Column:
+    """What a truncated prediction is continued from: its text and FROM; complete ones stay."""
+    return F.when(sqltext.is_complete(sql), sql).otherwise(F.concat(F.rtrim(sql), F.lit(" FROM ")))
+
+
+def tsv_lines(df: DataFrame, *columns: str) -> DataFrame:
+    """(value): tab-separated lines of the columns; rows that lack one are left out."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
+    return df.select("*", F.concat_ws("\t", *[F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " ") for c in columns]).alias("value"))
+
+
+def convert_split(spark: SparkSession, folder: str, split: str, out: str) -> dict[str, int]:
+    """A split as three files of lines: sql and database, question and database, all three; lines in each."""
+    rows = load_split(spark, folder, split).withColumn("sql", F.coalesce("query", "sql"))
+    kinds = {"sql": ("sql", "db_id"), "questions": ("question", "db_id"), "full": ("question", "sql", "db_id")}
+    sizes = {}
+    for name, columns in kinds.items():
+        lines = tsv_lines(rows, *columns)
+        write_text(lines, f"{out}/{split}_{name}")
+        sizes[name] = lines.count()
+    return sizes
+
+
 def inferred_schema(queries: DataFrame) -> DataFrame:
     """Per db_id: names of tables and columns that its statements use."""
     t = queries.select("db_id", F.explode(sqltext.tables_in(F.col("query"))).alias("name"), F.lit("table").alias("kind"))
@@ -210,15 +328,54 @@ def inferred_schema(queries: DataFrame) -> DataFrame:
 # ---- vector collections ------------------------------------------------------------------
 
 
-def write_collection(rows: DataFrame, path: str, name: str, reset: bool = True) -> None:
-    """A collection of (id, document, embedding, metadata columns) as Parquet under ``collection=name``."""
-    rows.dropDuplicates(["id"]).write.mode("overwrite" if reset else "append").parquet(f"{path}/collection={name}")
+def collection_path(path: str, name: str, dataset: str | None = None) -> str:
+    """Where a collection lies; a dataset's collections bear its name."""
+    return f"{path}/collection={dataset + '_' if dataset else ''}{name}"
+
+
+def write_collection(rows: DataFrame, path: str, name: str, reset: bool = True, dataset: str | None = None) -> None:
+    """A collection of (id, document, embedding, metadata columns) as Parquet; written anew, or rows added."""
+    rows.dropDuplicates(["id"]).write.mode("overwrite" if reset else "append").parquet(collection_path(path, name, dataset))
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/collection=*")
 
 
+def read_collection(spark: SparkSession, path: str, name: str, dataset: str | None = None) -> DataFrame | None:
+    """One collection; none where it is missing or empty."""
+    where = collection_path(path, name, dataset)
+    if not _exists(spark, where):
+        return None
+    rows = spark.read.parquet(where)
+    return None if rows.isEmpty() else rows
+
+
+def delete_collection(spark: SparkSession, path: str, name: str, dataset: str | None = None) -> bool:
+    """Whether there was one to delete."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(collection_path(path, name, dataset))
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def first_readable(*loaders) -> DataFrame | None:
+    """The first table that a loader gives with a row in it: the corpus on disk, a converted one, a sample."""
+    for load in loaders:
+        try:
+            rows = load()
+        except Exception as e:  # a loader without its files
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        if rows is not None and not rows.isEmpty():
+            return rows
+    return None
+
+
 def index_rows(examples: DataFrame, kind: str, document: Column, embedding: Column) -> DataFrame:
     """Records for a collection: ids ``split_number``, the text and its vector, and metadata."""
     return examples.select(F.concat_ws("_", "split", F.col("example_id").cast("string")).alias("id"), document.alias("document"), embedding.alias("embedding"), "db_id", "question", "query", "split", F.lit(kind).alias("type"))
@@ -250,9 +407,7 @@ def introspect(spark: SparkSession, tables: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "table string, col_idx int, column string, type string, nullable boolean")
 
 
+
 def sample_rows(spark: SparkSession, table: str, n: int = 3) -> DataFrame:
+    """The first rows of a table as JSON: a look at it, for a prompt."""
     return spark.table(table).limit(n).select(F.to_json(F.struct("*")).alias("row"))
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text).strip("_")
