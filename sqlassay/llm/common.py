@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,7 +59,13 @@ def discard(*staged_tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        forget_shuffles(df.sparkSession)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs, whose plans nothing holds any more, now and not in half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def whole(docs: DataFrame) -> Column:

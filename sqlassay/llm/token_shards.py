@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import discard, scratch, staged
+from .common import discard, forget_shuffles, scratch, staged
 from .media import filesystem
 from .tokens import encoder, release, text_blocks, tokenizer_path
 
@@ -108,7 +108,10 @@ def token_stream(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -
     # the last key only splits rows that agree in the others, whose order does not matter
     dealt = docs.select(*keys, "text").repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
     shape = f"task int, at long, n long, ids binary, doc_ids array<{kind}>, doc_at array<long>, doc_lengths array<long>"
-    return staged(dealt.select("doc_id", "text").mapInArrow(encode, shape), "token-stream")
+    out = staged(dealt.select("doc_id", "text").mapInArrow(encode, shape), "token-stream")
+    del dealt
+    forget_shuffles(docs.sparkSession)  # that of the texts is of no more use
+    return out
 
 
 def slots_of(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
