@@ -65,8 +65,10 @@ def lookup(h: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Place of each hash in sorted ``names``, -1 where it is missing."""
     if not len(names):
         return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-    return np.where(names[at] == h, at, -1)
+    # each distinct hash once and in order: the search then goes through the table from end to end
+    some, which = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(names, some), len(names) - 1)
+    return np.where(names[at] == some, at, -1)[which]
 
 
 def word_counts(train: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sqlassay.llm import brown, common, exact, hilbert, induced, jaccard, langid, media, mixing, packing, suffix, token_shards
+from sqlassay.llm import brown, common, components, exact, hilbert, induced, jaccard, langid, media, mixing, packing, suffix, token_shards
 from sqlassay.llm.tokens import WordEncoder, tokenizer_path
 
 from .conftest import texts
@@ -323,6 +323,25 @@ def test_large_family(spark):
     assert got == {i: root(i) for i in sets}
 
 
+@pytest.mark.parametrize("task_links", [10**6, 60])
+def test_components(spark, task_links):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (150, 2))] + [(1000, 1000 + k) for k in range(1, 60)] + [(2000 + k, 2001 + k) for k in range(20)] + [(5, 5)]
+    up = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long"), task_links).collect()}
+    assert all(got.get(x, x) == root(x) for x in up)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for n in (1, 2, 4, 5, 6, 9, 20, 60, 300):
