@@ -220,6 +220,50 @@ def test_class_bigrams(table):
     assert got == Counter((i, len(ws) + 1, sum(w in counts for w in [*ws, None]), round(base[i, tuple(ws)], 4)) for i, ws in rows)
 
 
+def test_class_bigram_probabilities(docs):
+    # every text's score once more in plain Python, from the classes alone
+    import math
+
+    rows = [(i, [*WORD.findall(lower(t)), None]) for i, t in texts(docs)]
+    train = [ws for i, ws in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    n = Counter(w for ws in train for w in ws)
+    folded = langid.fold(F.col("doc_id"), 7) == 2
+    table = brown.word_table(docs.filter(~folded).select("doc_id", "text"))
+    words = table.filter("place >= 0").count()
+    streams = brown.unit_streams(docs.select("doc_id", folded.alias("held_out"), "text"), table, words, False)
+    model = brown.fit(streams.filter("NOT held_out"), table, words)
+    place = {r["h"]: r["place"] for r in table.collect()}
+    label = {r["place"]: r["label"] for r in docs.sparkSession.read.parquet(model["labels"]).collect()}
+    known = {}
+    for w in {w for _, ws in rows for w in ws}:
+        h, shape, _ = brown.tokens([b"" if w is None else w.encode()])
+        own = int(h[:1].view(np.int64)[0])
+        clustered = n[w] >= brown.LEAST
+        assert clustered == (place.get(own, -1) >= 0)
+        known[w] = (label[place[own]], None) if clustered else (int(model["shapes"][shape[0]]), int(shape[0]))
+    pair, inside, many, shape_n, shape_v = Counter(), Counter(), Counter(int(c) for c in model["shapes"]), Counter(), Counter()
+    for ws in train:
+        pair.update((known[a][0], known[b][0]) for a, b in zip([None, *ws], ws))
+    for w, c in n.items():
+        inside[known[w][0]] += c
+        if known[w][1] is None:
+            many[known[w][0]] += 1
+        else:
+            shape_n[known[w][1]] += c
+            shape_v[known[w][1]] += 1
+    first = Counter()
+    for (a, _), c in pair.items():
+        first[a] += c
+
+    def log_p(a, b):
+        c, shape = known[b]
+        p = (pair[known[a][0], c] + brown.ALPHA) / (first[known[a][0]] + brown.ALPHA * brown.CLASSES) / (inside[c] + brown.ALPHA * max(many[c], 1))
+        return math.log10(p * (n[b] + brown.ALPHA) if shape is None else p * (shape_n[shape] + brown.ALPHA) * (n[b] + 1) / (shape_n[shape] + shape_v[shape] + 1))
+
+    want = {i: sum(log_p(a, b) for a, b in zip([None, *ws], ws)) for i, ws in rows}
+    assert {r["doc_id"]: r["score"] for r in brown.score(docs).collect()} == pytest.approx(want)
+
+
 def test_class_bigrams_beat_the_base(docs):
     held = [r for r in brown.score(docs).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
@@ -248,13 +292,14 @@ def test_class_bigrams_cluster_every_repeated_word(spark, monkeypatch):
     assert not {h[w] for w in "abcdefgh"} & {h[w] for w in "ijklmnop"}
 
 
-@pytest.mark.parametrize("small_blocks", [False, True])
-def test_near_duplicates(table, small_blocks):
-    rows = texts(table)
-    sets = {}
-    for _, t in rows:
-        w = WORD.findall(lower(t))
-        sets[t] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+def shingles(t):
+    w = WORD.findall(lower(t))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_classes(names):
+    """text -> one text that stands for its class, none without words; by comparing all pairs."""
+    sets = {t: shingles(t) for t in names}
     names = list(sets)
     up = {t: t for t in names}
 
@@ -268,6 +313,14 @@ def test_near_duplicates(table, small_blocks):
             i = len(sets[a] & sets[b])
             if sets[a] and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
                 up[root(a)] = root(b)
+    return {t: root(t) if sets[t] else None for t in names}
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_near_duplicates(table, small_blocks):
+    rows = texts(table)
+    sets = {t: shingles(t) for _, t in rows}
+    root = near_classes([t for _, t in rows]).get
     least = defaultdict(list)
     for i, t in rows:
         if sets[t] and i is not None:
@@ -441,15 +494,21 @@ def test_documents_stay_without_labels(odd):
     assert kept.columns == plain.columns and Counter(texts(kept)) == want and want
 
 
-def test_packing(table):
+def pieces_of(rows):
+    """Each text's ids by the public tokenizer and an end, in pieces."""
     enc = Tokenizer.from_file(tokenizer_path())
     enc.encode_special_tokens = True
-    want = Counter()
-    for i, t in texts(table):
-        ids = np.array([*enc.encode(t, add_special_tokens=False).ids, 1], "<u4")
-        for p in range(-(-len(ids) // 4096)):
-            x = ids[p * 4096 : (p + 1) * 4096]
-            want[i, p, p * 4096, len(x), zlib.crc32(x.tobytes())] += 1
+    want, known = Counter(), {}
+    for i, t in rows:
+        if t not in known:
+            ids = np.array([*enc.encode(t, add_special_tokens=False).ids, 1], "<u4")
+            known[t] = [(p, p * 4096, len(x), zlib.crc32(x.tobytes())) for p in range(-(-len(ids) // 4096)) for x in (ids[p * 4096 : (p + 1) * 4096],)]
+        want.update((i, *p) for p in known[t])
+    return want
+
+
+def test_packing(table):
+    want = pieces_of(texts(table))
     got = packing.pack_documents(table).collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     fill = defaultdict(int)
