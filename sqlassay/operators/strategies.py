@@ -340,8 +340,13 @@ def strategy_similarity(a: dict, b: dict) -> Column:
 
 
 def merge_pairs(store: DataFrame, over: float = 0.9) -> DataFrame:
-    """(a, b, similarity) of strategies alike, a before b; pairs share a pattern part or a keyword, which ``over`` 0.5 implies."""
-    keys = store.withColumn("__key", F.explode(F.array_distinct(F.concat(F.split("pattern", "_"), "keywords", "steps"))))
+    """(a, b, similarity) of strategies alike, a before b.
+
+    Over 0.7 a pair must share a keyword, since pattern and steps alone give no more; then only
+    keywords make candidates. Over 0.5 it must share a part of the pattern or a keyword.
+    """
+    parts = F.col("keywords") if over >= 0.7 else F.concat(F.split("pattern", "_"), "keywords")
+    keys = store.withColumn("__key", F.explode(F.array_distinct(parts)))
     x, y = keys.alias("x"), keys.alias("y")
     pairs = x.join(y, (F.col("x.__key") == F.col("y.__key")) & (F.col("x.strategy_id") < F.col("y.strategy_id")))
     cols = ("pattern", "keywords", "steps")
