@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -64,8 +65,10 @@ def discard(*staged_tables: DataFrame) -> None:
 
 def forget_shuffles(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of finished jobs, whose plans nothing holds any more, now and not in half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection only finds what the last job's plan held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def whole(docs: DataFrame) -> Column:

@@ -340,6 +340,14 @@ def test_near_duplicates(table, small_blocks):
         assert Counter(texts(kept)) == want
 
 
+@pytest.mark.parametrize("many, sets", [(0, 1), (5, 5), (4000, 7), (90_000, 80_000)])
+def test_signatures_travel_whole(many, sets):
+    rng = np.random.default_rng(many)
+    sig, ids = np.sort(rng.integers(0, 2**64, many, dtype=np.uint64)), rng.integers(-(2**63), 2**63, sets)[rng.integers(0, sets, many)]
+    short, back = jaccard._unpacked(jaccard._packed(sig, ids))
+    assert (short == sig >> np.uint64(24)).all() and (back == ids).all()
+
+
 def test_sets_whose_ids_clash(docs):
     # ids of 6 bits: most sets share one, and a second hash tells them apart
     plain, short = (jaccard.set_ids(docs.select("doc_id", "text"), bits=bits).select("doc_id", "set_id") for bits in (64, 6))
