@@ -68,8 +68,9 @@ def rule_matches(questions: DataFrame, rules: DataFrame, key: str = "q_id", text
     sizes = [r["n"] for r in heads.select(F.length("__head").alias("n")).distinct().collect() if r["n"]]  # of 1, 2 and 3
     asked = questions.select(key, F.lower(text).alias("__text"))
     grams = [F.array_distinct(F.regexp_extract_all("__text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sizes]
-    met = asked.withColumn("__head", F.explode(F.flatten(F.array(*grams)))).join(heads, "__head")
-    return met.filter(F.col("__text").contains(F.col("__word"))).select(key, "name").distinct()
+    # texts stay out of the exploded rows, and are joined to what came through
+    met = asked.select(key, F.explode(F.flatten(F.array(*grams))).alias("__head")).join(heads, "__head").select(key, "name", "__word")
+    return met.join(asked, key).filter(F.col("__text").contains(F.col("__word"))).select(key, "name").distinct()
 
 
 def schema_entities(question: Column, tables: Column) -> Column:
