@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import brown, exact, hilbert, jaccard, langid, media, mixing, packing, suffix, token_shards
+from . import brown, exact, fim, hilbert, jaccard, langid, marked_words, media, mixing, packing, spelling, suffix, token_shards
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,23 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_token_shards(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(documents(spark, sf_dir))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_marked_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = marked_words.encode_documents(documents(spark, sf_dir))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_media_columns, op4_exact_dedup, op5_class_bigrams, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_media_columns, op4_exact_dedup, op5_class_bigrams, op6_near_duplicates, op7_token_shards, op8_hilbert_shards, op9_language_id, op10_best_fit_packing, op11_fill_in_middle, op12_marked_word_ids, op13_spelling_variants)
 }
 
 ORACLES: dict[str, str] = {
@@ -62,4 +78,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        u AS (SELECT *, CASE WHEN text = '' THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') END AS units,
+                     ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u),
+        f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                     array_to_string(units[1:a], '') AS head, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS tail FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle
+                                ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM f""",
 }
