@@ -2,36 +2,36 @@
 
 A marked word is a run of whitespace markers with what follows it up to the next marker. Where
 no piece has a marker behind another character, no merge reaches from one marked word into the
-next, so a text's ids are those of its marked words in turn. Texts are gathered in blocks; a
-block knows its distinct marked words and, by position, which of them its texts consist of.
-The distinct words of all blocks are segmented once each, and ids and decoded words go back to
-the blocks that have them.
+next, so a text's ids are those of its marked words in turn. A task keeps a table of the
+distinct marked words of its texts. A text becomes their numbers, by position; words that the
+table lacks are segmented together, once each; ids and decoded words are taken by number.
+
+Each task has a table of its own. One table of all words, filled by a distinct() and joined
+back, would save half of the segmentations, but has to move a quarter of all words twice.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import staged
 from .tokens import release, text_blocks
 
 MARKER = "▁"
 #: A marked word, with blanks for markers.
 MARKED = re.compile(" +[^ ]*")
 _START = re.compile("(?<! ) ")
-#: Characters of text in a block, and in one part of a very long text.
-BLOCK = 8_000_000
-#: Distinct marked words segmented together.
-BATCH = 20_000
-BLOCK_COLUMNS = ["unit", "part", "ids", "lengths", "goes_on", "total", "positions", "words"]
+#: Bytes of texts taken together, and characters of a part of a very long text.
+BLOCK = 2_000_000
+#: Words of a table, at about 200 bytes each; beyond that all are forgotten, and the next block starts a new one.
+TABLE = 400_000
+COLUMNS = ["doc_id", "n_tokens", "ids", "decoded"]
 _models: dict = {}
 
 
@@ -67,145 +67,95 @@ def parts(text: str, limit: int = BLOCK) -> Iterator[list[str]]:
         a = b
 
 
-class Block:
-    """Texts under way: rows (doc_id, number of marked words, whether the text goes on) and positions in the list of distinct words."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = defaultdict(lambda: len(self.number))
-        self.ids: list = []
-        self.lengths: list[int] = []
-        self.goes_on: list[bool] = []
-        self.positions: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, doc_id: object, words: list[str], goes_on: bool) -> None:
+class WordTable:
+    """Distinct marked words by number, with their ids and what they decode to."""
+
+    def __init__(self, path: str, most: int = TABLE):
+        self.model, self.most = model(path), most
+        # behind these a word is decoded as it stands inside a text
+        self.front = self.model.encode("a")
+        self.skip = len(self.model.decode(self.front))
+        # an empty text gets no ids, a lone marker has one: the last of "a "
+        self.lone = self.model.encode("a ")[len(self.front) :]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.decoded: list[str] = []
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.first = np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Segment the words that have a number and no ids yet."""
+        new = list(islice(self.number, len(self.decoded), None))
+        # the library puts the first marker before a text itself
+        found = [x or self.lone for x in self.model.encode([w[1:] for w in new], num_threads=1)]
+        said = (t[self.skip :] for t in self.model.decode([self.front + x for x in found], num_threads=1))
+        self.decoded += [w if w == t else t for w, t in zip(new, said)]
+        ends = self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.first = np.concatenate([self.first, ends])
+        while self.first[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[ends[0] - len(found[0]) : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Of the words of a block: all their ids, how many each has, and what each decodes to."""
+        if len(self.number) > self.most:
+            self._clear()
         number = self.number
-        self.positions.append(np.fromiter((number[w] for w in words), np.uint32, len(words)))
-        self.ids.append(doc_id)
-        self.lengths.append(len(words))
-        self.goes_on.append(goes_on)
-        self.size += sum(map(len, words)) + 20
-
-    def row(self, unit: int, part: int, schema: pa.Schema) -> pa.RecordBatch:
-        flat = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
-        packed = pa.compress(flat.astype("<u2" if len(self.number) <= 65536 else "<u4").tobytes(), codec="zstd", asbytes=True)
-        values = (unit, part, self.ids, self.lengths, self.goes_on, len(flat), packed, list(self.number))
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
-
-
-def _blocks(docs: DataFrame, limit: int) -> DataFrame:
-    """Blocks of all documents: unit and part (a text that goes on fills the parts of one unit), and what Block has."""
-    id_kind = dict(docs.dtypes)["doc_id"]
-    shape = f"unit long, part long, ids array<{id_kind}>, lengths array<long>, goes_on array<boolean>, total long, positions binary, words array<string>"
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        release()
-        base, unit, part = TaskContext.get().partitionId() << 33, 0, 0
-        block, schema = Block(), None
-        for batch in batches:
-            kinds = (pa.int64(), pa.int64(), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.list_(pa.string()))
-            schema = schema or pa.schema(list(zip(BLOCK_COLUMNS, kinds)))
-            for a, b, texts in text_blocks(batch, limit):
-                for doc_id, text in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), texts):
-                    held = None
-                    for words in parts(text, limit):
-                        if held is not None:
-                            block.add(doc_id, held, True)
-                            yield block.row(base + unit, part, schema)
-                            block, part = Block(), part + 1
-                        held = words
-                    block.add(doc_id, held or [], False)
-                    if block.size >= limit:
-                        yield block.row(base + unit, part, schema)
-                        block, unit, part = Block(), unit + 1, 0
-        if block.ids:
-            yield block.row(base + unit, part, schema)
-
-    return docs.select("doc_id", "text").mapInArrow(gather, shape)
-
-
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded) of distinct marked words; ids as little-endian unsigned 32-bit integers, decoded with blanks in front."""
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        m = model(path)
-        front = m.encode("a")  # behind it a word is decoded as it stands inside a text
-        skip = len(m.decode(front))
-        for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                column = batch.column("word").slice(k, BATCH)
-                # the library puts the first marker before a text itself
-                found = m.encode([w[1:] for w in column.to_pylist()], num_threads=1)
-                # an empty text has no marker, a lone marker has: it is the id that ends "a "
-                found = [x or m.encode("a ")[len(front) :] for x in found]
-                decoded = [t[skip:] for t in m.decode([front + x for x in found], num_threads=1)]
-                ids = pa.array([np.array(x, "<u4").tobytes() for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([column, ids, pa.array(decoded, pa.string())], ["word", "ids", "decoded"])
-
-    return words.select("word").distinct().mapInArrow(segment, "word string, ids binary, decoded string")
-
+        at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        if len(number) > len(self.decoded):
+            self._learn()
+        many = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(many)
+        flat = self.ids[np.repeat(self.first[at] - ends + many, many) + np.arange(ends[-1] if len(at) else 0)]
+        return flat, many, [self.decoded[k] for k in at.tolist()]
+
+
+def _encoded(texts: list[str], table: WordTable, limit: int) -> Iterator[tuple[int, bytes, str]]:
+    """n_tokens, ids and decoded of each text; one text longer than ``limit`` goes through part by part."""
+    begin, end = table.model.bos_id(), table.model.eos_id()
+    if len(texts) == 1:
+        ids, said = [np.array([begin], "<u4").tobytes()], []
+        for words in parts(texts[0], limit):
+            flat, _, decoded = table.look_up(words)
+            ids.append(flat.astype("<u4", copy=False).tobytes())
+            said.append("".join(decoded))
+        ids.append(np.array([end], "<u4").tobytes())
+        whole, text = b"".join(ids), "".join(said)
+        # the first marker is the library's own
+        yield len(whole) // 4, whole, text.removeprefix(" ")
+        return
+    found = [next(parts(t, len(t) + 1), []) for t in texts]
+    flat, many, decoded = table.look_up([w for words in found for w in words])
+    word = np.cumsum([0, *map(len, found)])
+    token = np.concatenate([[0], np.cumsum(many)])[word]
+    # the end of a text, and the beginning of the next, lie where one passes into the other
+    data = np.insert(flat, np.repeat(token, 2)[1:-1], np.tile([begin, end], len(texts))).astype("<u4").tobytes()
+    token = 4 * (token + 2 * np.arange(len(token)))
+    for k in range(len(texts)):
+        yield int(token[k + 1] - token[k]) // 4, data[token[k] : token[k + 1]], "".join(decoded[word[k] : word[k + 1]]).removeprefix(" ")
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, block: int = BLOCK, most_words: int = TABLE) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit, begin and end id included), decoded.
 
-def _assemble(blocks: DataFrame, id_kind: str, path: str) -> DataFrame:
-    """Documents of sorted blocks: doc_id, ids and decoded; the parts of a very long one are put together."""
-    names = ["doc_id", "n_tokens", "ids", "decoded"]
+    Ids and decoded text are those of the sentencepiece library for the whole text; null counts
+    as empty. Repeated rows are encoded as often as they occur. A word without blanks is
+    segmented whole, however long. A very long text goes through in parts of ``block``
+    characters, cut before a marked word, and its ids and decoded text are put together at the end, at
+    about four times its size. Tables hold ``most_words`` words and those of a block at
+    most. An empty table gives no rows; other columns are ignored.
+    """
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        m = model(path)
-        begin, end = (np.array([x], "<u4").tobytes() for x in (m.bos_id(), m.eos_id()))
-        ids: list[bytes] = []
-        text: list[str] = []
+        words = WordTable(path, most_words)
         for batch in batches:
-            for row in range(batch.num_rows):
-                at = {n: batch.column(k).slice(row, 1) for k, n in enumerate(batch.schema.names)}
-                lengths, goes_on = at["lengths"][0].as_py(), at["goes_on"][0].as_py()
-                total, table = at["total"][0].as_py(), at["table"].flatten()
-                k, encoded, decoded = (table.field(x) for x in range(3))
-                order = np.argsort(k.to_numpy(zero_copy_only=False))
-                few = len(order) <= 65536
-                raw = pa.decompress(at["positions"][0].as_py(), total * (2 if few else 4), codec="zstd", asbytes=True) if total else b""
-                positions = np.frombuffer(raw, "<u2" if few else "<u4")
-                encoded, decoded = encoded.take(pa.array(order)).to_pylist(), decoded.take(pa.array(order)).to_pylist()
-                out: list[tuple] = []
-                a = 0
-                for n, more in zip(lengths, goes_on):
-                    some = positions[a : a + n].tolist()
-                    a += n
-                    ids.extend([encoded[x] for x in some])
-                    text.extend([decoded[x] for x in some])
-                    if more:
-                        ids, text = [b"".join(ids)], ["".join(text)]
-                        continue
-                    whole, said = b"".join((begin, *ids, end)), "".join(text)
-                    # the first marker is the library's own
-                    out.append((len(whole) // 4, whole, said[1:] if said.startswith(" ") else said))
-                    ids, text = [], []
-                if out:
-                    who = at["ids"].flatten().slice(0, len(lengths)).filter(pa.array([not x for x in goes_on]))
-                    yield pa.RecordBatch.from_arrays([who, *map(pa.array, zip(*out), (pa.int64(), pa.binary(), pa.string()))], names)
-
-    columns = ["ids", "lengths", "goes_on", "total", "positions", "table"]
-    return blocks.select(*columns).mapInArrow(join, f"doc_id {id_kind}, n_tokens long, ids binary, decoded string")
-
-
-def encode_documents(docs: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit, begin and end id included), decoded.
+            for a, b, texts in text_blocks(batch, block):
+                rows = zip(*_encoded(texts, words, block))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, rows, (pa.int64(), pa.binary(), pa.string()))], COLUMNS)
 
-    Ids and decoded text are those of the sentencepiece library for the whole text; null counts
-    as empty. Repeated rows are encoded as often as they occur, but their words once. A word
-    without blanks is segmented whole, however long. A very long text goes through in blocks of
-    ``block`` characters, cut before a marked word, and is put together at the end, when it
-    takes about four times its size. An empty table gives no rows; other columns are ignored.
-    """
-    spark, path = ship(docs.sparkSession), path or model_path()
-    blocks = staged(_blocks(docs, block), "blocks")
-    entries = blocks.select("unit", "part", F.posexplode("words").alias("k", "word"))
-    table = staged(word_table(entries, path), "words")
-    back = entries.join(table, "word").groupBy("unit", "part").agg(F.collect_list(F.struct("k", "ids", "decoded")).alias("table"))
-    # blocks without any word have only empty texts
-    whole = blocks.drop("words").join(back, ["unit", "part"], "left")
-    whole = whole.repartition("unit").sortWithinPartitions("unit", "part")
-    return _assemble(whole, dict(docs.dtypes)["doc_id"], path)
+    ship(docs.sparkSession)
+    path, kind = path or model_path(), dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, decoded string")

@@ -107,6 +107,7 @@ def test_sentencepiece_ids_in_small_blocks(spark, block):
     rows += [(900, " "), (901, "  "), (902, "▁"), (903, " ▁x"), (904, None), (905, ""), (906, " " * 40 + "x"), (None, "one two"), (None, "one two")]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert encoded(table, block=block) == pieces_of(table)
+    assert encoded(table, block=block, most_words=20) == pieces_of(table)
 
 
 def test_models_whose_pieces_cross_words_are_refused(monkeypatch):
