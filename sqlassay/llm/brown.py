@@ -172,12 +172,12 @@ def _labels(path: str, words: int) -> tuple[np.ndarray, np.ndarray]:
         from .media import filesystem
 
         files, root = filesystem(path)
-        label, n = np.zeros(words, np.int16), np.zeros(words, np.uint32)
+        label, n = np.zeros(words, np.int16), np.zeros(words, np.int64)
         for p in files.get_file_info(FileSelector(root)):
             if p.path.endswith(".parquet"):
                 t = pq.read_table(p.path, columns=["place", "label", "n"], filesystem=files)
                 at = t["place"].to_numpy()
-                label[at], n[at] = t["label"].to_numpy(), np.minimum(t["n"].to_numpy(), 2**32 - 1)
+                label[at], n[at] = t["label"].to_numpy(), t["n"].to_numpy()
         _tables.clear()
         _tables[path] = label, n
     return _tables[path]

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .words import hash_spans, word_spans
+from .words import hash_lanes, word_lanes, word_spans
 
 #: Words kept from one batch to the next, at about 30 bytes each; beyond that all are forgotten.
 CACHE_WORDS = 3_000_000
@@ -33,9 +33,10 @@ class WordEncoder:
     """Encodes texts by a word-level tokenizer whose ids do not depend on white space or on the case of A-Z.
 
     Such a tokenizer gives a text the ids of its words in turn, so each distinct word is
-    encoded once. Words are told apart by 64-bit hashes, found for a whole batch in numpy.
-    Unknown ones are encoded many at a time as one text and told apart by the tokens that end
-    a word.
+    encoded once. Words are looked up by 64-bit hashes, for a whole batch in numpy, and what is
+    found is compared with the word, byte for byte; should two words share a hash, their texts
+    go to the tokenizer as they are. Unknown words are encoded many at a time as one text and
+    told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -51,10 +52,11 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        # sorted runs of (hashes, first id, number of ids); ids lie in one array
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # sorted runs of (hashes, first id, number of ids, first lane, bytes); ids and lanes (see words) lie in one array each
+        self.runs: list[tuple[np.ndarray, ...]] = []
         self.ids = np.zeros(1 << 16, self.unit)
-        self.used = 0
+        self.lanes = np.zeros(1 << 16, np.uint64)
+        self.used = self.used_lanes = 0
 
     def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -67,8 +69,8 @@ class WordEncoder:
             return self._one_by_one(words)
         return flat, np.diff(ends[want - 1], prepend=-1)
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Add words (each once) under their hashes."""
+    def _learn(self, hashes: np.ndarray, words: list[bytes], lanes: np.ndarray, size: np.ndarray) -> None:
+        """Add words (each once) under their hashes; ``lanes`` are those of all words in turn."""
         plain, pieces, odd = [], [], []
         for k, w in enumerate(words):
             if _PLAIN.fullmatch(w):
@@ -90,23 +92,29 @@ class WordEncoder:
         flat, counts = (np.concatenate(x) for x in zip(*parts))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.used_lanes + len(lanes) > len(self.lanes):
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
         self.ids[self.used : self.used + len(flat)] = flat
-        run = hashes[order], self.used + np.cumsum(counts) - counts, counts
+        self.lanes[self.used_lanes : self.used_lanes + len(lanes)] = lanes
+        many = (size + 7) >> 3
+        run = hashes[order], self.used + np.cumsum(counts) - counts, counts, (self.used_lanes + np.cumsum(many) - many)[order], size[order]
         self.used += len(flat)
+        self.used_lanes += len(lanes)
         self.runs.append(tuple(x[np.argsort(run[0])] for x in run))
         if len(self.runs) > 6:
             every = [np.concatenate(x) for x in zip(*self.runs)]
             by = np.argsort(every[0])
             self.runs = [tuple(x[by] for x in every)]
 
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First id and number of ids of each hash; -1 where it is unknown."""
-        start, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        for names, at, n in self.runs:
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First id, number of ids, first lane and bytes of each hash; first id -1 where it is unknown."""
+        found = np.full(len(h), -1, np.int64), *(np.zeros(len(h), np.int64) for _ in range(3))
+        for names, *values in self.runs:
             k = np.minimum(np.searchsorted(names, h), len(names) - 1)
             hit = names[k] == h
-            start[hit], count[hit] = at[k[hit]], n[k[hit]]
-        return start, count
+            for column, value in zip(found, values):
+                column[hit] = value[k[hit]]
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many belong to each text; a very long one is taken piece by piece."""
@@ -121,17 +129,38 @@ class WordEncoder:
         data, first, size, per = word_spans([t.encode() for t in texts])
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        h, at, index = np.unique(hash_spans(data, first, size), return_index=True, return_inverse=True)
-        start, count = self._find(h)
-        new = np.flatnonzero(start < 0)
+        lanes, begin, many = word_lanes(data, first, size)
+        h, at, index = np.unique(hash_lanes(lanes, begin, many, size), return_index=True, return_inverse=True)
+        if not _same(lanes, begin, size, lanes, begin[at[index]], size[at[index]]):
+            return self._whole(texts)
+        start, count, lane, length = self._find(h)
+        known, new = np.flatnonzero(start >= 0), np.flatnonzero(start < 0)
+        if not _same(lanes, begin[at[known]], size[at[known]], self.lanes, lane[known], length[known]):
+            return self._whole(texts)
         if len(new):
             a, n, raw = first[at[new]], size[at[new]], data.tobytes()
-            self._learn(h[new], [raw[x : x + y] for x, y in zip(a.tolist(), n.tolist())])
-            start[new], count[new] = self._find(h[new])
+            self._learn(h[new], [raw[x : x + y] for x, y in zip(a.tolist(), n.tolist())], lanes[_runs(begin[at[new]], many[at[new]])], n)
+            start[new], count[new], _, _ = self._find(h[new])
         lens = count[index]
-        total = np.concatenate([[0], np.cumsum(lens)])
-        flat = self.ids[np.repeat(start[index] - total[:-1], lens) + np.arange(total[-1])].astype(np.uint32)
-        return flat, np.diff(total[np.cumsum(per)], prepend=0)
+        flat = self.ids[_runs(start[index], lens)].astype(np.uint32)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.cumsum(per)], prepend=0)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
+
+
+def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each, ``many`` of them."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+
+
+def _same(x: np.ndarray, at: np.ndarray, size: np.ndarray, y: np.ndarray, where: np.ndarray, length: np.ndarray) -> bool:
+    """Whether all words, ``size`` bytes from lane ``at`` of x, are those of ``length`` bytes from lane ``where`` of y."""
+    if not np.array_equal(size, length):
+        return False
+    many = (size + 7) >> 3
+    return np.array_equal(x[_runs(at, many)], y[_runs(where, many)])
 
 
 def encoder(path: str) -> WordEncoder:

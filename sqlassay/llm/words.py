@@ -12,6 +12,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a lane.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Bytes of a very long text that are taken at once.
 PIECE = 1_000_000
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -63,12 +65,29 @@ def _pieces(text: bytes):
         a = b
 
 
-def hash_spans(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def word_lanes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of every word as 64-bit lanes (the last one filled up with zeros), each word's first lane and number of lanes."""
+    many = (size + 7) >> 3
+    start = np.cumsum(many) - many
     if not len(first):
+        return np.zeros(0, np.uint64), start, many
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(data), "<u8", padded.data, strides=(1,))
+    place = 8 * (np.arange(int(many.sum())) - np.repeat(start, many))
+    return at_byte[np.repeat(first, many) + place] & _FILLED[np.minimum(np.repeat(size, many) - place, 8)], start, many
+
+
+def hash_lanes(lanes: np.ndarray, start: np.ndarray, many: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of every word. Each lane is mixed with its place on its own before lanes are added, so no arrangement of bytes cancels out."""
+    if not len(start):
         return np.zeros(0, np.uint64)
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    terms = _BYTE[data[np.repeat(first, size) + place]] * _powers(int(size.max()))[place]
-    return mix64(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64) * _STEP)
+    salt = mix64(np.arange(1, int(many.max()) + 1).astype(np.uint64) * _STEP)
+    terms = mix64(lanes ^ salt[np.arange(len(lanes)) - np.repeat(start, many)])
+    return mix64(np.add.reduceat(terms, start) + size.astype(np.uint64) * _STEP)
+
+
+def hash_spans(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return hash_lanes(*word_lanes(data, first, size), size)
 
 
 def shingle_hashes(words: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
