@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parser, quotes, semantic, sqltext
-from ..functions.arrays import cell
 from ..sources import corpora
-from . import grading, results
+from . import execute, grading, results
 
 TURNS = ("turn 1", "turn 2", "turn 3", "turn 4", "turn > 4")
 
@@ -60,45 +60,41 @@ def grade(pairs: DataFrame, catalogs: DataFrame, verdicts: DataFrame | None = No
     return out.join(verdicts.select("line", F.col("equal").alias("execution_match")), "line", "left").withColumn("execution_match", F.coalesce("execution_match", F.lit(False)))
 
 
-def execution_rows(spark: SparkSession, statements: list[tuple], prepare: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run (query_id, side, sql) statements on the session's tables, as one job: (result rows, errors).
+# What may stand between two words that a statement is made of: literals and quoted names, kept as they are.
+_DISTINCT = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`)|\bdistinct\b", re.I)
+_YEAR = re.compile(r"year\s*\(\s*curdate\s*\(\s*\)\s*\)\s*", re.I)
 
-    Result rows: query_id, side, row_id, cells; results stay distributed, however large they
-    are. Errors (query_id, side, error) are statements that cannot be planned.
-    """
-    parts, errors = [], []
-    for query_id, side, sql in statements:
-        try:
-            df = spark.sql(prepare(sql) if prepare else sql)
-            columns = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-            cells = F.array(*[cell(F.col(c).cast("string")) for c in columns.columns])
-            parts.append(columns.select(F.lit(query_id).alias("query_id"), F.lit(side).alias("side"), F.monotonically_increasing_id().alias("row_id"), cells.alias("cells")))
-        except Exception as e:  # whatever a statement raises is its result
-            errors.append((query_id, side, str(e).splitlines()[0]))
-    kind = "string" if statements and isinstance(statements[0][0], str) else "long"
-    rows = parts[0] if parts else spark.createDataFrame([], f"query_id {kind}, side int, row_id long, cells array<string>")
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows, spark.createDataFrame(errors, f"query_id {kind}, side int, error string")
-
-
-def execution_verdicts(spark: SparkSession, pairs: list[tuple]) -> DataFrame:
-    """(line, equal, error) of (line, gold_sql, pred_sql): whether both give the same rows; in order where the gold sorts.
-
-    The pairs are a driver's list: one plan each. DISTINCT is dropped on both sides.
-    """
-    plain = lambda s: _no_distinct(s)
-    rows, errors = execution_rows(spark, [(line, side, sql) for line, g, p in pairs for side, sql in ((-1, g), (1, p))], plain)
-    asked = spark.createDataFrame([(line, "order by" in g.lower()) for line, g, _ in pairs], "query_id long, ordered boolean")
-    failed = errors.groupBy("query_id").agg(F.first("error").alias("error"))
-    out = results.results_equal(asked, rows).join(failed, "query_id", "left")
-    return out.select(F.col("query_id").alias("line"), (F.col("equal") & F.col("error").isNull()).alias("equal"), "error")
+
+def without_distinct(sql: str) -> str:
+    """The statement without the word DISTINCT, wherever it is not part of a literal or a quoted name."""
+    return _DISTINCT.sub(lambda m: m[1] or "", sql)
 
 
-def _no_distinct(sql: str) -> str:
-    import re
+def executable(sql: str, keep_distinct: bool = False) -> str:
+    """A statement as it is run: operators joined, the current year fixed, DISTINCT dropped unless kept."""
+    for a, b in (("> =", ">="), ("< =", "<="), ("! =", "!=")):
+        sql = sql.replace(a, b)
+    return _YEAR.sub("2020", sql if keep_distinct else without_distinct(sql))
 
-    return re.sub(r"(?i)\bdistinct\b", "", sql)
+
+def execution_verdicts(
+    spark: SparkSession, pairs: Iterable[tuple], keep_distinct: bool = False, prepare: Callable[[str], str] | None = None, seconds: float = execute.SECONDS, workers: int = execute.WORKERS
+) -> DataFrame:
+    """(line, equal, status, error) of (line, gold_sql, pred_sql): whether both give the same rows; in order where the gold sorts.
+
+    Every statement runs by itself (see execute.run_statements): one that fails or never ends
+    costs its own pair, whose status and error are then the gold's, or else the prediction's.
+    DISTINCT is dropped on both sides unless kept; ``prepare`` may put a statement into Spark's
+    dialect. The driver holds the statements, not their rows.
+    """
+    pairs = [(line, executable(g, keep_distinct), executable(p, keep_distinct)) for line, g, p in pairs]
+    rows, outcomes = execute.run_statements(spark, ((line, side, sql) for line, g, p in pairs for side, sql in ((-1, g), (1, p))), prepare, seconds, workers)
+    asked = spark.createDataFrame([(line, "order by" in g.lower()) for line, g, _ in pairs], "query_id long, ordered boolean")
+    failed = outcomes.filter(F.col("status") != execute.RESULT)
+    failed = failed.groupBy("query_id").agg(F.min_by(F.struct("status", "error"), "side").alias("f"))
+    out = results.results_equal(asked, results.placed(rows)).join(failed, "query_id", "left")
+    good = F.col("f").isNull()
+    return out.select(F.col("query_id").alias("line"), (F.col("equal") & good).alias("equal"), F.when(good, execute.RESULT).otherwise(F.col("f.status")).alias("status"), F.col("f.error").alias("error"))
 
 
 # ---- reports -----------------------------------------------------------------------------
@@ -191,6 +187,6 @@ def grade_files(spark: SparkSession, gold: str, pred: str, catalog: str, execute
     verdicts = None
     if execute:
         found = normalised_pairs(pairs.join(catalogs, "db_id")).select("line", "gold_sql", "pred_sql")
-        verdicts = execution_verdicts(spark, [tuple(r) for r in found.toLocalIterator()])
+        verdicts = execution_verdicts(spark, map(tuple, found.toLocalIterator()))
     graded = grade(pairs, catalogs, verdicts)
     return graded, report(graded)

@@ -7,14 +7,13 @@ label, cells an array of normalised strings. No result is collected: every test
 
 from __future__ import annotations
 
-from itertools import permutations, product
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cell
-from ..shipping import ship
+from ..staging import staged
 
 
 def result_rows(df: DataFrame, query_id: str, side: int, row_id: str, columns: list[str]) -> DataFrame:
@@ -38,54 +37,132 @@ def shapes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(*counts, *widths).join(quick, "query_id")
 
 
-def _orders(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """Orders of the prediction's columns under which every column has the label's values."""
+def _sum_of(*cols: str) -> Column:
+    """A number for a multiset: hashes of its members, added in halves that no result is large enough to overflow."""
+    h = F.xxhash64(*cols)
+    return F.xxhash64(F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))))
 
-    def one(p, g) -> list:
-        p, g = list(p), list(g)
-        choices = [[k for k, x in enumerate(p) if x == y] for y in g]
-        if len(g) <= 6:
-            return [list(o) for o in product(*choices) if len(set(o)) == len(o)]
-        # many columns: those with like values are tried in every order, classes apart
-        if sorted(p) != sorted(g):
-            return []
-        classes = {y: [k for k, x in enumerate(p) if x == y] for y in set(g)}
-        out = [{}]
-        for y, ks in classes.items():
-            at = [k for k, x in enumerate(g) if x == y]
-            out = [{**o, **dict(zip(at, order))} for o in out for order in permutations(ks)]
-        return [[o[k] for k in range(len(g))] for o in out]
 
-    return pd.Series([one(p, g) for p, g in zip(pred, gold)])
+def _by_column(value: str, side: int) -> Column:
+    """A side's values by column, as an array."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("col", value)))), lambda x: x[value])
+
+
+def _colours(rows: DataFrame) -> DataFrame:
+    """Per query the columns of both sides by their values: equal colours (gold, pred) where the values are, equal marks (gold_id, pred_id) where they are row by row."""
+    cells = rows.select("query_id", "side", "place", "row_id", F.posexplode("cells").alias("col", "v"))
+    each = cells.groupBy("query_id", "side", "col").agg(_sum_of("place", "v").alias("colour"), _sum_of("row_id", "v").alias("mark"))
+    lists = [_by_column(v, s).alias(n) for v, s, n in (("colour", -1, "gold"), ("colour", 1, "pred"), ("mark", -1, "gold_id"), ("mark", 1, "pred_id"))]
+    return each.groupBy("query_id").agg(*lists)
+
+
+def _refined(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """The states with each column's colour told apart further, by the rows that its values stand in."""
+    own = F.when(F.col("side") == -1, F.col("gold")).otherwise(F.col("pred"))
+    seen = rows.join(states.select("query_id", "gold", "pred"), "query_id").select("query_id", "side", "cells", own.alias("colours"))
+    row = F.xxhash64(F.array_sort(F.zip_with("cells", "colours", lambda v, c: F.xxhash64(v, c))))
+    each = seen.select("query_id", "side", row.alias("row"), F.posexplode(F.arrays_zip("cells", "colours")).alias("col", "x"))
+    each = each.groupBy("query_id", "side", "col", F.col("x.colours").alias("colour")).agg(_sum_of("row", "x.cells").alias("more"))
+    each = each.withColumn("colour", F.xxhash64("colour", "more"))
+    lists = each.groupBy("query_id").agg(_by_column("colour", -1).alias("gold"), _by_column("colour", 1).alias("pred"))
+    return states.drop("gold", "pred").join(lists, "query_id")
+
+
+def _open_column() -> Column:
+    """Place of the first gold column that is not alone in its colour, columns equal row by row aside; null if there is none."""
+    at = F.sequence(F.lit(0), F.size("gold") - 1)
+    def unlike(k):
+        return F.exists(at, lambda j: (F.get("gold", j) == F.get("gold", k)) & (F.get("gold_id", j) != F.get("gold_id", k)))
+    return F.get(F.filter(at, unlike), F.lit(0))
+
+
+def _same_rows(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """query_id of the states whose colours, put in order on both sides, make the rows agree, value by value."""
+    own = F.when(F.col("side") == -1, F.col("gold")).otherwise(F.col("pred"))
+    put = rows.join(states.select("query_id", "gold", "pred"), "query_id")
+    cells = F.transform(F.array_sort(F.arrays_zip(own.alias("colour"), F.sequence(F.lit(0), F.size("cells") - 1).alias("k"), F.col("cells").alias("v"))), lambda x: x["v"])
+    per = put.groupBy("query_id", "place", cells.alias("cells")).agg(F.sum("side").alias("d"))
+    return per.groupBy("query_id").agg(F.max(F.abs("d")).alias("d")).filter("d = 0").select("query_id")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows whose row_id is monotonically_increasing_id(): row_id becomes the place in the whole result, however it was partitioned."""
+    part, inside = F.shiftright("row_id", 33), F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy("query_id", "side", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("query_id", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    counts = counts.select("query_id", "side", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = rows.withColumn("part", part).join(counts, ["query_id", "side", "part"])
+    return out.withColumn("row_id", F.col("before") + inside).select(*rows.columns)
 
 
 def results_equal(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, equal) for each row of queries (query_id, ordered).
 
     Equal are: both empty; or as many rows and columns, and some order of the prediction's
-    columns under which the rows agree, as a multiset or, if ordered, one by one.
+    columns under which the rows agree, as a multiset or, if ordered, one by one by row_id.
+
+    No order of columns is tried that the data exclude. Columns get a colour from their values,
+    with their places if ordered, and then, round by round, from the rows these stand in; only
+    like colours can belong together. Where unlike columns keep the same colour, one of them is
+    matched with each candidate in turn, deepest first, and colours are refined again. What
+    is matched at the end is compared value by value.
     """
-    ship(rows.sparkSession)
     s = shapes(rows)
-    same = s.filter("pred_rows = gold_rows AND pred_cols = gold_cols AND bags_agree")
-    # one number per column and side, from all its values; equal columns have equal numbers
-    columns = rows.join(same.select("query_id"), "query_id").select("query_id", "side", F.posexplode("cells").alias("col", "v"))
-    marks = columns.groupBy("query_id", "side", "col").agg(F.sum(F.pmod(F.xxhash64("v"), F.lit(1 << 40))).alias("mark"))
-    lists = marks.groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("col", "mark")))), lambda x: x["mark"]).alias("pred"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == -1, F.struct("col", "mark")))), lambda x: x["mark"]).alias("gold"),
-    )
-    tries = lists.select("query_id", F.posexplode(F.pandas_udf(_orders, "array<array<int>>")("pred", "gold")).alias("try", "order"))
+    same = s.filter("pred_rows = gold_rows AND pred_cols = gold_cols AND bags_agree").select("query_id")
     ordered = queries.select("query_id", F.coalesce("ordered", F.lit(False)).alias("ordered"))
-    put = rows.join(tries, "query_id").join(ordered, "query_id")
-    moved = F.when(F.col("side") == -1, F.col("cells")).otherwise(F.transform("order", lambda k: F.get("cells", k)))
-    put = put.select("query_id", "try", "side", F.when(F.col("ordered"), F.col("row_id")).alias("place"), moved.alias("cells"))
-    per = put.groupBy("query_id", "try", "place", "cells").agg(F.sum("side").alias("__d"))
-    fits = per.groupBy("query_id", "try").agg(F.max(F.abs("__d")).alias("__d")).filter("__d = 0").select("query_id").distinct().withColumn("__fits", F.lit(True))
-    out = queries.select("query_id").join(fits, "query_id", "left").join(s.select("query_id", F.lit(True).alias("__rows")), "query_id", "left")
+    rows = rows.join(same, "query_id").join(ordered, "query_id")
+    rows = staged(rows.select("query_id", "side", "row_id", F.when(F.col("ordered"), F.col("row_id")).alias("place"), "ordered", "cells"), "results")
+    alike = F.array_sort("gold") == F.array_sort("pred")
+    states = staged(_colours(rows).withColumns({"depth": F.lit(0), "turn": F.lit(0)}).filter(alike), "colours")
+    by_place = rows.filter("ordered").select("query_id").distinct()
+    # where order counts, like columns agree place by place: nothing is left to refine
+    found = _same_rows(rows, states.join(by_place, "query_id", "left_semi"))
+    rows = rows.filter("NOT ordered")
+    states = states.join(by_place, "query_id", "left_anti")
+    fits = [staged(found, "equal")]
+    while not states.isEmpty():
+        top = Window.partitionBy("query_id").orderBy(F.desc("depth"), "turn")
+        ranked = states.withColumn("rank", F.row_number().over(top))
+        active, waiting = ranked.filter("rank = 1").drop("rank"), ranked.filter("rank > 1").drop("rank")
+        done = _colour_classes(rows, staged(active, "active"))
+        closed, still = done.filter(_open_column().isNull()), done.filter(_open_column().isNotNull())
+        fits.append(staged(_same_rows(rows, closed), "equal"))
+        states = staged(waiting.join(fits[-1], "query_id", "left_anti").unionByName(_branches(still)), "states")
+    out = queries.select("query_id").join(reduce(DataFrame.unionByName, fits).distinct().withColumn("__fits", F.lit(True)), "query_id", "left")
+    out = out.join(s.select("query_id", F.lit(True).alias("__rows")), "query_id", "left")
     return out.select("query_id", F.coalesce("__fits", F.col("__rows").isNull()).alias("equal"))
 
 
+def _colour_classes(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """The states refined until no colour splits any more; those whose colours differ between the sides are dropped."""
+    kinds = F.size(F.array_distinct("gold"))
+    done, left = [], states
+    while True:
+        done.append(left.filter(_open_column().isNull()))
+        left = left.filter(_open_column().isNotNull())
+        if left.isEmpty():
+            break
+        more = staged(_refined(rows, left.withColumn("kinds", kinds)).filter(F.array_sort("gold") == F.array_sort("pred")), "refined")
+        done.append(more.filter(kinds == F.col("kinds")).drop("kinds"))
+        left = more.filter(kinds > F.col("kinds")).drop("kinds")
+    return reduce(DataFrame.unionByName, done)
+
+
+def _branches(states: DataFrame) -> DataFrame:
+    """For each state, its open gold column matched with every candidate of its colour, one of those that are equal row by row."""
+    states = states.withColumn("open", _open_column()).withColumn("shade", F.get("gold", F.col("open")))
+    at = F.sequence(F.lit(0), F.size("pred") - 1)
+    first = F.filter(at, lambda k: (F.get("pred", k) == F.col("shade")) & ~F.exists(at, lambda j: (j < k) & (F.get("pred", j) == F.col("shade")) & (F.get("pred_id", j) == F.get("pred_id", k))))
+    # columns that are equal row by row are matched together
+    picked = states.select("*", F.posexplode(first).alias("next", "pick"))
+    def paint(side: str, mark: Column) -> Column:
+        own = F.transform(F.arrays_zip(side, f"{side}_id"), lambda x: F.when((x[side] == F.col("shade")) & (x[f"{side}_id"] == mark), F.xxhash64(x[side], F.lit("picked"))).otherwise(x[side]))
+        return own.alias(side)
+    gold, pred = paint("gold", F.get("gold_id", F.col("open"))), paint("pred", F.get("pred_id", F.col("pick")))
+    out = picked.select("query_id", gold, pred, "gold_id", "pred_id", (F.col("depth") + 1).alias("depth"), F.col("next").alias("turn"))
+    return out.filter(F.array_sort("gold") == F.array_sort("pred"))
+
+
 def failure_scan(verdicts: DataFrame) -> DataFrame:
     """Rows (query_id, pred_error, equal, ...) that failed, errors before mismatches."""
     kind = F.when(F.col("pred_error").isNotNull(), "error").when(~F.col("equal"), "mismatch").otherwise("ok")
@@ -97,28 +174,3 @@ def regression_scan(before: DataFrame, after: DataFrame, lines: DataFrame) -> Da
     rows = before.select("query_id", F.lit(-1).alias("side"), "cells").unionByName(after.select("query_id", F.lit(1).alias("side"), "cells"))
     found = multisets_equal(rows.join(lines.select("query_id"), "query_id", "left_semi"))
     return lines.select("query_id").join(found.filter("NOT equal"), "query_id", "left_semi")
-
-
-def try_sql(spark, sql: str, run: bool = True, most_rows: int = 1000, seconds: float = 60.0) -> tuple[str, object]:
-    """('result', rows) or ('exception', message); analysed only, if not ``run``; cancelled after ``seconds``.
-
-    A result of more than ``most_rows`` rows stays distributed: it is given as the DataFrame.
-    """
-    import threading
-    import uuid
-
-    group = f"try-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, spark.sparkContext.cancelJobGroup, [group])
-    try:
-        df = spark.sql(sql)
-        if not run:
-            return "result", df.columns
-        spark.sparkContext.setJobGroup(group, "try_sql", True)
-        timer.start()
-        rows = [tuple(r) for r in df.limit(most_rows + 1).collect()]
-        return "result", rows if len(rows) <= most_rows else df
-    except Exception as e:  # whatever the statement raises is its result
-        return "exception", str(e).splitlines()[0]
-    finally:
-        timer.cancel()
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cell, common
-from ..operators import grading, results, retrieval, strategies
+from ..operators import execute, grading, results, retrieval, strategies
 from ..operators.singletable import safe_headers
 from ..sources import corpora
 from .registry import query, table
@@ -73,12 +73,40 @@ def x11_failure_scan(spark, sf):
     return results.failure_scan(rows).select("query_id", "line", "kind")
 
 
-@query("SELECT 'ok' AS good, 'exception' AS bad")
+X12 = {
+    "runs": "SELECT p_brand, count(*) AS n FROM x12_part GROUP BY p_brand", "is only planned": "SELECT raise_error(p_name) FROM x12_part", "fails when planned": "SELECT nothing FROM x12_part",
+    "fails when run": "SELECT raise_error(p_name) FROM x12_part WHERE p_size >= 0", "changes tables": "DROP VIEW x12_part", "never ends": "SELECT count(*) FROM range(1000000000000000) WHERE id % 3 = 4",
+}
+
+
+@query("""SELECT 'runs' AS name, 'result' AS status, (SELECT count(DISTINCT p_brand) FROM part)::BIGINT AS n, (SELECT count(*) FROM part)::BIGINT AS total
+    UNION ALL SELECT 'is only planned', 'result', NULL, NULL UNION ALL SELECT unnest(['fails when planned', 'fails when run', 'changes tables']), 'exception', NULL, NULL UNION ALL SELECT 'never ends', 'timeout', NULL, NULL""")
 def x12_try_sql(spark, sf):
-    table(spark, sf, "region").createOrReplaceTempView("x12_region")
-    good = results.try_sql(spark, "SELECT r_name FROM x12_region", run=False)[0]
-    bad = results.try_sql(spark, "SELECT nothing FROM x12_region")[0]
-    return spark.range(1).select(F.lit("ok" if good == "result" else good).alias("good"), F.lit(bad).alias("bad"))
+    # counts a statement's rows and adds up its last column, where it has run
+    table(spark, sf, "part").createOrReplaceTempView("x12_part")
+    found = []
+    for name, sql in X12.items():
+        run = name != "is only planned"
+        status, rows = execute.try_sql(spark, sql, run, seconds=3)
+        found.append((name, status, len(rows) if run and status == "result" else None, sum(r[-1] for r in rows) if run and status == "result" else None))
+    return spark.createDataFrame(found, "name string, status string, n long, total long")
+
+
+def _wide_results(spark, sf):
+    """Per order its lines with twelve columns: all equal, or two of them others, in another order; every seventh order has a changed cell."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("row_id"), F.col("l_quantity").cast("string").alias("q"), F.col("l_extendedprice").cast("string").alias("p"), F.col("l_linenumber").cast("string").alias("n"))
+    same = F.array_repeat("q", 12)
+    gold = F.when(F.col("query_id") % 2 == 0, same).otherwise(F.concat(F.array_repeat("q", 5), F.array("p"), F.array_repeat("q", 5), F.array("n")))
+    pred = F.when(F.col("query_id") % 2 == 0, same).otherwise(F.concat(F.array("n", "p"), F.array_repeat("q", 10)))
+    pred = F.when(F.col("query_id") % 7 == 0, F.concat(F.array(F.lit("other")), F.slice(pred, 2, 11))).otherwise(pred)
+    sides = [rows.select("query_id", F.lit(side).alias("side"), "row_id", cells.alias("cells")) for side, cells in ((-1, gold), (1, pred))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("SELECT DISTINCT l_orderkey AS query_id, l_orderkey % 7 <> 0 AS equal FROM lineitem")
+def x06_column_orders(spark, sf):
+    rows = _wide_results(spark, sf)
+    return results.results_equal(rows.select("query_id").distinct().withColumn("ordered", F.col("query_id") % 3 == 0), rows)
 
 
 # ---- vectors -----------------------------------------------------------------------------

@@ -89,16 +89,26 @@ def m19_printed_table(spark, sf):
 
 
 EXECUTED = (
-    ("SELECT p_name, p_size FROM part", "SELECT DISTINCT p_size, p_name FROM part"), ("SELECT count(*) FROM part WHERE p_size > 25", "SELECT count(*) FROM part WHERE p_size >= 25"),
+    ("SELECT p_name, p_size FROM part", "SELECT DISTINCT p_size, p_name FROM part"), ("SELECT count(*) FROM part WHERE p_size > 25", "SELECT count(*) FROM part WHERE p_size > = 25"),
     ("SELECT p_name FROM part ORDER BY p_partkey", "SELECT p_name FROM part ORDER BY p_partkey DESC"), ("SELECT p_name FROM part", "SELECT p_weight FROM part"), ("SELECT max(p_size) FROM part WHERE p_size < 0", "SELECT min(p_size) FROM part WHERE p_size < 0"),
+    # the same order from plans with other partitions; a word inside a literal; failures at run time; an endless one; a change
+    ("SELECT o_orderkey FROM orders ORDER BY o_orderkey", "SELECT o_orderkey FROM (SELECT o_orderkey, count(*) AS c FROM orders GROUP BY o_orderkey) ORDER BY o_orderkey"),
+    ("SELECT 'a distinct b' FROM part", "SELECT 'a  b' FROM part"), ("SELECT raise_error(p_name) FROM part", "SELECT p_name FROM part"), ("SELECT p_size FROM part", "SELECT CAST(p_name AS INT) FROM part"),
+    ("SELECT p_size FROM part", "SELECT count(*) FROM range(1000000000000000) WHERE id % 3 = 4"), ("SELECT p_size FROM part", "DROP TABLE part"),
 )
+#: Further pairs, one for each size: every third prediction has another bound, every tenth fails at run time.
+SIZES = [(f"SELECT p_brand, count(*) FROM part WHERE p_size <= {k} GROUP BY p_brand", f"SELECT {'raise_error(p_brand)' if k % 10 == 0 else 'count(*)'}, p_brand FROM part WHERE p_size < {k + (k % 3 > 0)} GROUP BY p_brand") for k in range(1, 51)]
 
 
-@query("SELECT 0::BIGINT AS line, true AS equal UNION ALL SELECT 1, count(*) FILTER (p_size = 25) = 0 FROM part UNION ALL SELECT 2, list(p_name ORDER BY p_partkey) = list(p_name ORDER BY p_partkey DESC) FROM part UNION ALL SELECT 3, false UNION ALL SELECT 4, true")
+@query("""
+    SELECT 0::BIGINT AS line, true AS equal, 'result' AS status UNION ALL SELECT 1, count(*) FILTER (p_size = 25) = 0, 'result' FROM part UNION ALL SELECT 2, list(p_name ORDER BY p_partkey) = list(p_name ORDER BY p_partkey DESC), 'result' FROM part
+    UNION ALL SELECT 3, false, 'exception' UNION ALL SELECT 4, true, 'result' UNION ALL SELECT 5, true, 'result' UNION ALL SELECT 6, false, 'result' UNION ALL SELECT unnest([7, 8, 10]), false, 'exception' UNION ALL SELECT 9, false, 'timeout'
+    UNION ALL SELECT 10 + k, k % 10 <> 0 AND (k % 3 > 0 OR (SELECT count(*) FROM part WHERE p_size = k) = 0), CASE WHEN k % 10 = 0 THEN 'exception' ELSE 'result' END FROM range(1, 51) t(k)""")
 def x01_execution_verdicts(spark, sf):
-    # columns in another order, another bound, the other direction in an ordered result, a column that is not there, and results that are null
-    table(spark, sf, "part").createOrReplaceTempView("part")
-    return evaluate.execution_verdicts(spark, [(k, g, p) for k, (g, p) in enumerate(EXECUTED)]).select("line", "equal")
+    # columns in another order, another bound, the other direction in an ordered result, a column that is not there, results that are null, ...
+    for name in ("part", "orders"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    return evaluate.execution_verdicts(spark, [(k, *p) for k, p in enumerate((*EXECUTED, *SIZES))], seconds=5).select("line", "equal", "status")
 
 
 @query("SELECT o_custkey AS query_id FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 HAVING max((o_orderkey % 40 = 0)::INT) = 1")

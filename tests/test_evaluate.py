@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlassay import __main__ as cli
 from sqlassay.functions import prompts, statements, strict
-from sqlassay.operators import evaluate, results, retrieval, store
+from sqlassay.operators import evaluate, execute, retrieval, store
 from sqlassay.sources import corpora
 
 CATALOG = [{"db_id": "shop", "table_names_original": ["item", "sale"], "column_names_original": [[-1, "*"], [0, "Id"], [0, "Name"], [1, "Item_id"], [1, "Price"]], "column_types": ["text"] * 5, "primary_keys": [1], "foreign_keys": [[3, 1]]}]
@@ -46,8 +46,8 @@ def test_execution(spark, files):
     pairs = [(k, g, p) for k, (g, p, *_) in enumerate(LINES)]
     got = {r["line"]: (r["equal"], r["error"]) for r in evaluate.execution_verdicts(spark, pairs).collect()}
     assert [got[k][0] for k in range(5)] == [True, True, True, False, False] and got[4][1]
-    assert results.try_sql(spark, "SELECT id FROM range(2000)")[1].count() == 2000
-    assert results.try_sql(spark, "SELECT id FROM range(3)") == ("result", [(0,), (1,), (2,)]) and results.try_sql(spark, "SELECT x")[0] == "exception"
+    assert execute.try_sql(spark, "SELECT id FROM range(2000)")[1].count() == 2000
+    assert execute.try_sql(spark, "SELECT id FROM range(3)") == ("result", [(0,), (1,), (2,)]) and execute.try_sql(spark, "SELECT x")[0] == "exception"
 
 
 def test_structural_command(spark, tmp_path):
