@@ -154,22 +154,46 @@ def aggregate_hint(question: Column) -> Column:
     return out
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def best_column(question: Column, columns: Column) -> Column:
     """The column with most words in the question; the first among equals; null without any."""
-    words = F.split(F.lower(question), "[^a-z0-9]+")
-    hits = F.transform(columns, lambda c: F.size(F.array_intersect(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), words)))
+    hits = F.transform(columns, lambda c: F.size(F.array_intersect(_words(c), _words(question))))
     most = F.array_max(hits)
     return F.when(most > 0, F.element_at(columns, F.array_position(hits, most).cast("int")))
 
 
+# Whole words that ask for an aggregate, in the order they are tried, and those between a column and its value.
+ASKED = {
+    "COUNT": ("how many", "total number", "count"),
+    "MAX": ("highest", "most", "maximum", "largest"),
+    "MIN": ("lowest", "minimum", "smallest", "fewest"),
+    "AVG": ("average", "mean"),
+    "SUM": ("total", "sum"),
+}
+EQUALS = ("is", "was", "are", "=")
+
+
 def generate(question: Column, table: Column, columns: Column) -> Column:
-    """SQL over one table from patterns alone: the generator that needs no model."""
+    """SQL over one table from patterns alone: the generator that needs no model.
+
+    Words count as whole words. Without an aggregate, the first column that the question names
+    right before ``is`` or the like gives a condition; values are in lower case.
+    """
     q, best = F.lower(question), best_column(question, columns)
     col = F.coalesce(best, F.get(columns, F.lit(0)), F.lit("*"))
-    tests = (("COUNT", "how many|total number|number|count"), ("MAX", "highest|most|maximum|largest"), ("MIN", "lowest|minimum|smallest|fewest"), ("AVG", "average|mean"), ("SUM", "total|sum"))
     agg = F.lit("")
-    for name, words in reversed(tests):
-        agg = F.when(q.rlike(words), name).otherwise(agg)
-    value = F.regexp_extract(question, r"(?i)\b(?:is|was|are|=)\s+'?([\w .-]+?)'?\s*\??$", 1)
-    plain = F.concat(F.lit("SELECT "), F.coalesce(best, F.lit("*")), F.lit(" FROM "), table, F.when(best.isNotNull() & (value != ""), F.concat(F.lit(" WHERE "), best, F.lit(" = '"), value, F.lit("'"))).otherwise(""))
+    for name, words in reversed(ASKED.items()):
+        agg = F.when(q.rlike(rf"\b(?:{'|'.join(words)})\b"), name).otherwise(agg)
+
+    def said(c: Column) -> Column:
+        name = F.translate(F.lower(c), "_-", "  ")
+        pattern = F.concat(F.lit("\\b\\Q"), name, F.lit(rf"\E\b\s+(?:{'|'.join(EQUALS)})\s+['\"]?([^'\"?,]+)"))
+        return F.struct(c.alias("column"), F.trim(F.call_function("regexp_extract", q, pattern, F.lit(1))).alias("value"))
+
+    named = F.get(F.filter(F.transform(columns, said), lambda x: x["value"] != ""), F.lit(0))
+    where = F.coalesce(F.concat(F.lit(" WHERE "), named["column"], F.lit(" = '"), named["value"], F.lit("'")), F.lit(""))
+    plain = F.concat(F.lit("SELECT "), F.coalesce(best, F.lit("*")), F.lit(" FROM "), table, where)
     return F.when(agg == "", plain).otherwise(F.concat(F.lit("SELECT "), agg, F.lit("("), col, F.lit(") FROM "), table))

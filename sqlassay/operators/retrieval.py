@@ -88,9 +88,8 @@ def hybrid_search(pairs: DataFrame, k: int, quality: Column) -> DataFrame:
 def hybrid_fallback(found: DataFrame, store: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Strategy search with a way out: questions without any hit get the k best strategies by success rate, with score 0."""
     without = asked.select("q_id").join(found.select("q_id").distinct(), "q_id", "left_anti")
-    from pyspark.sql import Window
-
-    best = store.filter("is_active").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("success_rate"), "strategy_id"))).filter(F.col("rank") <= k)
+    first = store.filter("is_active").orderBy(F.desc("success_rate"), "strategy_id").limit(k)
+    best = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("success_rate"), "strategy_id")))  # of k rows
     rows = without.join(F.broadcast(best.select(F.col("strategy_id").alias("id"), "rank")), F.lit(True))  # k rows
     return found.select("q_id", "id", "rank", "score").unionByName(rows.select("q_id", "id", "rank", F.lit(0.0).alias("score")))
 

@@ -263,30 +263,58 @@ def accuracy_by(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(n.alias("total"), (n - ok).alias("parse_failures"), F.round(hits("em") / n, 6).alias("em"))
 
 
-def run_single(queries: DataFrame, cells: DataFrame) -> DataFrame:
-    """Execute all single-table queries in one job.
+#: Operators of conditions by their number in a structure; a structure does not say what its last one was.
+OPERATORS = ("=", ">", "<")
+
 
-    queries: query_id, db_id, agg, sel, conds; cells: db_id, row_id, col, value. Returns
-    query_id, n_rows and, by aggregate number, the result (rounded text; a sorted array of
-    values without one). Conditions compare as numbers where both sides are.
+def single_rows(queries: DataFrame, cells: DataFrame) -> DataFrame:
+    """(query_id, row_id) of the rows that each single-table query keeps.
 
-    Cells are read as values once, on one side. Conditions for equality find their cells by
-    what these hold, in a hash join; only the others look at a whole column. Values are
-    collected for queries without aggregate alone, whose result they are.
+    queries: query_id, db_id, conds; cells: db_id, row_id, col, value. A condition's op is one of
+    = > < >= <= != <> LIKE and NOT LIKE, or a number of OPERATORS; a row has to meet all. Values that
+    read as numbers compare as numbers, others as text, and any text is greater than any
+    number; patterns ignore case. A cell without a value meets no condition, nor does any cell one with another operator.
+
+    A condition that several queries share is looked up once; one for equality by a hash join on
+    what cells hold, others along their column.
     """
     ready = cells.withColumn("have", value(F.col("value"))).select("db_id", "row_id", "col", "value", "have", mark(F.col("have")).alias("mark"))
-    conds = queries.select("query_id", "db_id", F.size("conds").alias("need"), F.posexplode("conds").alias("at", "c"))
-    wanted = conds.select("query_id", "db_id", "need", F.col("c.col").alias("col"), F.col("c.op").alias("op"), F.col("c.val").alias("val"), mark(F.col("c.val")).alias("mark"))
-    equal = wanted.filter("op = 0 OR op = 3 AND val.num IS NULL").join(ready.select("db_id", "row_id", "col", "mark"), ["db_id", "col", "mark"]).select("query_id", "db_id", "row_id", "need")
-    num = F.col("have.num") - F.col("val.num")
-    other = wanted.filter("op = 1 OR op = 2").drop("mark").join(ready, ["db_id", "col"]).filter(((F.col("op") == 1) & (num > 0)) | ((F.col("op") == 2) & (num < 0))).select("query_id", "db_id", "row_id", "need")
-    kept = equal.unionByName(other).groupBy("query_id", "db_id", "row_id", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need").select("query_id", "db_id", "row_id")
-    free = queries.filter(F.size("conds") == 0).select("query_id", "db_id").join(ready.select("db_id", "row_id").distinct(), "db_id").select("query_id", "db_id", "row_id")
-    rows = kept.unionByName(free).join(queries.select("query_id", "agg", F.greatest("sel", F.lit(0)).alias("col")), "query_id").join(ready.select("db_id", "row_id", "col", "value"), ["db_id", "row_id", "col"])
+    conds = queries.select("query_id", "db_id", F.explode(F.array_distinct("conds")).alias("c"), F.size(F.array_distinct("conds")).alias("differ"))
+    kinds = conds.schema["c"].dataType
+    op = F.lower(F.trim(F.col("c.op"))) if kinds["op"].dataType.typeName() == "string" else F.get(F.array(*map(F.lit, OPERATORS)), F.col("c.op"))
+    pattern = F.col("c.text") if "text" in kinds.names else F.coalesce("c.val.str", F.col("c.val.num").cast("string"))
+    wanted = conds.select("query_id", "db_id", "differ", F.col("c.col").alias("col"), op.alias("op"), F.col("c.val").alias("val"), pattern.alias("pattern"), mark(F.col("c.val")).alias("mark"))
+    what = ["db_id", "col", "op", "mark", "pattern"]
+    each = wanted.groupBy(*what).agg(F.first("val").alias("val"))
+    equal = each.filter("op = '='").join(ready.select("db_id", "row_id", "col", "mark"), ["db_id", "col", "mark"]).select(*what, "row_id")
+    place = lambda v: F.struct(v["num"].isNull().alias("text"), v["num"].alias("num"), v["str"].alias("str"))
+    have, want, like = place(F.col("have")), place(F.col("val")), F.expr("value ILIKE pattern")
+    same = F.col("seen") == F.col("mark")
+    holds = F.when(F.col("op") == ">", (have > want) & ~same).when(F.col("op") == "<", (have < want) & ~same).when(F.col("op") == ">=", (have > want) | same).when(F.col("op") == "<=", (have < want) | same)
+    holds = holds.when(F.col("op").isin("!=", "<>"), ~same).when(F.col("op") == "like", like).when(F.col("op") == "not like", ~like)
+    along = each.filter("op <> '='").join(ready.filter("value IS NOT NULL").withColumnRenamed("mark", "seen"), ["db_id", "col"]).filter(holds).select(*what, "row_id")
+    met = wanted.select("query_id", "differ", *what).join(equal.unionByName(along), what)
+    kept = met.groupBy("query_id", "row_id", "differ").agg(F.count(F.lit(1)).alias("n")).filter("n = differ").select("query_id", "row_id")
+    free = queries.filter(F.size("conds") == 0).select("query_id", "db_id").join(cells.select("db_id", "row_id").distinct(), "db_id").select("query_id", "row_id")
+    return kept.unionByName(free)
+
+
+def run_single(queries: DataFrame, cells: DataFrame) -> DataFrame:
+    """Execute all single-table queries in one job.
+
+    queries: query_id, db_id, agg, sel, conds; cells: db_id, row_id, col, value. Returns for every query
+    query_id, n_rows and, by aggregate number, the result (rounded; 0 for a count of nothing,
+    null for another aggregate of nothing) or, without one, the sorted array of values. Rows are
+    kept as single_rows() says. Values are collected for queries without aggregate alone, whose result they are.
+    """
+    kept = single_rows(queries, cells).join(queries.select("query_id", "db_id", "agg", F.greatest("sel", F.lit(0)).alias("col")), "query_id")
+    rows = kept.join(cells.select("db_id", "row_id", "col", "value"), ["db_id", "row_id", "col"])
     n = F.col("value").try_cast("double")
-    all_aggs = rows.groupBy("query_id", "agg").agg(F.count(F.lit(1)).alias("n_rows"), F.max(n).alias("x1"), F.min(n).alias("x2"), F.sum(n).alias("x4"), F.avg(n).alias("x5"), F.array_sort(F.collect_list(F.when(F.col("agg") == 0, F.col("value")))).alias("x0"))
+    found = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("x1"), F.min(n).alias("x2"), F.sum(n).alias("x4"), F.avg(n).alias("x5"), F.array_sort(F.collect_list(F.when(F.col("agg") == 0, F.col("value")))).alias("x0"))
+    out = queries.select("query_id", "agg").join(found, "query_id", "left").withColumn("n_rows", F.coalesce("n", F.lit(0)).cast("long"))
     pick = F.when(F.col("agg") == 3, F.col("n_rows").cast("double")).when(F.col("agg") == 1, F.col("x1")).when(F.col("agg") == 2, F.col("x2")).when(F.col("agg") == 4, F.col("x4")).when(F.col("agg") == 5, F.col("x5"))
-    return all_aggs.select("query_id", "n_rows", F.round(pick, 6).alias("result"), F.when(F.col("agg") == 0, F.col("x0")).alias("values"))
+    values = F.when(F.col("agg") == 0, F.coalesce("x0", F.array().cast("array<string>")))
+    return out.select("query_id", "n_rows", F.round(pick, 6).alias("result"), values.alias("values"))
 
 
 def mark(v: Column) -> Column:

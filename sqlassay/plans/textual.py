@@ -337,6 +337,27 @@ def run_single_table_batch(spark, sf):
     return singletable.run_single(queries, cells).select("query_id", "n_rows", "result")
 
 
+#: Conditions on size (column 1), brand (column 0) or price, as SQL and as (column, operator, value); the last finds nothing.
+CONDITIONS = (
+    ("p_size >= 25", (1, ">=", "25")), ("p_size <= 25", (1, "<=", "25")), ("p_size <> 25", (1, "!=", "25")), ("p_size > 25", (1, ">", "25")), ("p_size < 25", (1, "<", "25")), ("p_size = 25", (1, "=", "25")),
+    ("p_brand <> 'Brand#11'", (0, "!=", "Brand#11")), ("p_brand ILIKE 'bRAND#1%'", (0, "like", "bRAND#1%")), ("p_brand NOT ILIKE '%3'", (0, "not like", "%3")), ("p_brand > 'Brand#3'", (0, ">", "Brand#3")), ("p_size > 1000", (1, ">", "1000")),
+)
+SINGLE = ("NULL", "max(p_retailprice)", "min(p_retailprice)", "count(*)", "sum(p_retailprice)", "avg(p_retailprice)")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT {10 * k + a}::BIGINT AS query_id, count(*) AS n_rows, round({x}::DOUBLE, 6) AS result, {"coalesce(string_agg(p_retailprice::VARCHAR, ' ' ORDER BY p_retailprice::VARCHAR), '')" if not a else 'NULL::VARCHAR'} AS values FROM part WHERE {sql} AND p_partkey > 0"
+    for k, (sql, _) in enumerate(CONDITIONS) for a, x in enumerate(SINGLE)))
+def run_single_operators(spark, sf):
+    # every operator with every aggregate, and a second condition that always holds
+    p = table(spark, sf, "part")
+    cells = p.select(F.lit("part").alias("db_id"), F.col("p_partkey").alias("row_id"), F.posexplode(F.array("p_brand", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.col("p_partkey").cast("string"))).alias("col", "value"))
+    asked = [(10 * k + a, "part", a, 2, [c, (3, ">", "0")]) for k, (_, c) in enumerate(CONDITIONS) for a in range(6)]
+    queries = spark.createDataFrame(asked, "query_id long, db_id string, agg int, sel int, conds array<struct<col:int,op:string,val:string>>")
+    conds = F.transform("conds", lambda c: F.struct(c["col"].alias("col"), c["op"].alias("op"), singletable.value(c["val"]).alias("val"), c["val"].alias("text")))
+    return singletable.run_single(queries.withColumn("conds", conds), cells).withColumn("values", F.array_join("values", " "))
+
+
 # ---- questions ---------------------------------------------------------------------------
 
 
@@ -353,12 +374,25 @@ def l03_intents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_contains(i, "grouping").alias("grouping"), F.array_contains(i, "comparison").alias("comparison"))
 
 
-@query("SELECT p_partkey AS id, ['COUNT', 'MAX', 'AVG', 'NONE'][(p_partkey % 4 + 1)::INT] AS hint, ['SELECT COUNT(p_size) FROM part', 'SELECT MAX(p_size) FROM part', 'SELECT AVG(p_name) FROM part', 'SELECT p_name FROM part WHERE p_name = ''' || p_name || ''''][(p_partkey % 4 + 1)::INT] AS sql FROM part")
+#: Questions (p is a part's name) and what they give. Words that stand inside others ask for nothing.
+ASKED = (
+    ("How many size are there", "COUNT", "SELECT COUNT(p_size) FROM part"), ("highest size", "MAX", "SELECT MAX(p_size) FROM part"), ("the average of all", "AVG", "SELECT AVG(p_name) FROM part"),
+    ("which p name is {p}", "NONE", "SELECT p_name FROM part WHERE p_name = '{p}'"), ("Who almost won in summer?", "NONE", "SELECT * FROM part"), ("Which p_size has a discounted {p} flag?", "NONE", "SELECT p_size FROM part"),
+    ("What p size was '{p}', recounted?", "NONE", "SELECT p_size FROM part WHERE p_size = '{p}'"), ("the meaning of foremost totals", "NONE", "SELECT * FROM part"),
+)
+
+
+def _filled(k: str, texts, quote: str) -> str:
+    """SQL for the text of number k, with a part's name, in lower case, in it."""
+    lines = " ".join(f"WHEN {n} THEN replace('{t.replace(chr(39), quote)}', '{{p}}', lower(p))" for n, t in enumerate(texts))
+    return f"CASE {k} {lines} END"
+
+
+@query(f"WITH q AS (SELECT p_partkey AS id, p_name AS p FROM part) SELECT id, {_filled('id % 8', [h for _, h, _ in ASKED], chr(39) * 2)} AS hint, {_filled('id % 8', [s for *_, s in ASKED], chr(39) * 2)} AS sql FROM q")
 def l11_l12_generator(spark, sf):
-    qs = (F.lit("How many size are there"), F.lit("highest size"), F.lit("the average of all"), F.concat(F.lit("which p name is "), F.col("p_name")))
-    q = F.element_at(F.array(*qs), (F.col("p_partkey") % 4 + 1).cast("int"))
-    cols = F.array(F.lit("p_name"), F.lit("p_size"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), semantic.aggregate_hint(q).alias("hint"), semantic.generate(q, F.lit("part"), cols).alias("sql"))
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("p"))
+    q, cols = F.expr(_filled("id % 8", [t for t, *_ in ASKED], "\\'")), F.array(F.lit("p_name"), F.lit("p_size"))
+    return asked.select("id", semantic.aggregate_hint(q).alias("hint"), semantic.generate(q, F.lit("part"), cols).alias("sql"))
 
 
 @query("SELECT 'tpch' AS db_id, 'nation(n_nationkey, n_name, n_regionkey)' || chr(10) || 'region(r_regionkey, r_name)' AS schema")
