@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import commits
+from ..staging import staged
 from . import strategies
 
 # The store's tables and their columns.
@@ -66,16 +67,15 @@ def evolution(history: DataFrame, at: Column) -> DataFrame:
 
 
 class StrategyStore:
-    """The four tables as Parquet in one folder. Appends add files; a changed strategies table is written beside the old one and then named.
+    """The four tables in one folder, behind a log of commits: strategies and their evolution change together.
 
-    Use as a context manager or not: nothing stays open.
+    Several writers may use a store at once: none loses another's rows. A writer that dies
+    half-way changes nothing. Use as a context manager or not: nothing stays open.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        for name, ddl in TABLES.items():
-            if not self._exists(f"{self.folder}/{name}"):
-                spark.createDataFrame([], ddl).write.parquet(f"{self.folder}/{name}/v0" if name == "strategies" else f"{self.folder}/{name}")
+        self.spark = spark
+        self.log = commits.CommitLog(spark, folder, TABLES)
 
     def __enter__(self) -> "StrategyStore":
         return self
@@ -83,54 +83,60 @@ class StrategyStore:
     def __exit__(self, *_) -> None:
         return None
 
-    def _fs(self, path: str):
-        hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return hpath, hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as of the last commit, or of an earlier one."""
+        return self.log.read(name, version)
 
-    def _exists(self, path: str) -> bool:
-        hpath, fs = self._fs(path)
-        return fs.exists(hpath)
+    def put(self, new: DataFrame, at: str, batch: tuple[str, int] | None = None) -> int:
+        """Strategies put in by id; changed success rates go to strategy_evolution with them. The number of the commit.
 
-    def _versions(self) -> list[int]:
-        hpath, fs = self._fs(f"{self.folder}/strategies")
-        found = [s.getPath() for s in fs.listStatus(hpath)]
-        names = [p.getName() for p in found if fs.exists(self._fs(f"{p.toString()}/_SUCCESS")[0])]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
-
-    def table(self, name: str) -> DataFrame:
-        """A table; of strategies the last version that was written whole."""
-        path = f"{self.folder}/{name}"
-        return self.spark.read.schema(TABLES[name]).parquet(f"{path}/v{self._versions()[-1]}" if name == "strategies" else path)
-
-    def put(self, new: DataFrame, at: str) -> None:
-        """Strategies put in by id; changed success rates go to strategy_evolution."""
+        A ``batch`` (source, number) that was put in before changes nothing.
+        """
         when = F.lit(at).cast("timestamp")
         rows = typed(new, "strategies").withColumn("last_updated", when)
-        old = self.table("strategies")
-        merged, history = strategies.upsert(old, rows, at)
-        evolution(history, when).write.mode("append").parquet(f"{self.folder}/strategy_evolution")
-        typed(merged.withColumn("created_at", F.coalesce("created_at", when)), "strategies").write.parquet(f"{self.folder}/strategies/v{self._versions()[-1] + 1}")
 
-    def record(self, runs: DataFrame, at: str) -> None:
+        def change(read) -> dict:
+            merged, history = strategies.upsert(read("strategies"), rows, at)
+            whole = typed(merged.withColumn("created_at", F.coalesce("created_at", when)), "strategies")
+            return {"strategies": (commits.REPLACE, whole), "strategy_evolution": (commits.APPEND, evolution(history, when))}
+
+        return self.log.update(change, batch)
+
+    def record(self, runs: DataFrame, at: str, batch: tuple[str, int] | None = None) -> int:
         """Append applications."""
-        applications(runs, F.lit(at).cast("timestamp")).write.mode("append").parquet(f"{self.folder}/strategy_applications")
+        rows = applications(runs, F.lit(at).cast("timestamp"))
+        return self.log.update(lambda read: {"strategy_applications": (commits.APPEND, rows)}, batch)
+
+    def delete(self, ids: DataFrame) -> int:
+        """Strategies (strategy_id) and all that hangs on them, from all tables at once."""
+        return self.log.update(lambda read: {t: (commits.REPLACE, strategies.hard_delete(read(t), ids)) for t in TABLES})
 
     def export(self, path: str) -> int:
-        """All strategies, active or not, as one JSON file {exported_at, total_strategies, strategies}; how many."""
-        rows = [json.loads(r) for r in self.table("strategies").select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0]]
-        whole = {"exported_at": datetime.now(timezone.utc).isoformat(), "total_strategies": len(rows), "strategies": rows}
-        Path(path).write_text(json.dumps(whole, indent=2))
-        return len(rows)
+        """All strategies, active or not, as a folder of JSON lines, written by the tasks that read them; how many."""
+        rows = self.table("strategies")
+        rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+        return rows.count()
 
     def load(self, path: str, at: str) -> int:
-        """Put in the strategies of an exported file; how many. An unreadable file puts in none."""
+        """Put in what export() wrote, or a JSON file {.., strategies: [..]}; how many.
+
+        A path that is missing puts in none. A line that is no JSON, or a file that ends too early, is refused as a whole.
+        """
         try:
-            rows = json.loads(Path(path).read_text())["strategies"]
-        except (OSError, ValueError, KeyError):
+            text = self.spark.read.text(path, wholetext=path.endswith(".json"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
             return 0
-        if rows:
-            self.put(from_json(self.spark, rows, TABLES["strategies"]), at)
-        return len(rows)
+        one, whole = TABLES["strategies"], f"strategies array<struct<{TABLES['strategies'].replace(' ', ':').replace(',:', ',')}>>"
+        if path.endswith(".json"):
+            rows = text.select(F.explode(F.from_json("value", whole, {"mode": "FAILFAST"})["strategies"]).alias("r")).select("r.*")
+        else:
+            rows = text.select(F.from_json("value", one, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        rows = staged(rows, "loaded")
+        if not rows.isEmpty():
+            self.put(rows, at)
+        return rows.count()
 
 
 def from_json(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
+from . import commits
 
 EXAMPLES = "db_id string, question string, query string, sql string, query_toks array<string>, query_toks_no_value array<string>, question_toks array<string>"
 SINGLE = "question_id long, db_id string, question string, sql string, query string, table_id string, table struct<header:array<string>,rows:array<array<string>>,name:string,types:array<string>>"
@@ -333,21 +335,49 @@ def collection_path(path: str, name: str, dataset: str | None = None) -> str:
     return f"{path}/collection={dataset + '_' if dataset else ''}{name}"
 
 
-def write_collection(rows: DataFrame, path: str, name: str, reset: bool = True, dataset: str | None = None) -> None:
-    """A collection of (id, document, embedding, metadata columns) as Parquet; written anew, or rows added."""
-    rows.dropDuplicates(["id"]).write.mode("overwrite" if reset else "append").parquet(collection_path(path, name, dataset))
+def _collection(rows_of: DataFrame | None, spark: SparkSession, path: str, name: str, dataset: str | None) -> commits.CommitLog:
+    """A collection's log; its columns are those of ``rows_of``, or those that were written."""
+    where = collection_path(path, name, dataset)
+    log = commits.CommitLog(spark, where, {})
+    folders = log.snapshot()["tables"].get("rows", []) if rows_of is None else []
+    known = rows_of if rows_of is not None else spark.read.parquet(f"{where}/{folders[-1]}") if folders else None
+    if known is not None:
+        log.tables["rows"] = ", ".join(f"`{n}` {t}" for n, t in known.dtypes)
+    return log
+
+
+def write_collection(rows: DataFrame, path: str, name: str, reset: bool = True, dataset: str | None = None) -> int:
+    """A collection of (id, document, embedding, metadata columns): written anew, or rows put in by id. The number of the commit.
+
+    Of rows with one id any one is kept; a row whose id is there already replaces the old one.
+    Writers at the same time lose nothing, and readers see whole writes.
+    """
+    new = rows.dropDuplicates(["id"])
+
+    def change(read) -> dict:
+        if reset:
+            return {"rows": (commits.REPLACE, new)}
+        old = read("rows").join(new.select("id"), "id", "left_anti").select(*new.columns)
+        return {"rows": (commits.REPLACE, old.unionByName(new))}
+
+    return _collection(rows, rows.sparkSession, path, name, dataset).update(change)
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/collection=*")
+    """All collections under a path as one table, with the name in column ``collection``; columns that one lacks are null."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = sorted(n.split("=", 1)[1] for n in (s.getPath().getName() for s in found) if n.startswith("collection="))
+    tables = [_collection(None, spark, path, n, None).read("rows").withColumn("collection", F.lit(n)) for n in names]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def read_collection(spark: SparkSession, path: str, name: str, dataset: str | None = None) -> DataFrame | None:
     """One collection; none where it is missing or empty."""
-    where = collection_path(path, name, dataset)
-    if not _exists(spark, where):
+    log = _collection(None, spark, path, name, dataset)
+    if not log.tables:
         return None
-    rows = spark.read.parquet(where)
+    rows = log.read("rows")
     return None if rows.isEmpty() else rows
 
 
@@ -357,11 +387,6 @@ def delete_collection(spark: SparkSession, path: str, name: str, dataset: str |
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def first_readable(*loaders) -> DataFrame | None:
     """The first table that a loader gives with a row in it: the corpus on disk, a converted one, a sample."""
     for load in loaders:

@@ -91,9 +91,9 @@ def test_store(spark, tmp_path):
         s.record(spark.createDataFrame([("a", "t1", True)], "strategy_id string, trajectory_id string, success boolean"), "2024-02-02")
         s.record(spark.createDataFrame([("a", "t2", False)], "strategy_id string, trajectory_id string, success boolean"), "2024-02-03")
         assert sorted((r["trajectory_id"], r["success"]) for r in s.table("strategy_applications").collect()) == [("t1", True), ("t2", False)]
-        assert s.export(str(tmp_path / "out.json")) == 2
+        assert s.export(str(tmp_path / "out")) == 2
     with store.StrategyStore(spark, str(tmp_path / "other")) as o:
-        assert o.load(str(tmp_path / "none.json"), "2024-03-01") == 0 and o.load(str(tmp_path / "out.json"), "2024-03-01") == 2
+        assert o.load(str(tmp_path / "none.json"), "2024-03-01") == 0 and o.load(str(tmp_path / "out"), "2024-03-01") == 2
         assert {r["strategy_id"]: r["success_rate"] for r in o.table("strategies").collect()} == {"a": 0.6, "b": 0.4}
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sqlassay.plans import details, dialect, dialects, registry, tables, textual, wider  # noqa: F401
+from sqlassay.plans import details, dialect, dialects, registry, stores, tables, textual, wider  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Empty on the smallest tables; compared at 0.01 by the driver.
