@@ -19,8 +19,3 @@ def run_available(df: DataFrame, path: str, checkpoint: str, each: Callable[[Dat
     """Process all that is there, then stop; a rerun with the same checkpoint takes up where this one ended."""
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return (writer.foreachBatch(each) if each else writer.format("parquet").outputMode("append").option("path", path)).start()
-
-
-def consolidate_every(trajectories: DataFrame, batch: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Hand each micro-batch of trajectories to ``batch``: consolidation as data comes in."""
-    return trajectories.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: batch(df)).start()
