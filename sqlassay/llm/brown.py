@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import running_total, staged
 from .langid import fold
-from .tokens import blocks
+from .tokens import blocks, text_blocks
 from .words import hash_spans, mix64, word_spans
 
 CORE = 1023
@@ -84,9 +84,9 @@ def word_counts(train: DataFrame) -> DataFrame:
             return np.rec.fromarrays([names, every["shape"][at], np.bincount(where, every["n"], len(names)).astype(np.int64)], names="h,shape,n")
 
         for f in frames:
-            texts = [(t or "").encode() for t in f["text"]]
+            texts = [t or "" for t in f["text"]]
             for a, b in blocks(texts, BLOCK):
-                h, shape, _ = tokens(texts[a:b])
+                h, shape, _ = tokens([t.encode() for t in texts[a:b]])
                 names, at, n = np.unique(h, return_index=True, return_counts=True)
                 kept.append(np.rec.fromarrays([names, shape[at], n], names="h,shape,n"))
                 if len(kept) >= 16:
@@ -123,9 +123,8 @@ def unit_streams(docs: DataFrame, table: DataFrame, words: int, joined: bool) ->
 
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for a, b in blocks(texts, BLOCK):
-                h, shape, per = tokens(texts[a:b])
+            for a, b, texts in text_blocks(batch, BLOCK):
+                h, shape, per = tokens([t.encode() for t in texts])
                 part = [batch.column("doc_id")[a:b], batch.column("held_out")[a:b]]
                 ends = np.append(0, np.cumsum(per)).astype(np.int32)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
