@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import sqltext
+from . import sqltext, statements
 
 #: What may follow a closing quote.
 _FOLLOWS = re.compile(r"\s*(?:$|and|or|not|from|where|order|group|having|limit|union|intersect|except|join|on|[);,])", re.I)
@@ -65,7 +65,7 @@ def lower_string_literals(col: Column) -> Column:
 
 
 def repair_prediction(col: Column) -> Column:
-    return sqltext.null_form(_udf(drop_stray_quotes)(col))
+    return statements.null_form(_udf(drop_stray_quotes)(col))
 
 
 def canonical(col: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parser, quotes, semantic, sqltext
+from ..functions import parser, quotes, semantic, sqltext, statements
 from ..sources import corpora
 from . import execute, grading, results
 
@@ -35,7 +35,7 @@ def normalised_pairs(pairs: DataFrame) -> DataFrame:
     placeholder stays one.
     """
     known = F.flatten(F.map_values(F.from_json("catalog", "map<string,array<string>>")))
-    gold = sqltext.null_form(quotes.canonical(F.col("gold_sql")))
+    gold = statements.null_form(quotes.canonical(F.col("gold_sql")))
     pred = F.regexp_replace(F.replace(quotes.canonical(F.col("pred_sql")), F.lit("`"), F.lit("")), r"(?i)\b(from|join)\s+table\b", f"$1 {sqltext.SINGLE_TABLE}")
     pred = sqltext.collapse_underscores(quotes.repair_prediction(pred), F.transform(F.coalesce(known, F.array().cast("array<string>")), F.lower))
     holds = sqltext.is_placeholder(F.col("pred_sql"))

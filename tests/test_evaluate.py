@@ -148,3 +148,12 @@ def test_unknown_grader():
     with pytest.raises(ValueError):
         evaluate.grader("other")
     assert retrieval.LEAVING == ("quit", "exit", "q")
+
+
+@pytest.mark.parametrize("sql, form", [
+    ("SELECT a FROM t WHERE c IS NOT NULL AND t.x is null AND b = 1", "SELECT a FROM t WHERE b = 1"), ("SELECT a FROM t WHERE c IS NULL AND b IS NULL", "SELECT a FROM t"), ("SELECT a FROM t WHERE 1=1 AND 1=1 ORDER BY a", "SELECT a FROM t ORDER BY a"),
+    ("SELECT a FROM t WHERE b = 2 AND lower(c) = 'x y' AND d > 3", "SELECT a FROM t WHERE b = 2 AND d > 3"), ("SELECT a FROM t WHERE lower(c) = 'x'", "SELECT a FROM t WHERE lower(c) = 'x'"), ("SELECT a FROM t WHERE v = 1.5E AND w>=1.2.3 AND x = 1.5", "SELECT a FROM t WHERE v = '1.5E' AND w>='1.2.3' AND x = 1.5"),
+    ('SELECT a FROM t WHERE b="it\'s" AND c != "q"', "SELECT a FROM t WHERE b= 'it''s' AND c != 'q'"), ("SELECT a FROM t WHERE b NOT  IN (1) AND c Not Like 'x' AND NOT BETWEEN", "SELECT a FROM t WHERE b not in (1) AND c not like 'x' AND not between"), ("SELECT 'p AND q IS NULL r' FROM t", "SELECT 'p AND q IS NULL r' FROM t"),
+])
+def test_conditions_that_are_not_compared(sql, form):
+    assert statements.normal_nulls(sql) == form
