@@ -37,22 +37,23 @@ def value_lite(c: Column) -> Column:
     return once(v, lambda x: once(F.when(x.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), x.try_cast("double")), lambda n: F.struct(n.alias("num"), F.when(n.isNull(), x).alias("str"))))
 
 
-def resolve_column(name: Column, headers: Column, least: float = 0.6, min_tokens: int = 1, lite: bool = False) -> Column:
+def resolve_column(name: Column, headers: Column, least: float = 0.6, min_tokens: int = 1, lite: bool = False, names: Column | None = None) -> Column:
     """Index of the header that ``name`` means, or null; ``lite`` does not look inside AGG(...) or behind col_.
 
+    ``names`` are the normalised headers, where they have been made already.
+
     colN; the very name; the normalised name; the name without AGG(...) or col_; the most
     alike by words, from ``least`` on; the first that begins like it, or it like that.
     """
     bare = F.regexp_replace(F.trim(name), r"(?i)^(?:MAX|MIN|COUNT|SUM|AVG)\s*\(\s*(?:DISTINCT\s+)?(.*?)\s*\)$", "$1") if not lite else F.trim(name)
-    names = F.transform(headers, column_name)
+    names = F.transform(headers, column_name) if names is None else names
 
     def resolve(x: Column) -> Column:
         """x: number (of colN), bare, want (the normalised name), words, names (the normalised headers)."""
         want, words, known = x["want"], x["words"], x["names"]
 
         def first(test) -> Column:
-            hit = F.array_position(F.transform(known, test), True)
-            return F.when(hit > 0, hit - 1)
+            return once(F.array_position(F.transform(known, test), True), lambda hit: F.when(hit > 0, hit - 1))
 
         exact = F.array_position(headers, x["bare"])
         alike = F.transform(known, lambda h: F.when((F.size(words) >= min_tokens), jaccard(F.split(h, " "), words)).otherwise(F.lit(0.0)))
@@ -137,23 +138,25 @@ def conditions_match(pred: Column, gold: Column, match=values_match, relaxed: bo
     For each gold condition in turn, the first free prediction with its column, operator and
     value; else with operator and value; else, relaxed, with column and value.
     """
-    tests = [
-        lambda p, g: (p["col"] == g["col"]) & (p["op"] == g["op"]) & match(p["val"], g["val"]),
-        lambda p, g: (p["op"] == g["op"]) & match(p["val"], g["val"]),
-        lambda p, g: (p["col"] == g["col"]) & match(p["val"], g["val"]),
-    ][: 3 if relaxed else 2]
-    free = F.transform(pred, lambda p: F.lit(True))
 
-    def take(acc: Column, g: Column) -> Column:
-        def place(test) -> Column:
-            return F.array_position(F.zip_with(acc["free"], pred, lambda f, p: F.coalesce(f & test(p, g), F.lit(False))), True)
+    def rank(p: Column, g: Column) -> Column:
+        """1, 2 or 3 by what the two have in common beside the value, which is compared once and last."""
+        col, op = p["col"] == g["col"], p["op"] == g["op"]
+        kind = F.when(col & op, 1).when(op, 2)
+        kind = kind.when(col, 3) if relaxed else kind
+        return F.when(op | col if relaxed else op, F.when(match(p["val"], g["val"]), kind))
+
+    def compare(x: Column) -> Column:
+        def take(acc: Column, g: Column) -> Column:
+            ranks = F.zip_with(acc["free"], x["p"], lambda f, p: F.when(f, rank(p, g)))
+            found = once(ranks, lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)))
+            return once(found, lambda n: F.struct(F.transform(acc["free"], lambda f, k: f & (k + 1 != n)).alias("free"), (acc["ok"] & (n > 0)).alias("ok")))
 
-        found = reduce(lambda a, b: F.when(a > 0, a).otherwise(b), [place(t) for t in tests])
-        left = F.transform(acc["free"], lambda f, k: f & (k + 1 != found))
-        return F.struct(left.alias("free"), (acc["ok"] & (found > 0)).alias("ok"))
+        start = F.struct(F.transform(x["p"], lambda p: F.lit(True)).alias("free"), (F.size(x["p"]) >= F.size(x["g"])).alias("ok"))
+        return F.aggregate(x["g"], start, take, lambda a: a["ok"])
 
-    start = F.struct(free.alias("free"), (F.size(pred) >= F.size(gold)).alias("ok"))
-    return F.aggregate(gold, start, take, lambda a: a["ok"])
+    # both are worked out once a row, not once for each pair of their conditions
+    return once(F.struct(pred.alias("p"), gold.alias("g")), compare)
 
 
 def structural(pred: Column, gold: Column, match=values_match, relaxed: bool = True) -> Column:
@@ -173,24 +176,32 @@ def structural(pred: Column, gold: Column, match=values_match, relaxed: bool = T
 
 def parse_single(sql: Column, headers: Column) -> Column:
     """{agg, sel, conds, count_star} of a statement over one table with these headers; null if its column is unknown."""
+    return once(F.transform(headers, column_name), lambda names: _parse_single(sql, headers, names))
+
+
+def _parse_single(sql: Column, headers: Column, names: Column) -> Column:
+    """parse_single() with the normalised headers."""
     fn = r"(?i)\b(MAX|MIN|COUNT|SUM|AVG)\s*\(\s*(?:DISTINCT\s+)?([^)]*?)\s*\)"
     agg = F.array_position(F.array(*map(F.lit, AGGREGATES)), F.upper(F.regexp_extract(sql, fn, 1))) - 1
     inner = F.regexp_extract(sql, fn, 2)
-    star = (agg > 0) & (inner == "*")
     listed = F.trim(F.regexp_extract(sql, r"(?is)^\s*SELECT\s+(?:DISTINCT\s+)?(.+?)\s+FROM\b", 1))
-    sel = F.when(star, F.lit(-999)).when(agg > 0, resolve_column(inner, headers)).when(listed == "*", F.lit(0)).otherwise(resolve_column(listed, headers))
     where = F.regexp_extract(F.regexp_replace(sql, r"\(\s*(?i:SELECT)[^()]*\)", "?"), r"(?is)\bWHERE\b\s*(.*?)\s*(?:\bORDER\b|\bGROUP\b|\bHAVING\b|\bLIMIT\b|;|$)", 1)
     cond = r"""(?i)([\w`."]+(?:\s*\([^)]*\))?)\s*(>=|<=|!=|<>|=|>|<|\bLIKE\b)\s*('(?:[^']|'')*'|"[^"]*"|[^\s'"]+)"""
-    found = F.zip_with(F.regexp_extract_all(where, F.lit(cond), F.lit(1)), F.arrays_zip(F.regexp_extract_all(where, F.lit(cond), F.lit(2)).alias("o"), F.regexp_extract_all(where, F.lit(cond), F.lit(3)).alias("v")), lambda c, ov: F.struct(c.alias("c"), ov["o"].alias("o"), ov["v"].alias("v")))
-
     def build(x: Column) -> Column:
         name = F.regexp_replace(F.regexp_replace(x["c"], '[`"]', ""), r"^\w+\.", "")
         plain_like = (F.upper(x["o"]) == "LIKE") & ~x["v"].rlike("[%_]")
         op = F.when(plain_like, 0).otherwise(operator_index(x["o"]))
-        return F.struct(resolve_column(name, headers).alias("col"), op.alias("op"), value(x["v"]).alias("val"))
+        return F.struct(resolve_column(name, headers, names=names).alias("col"), op.alias("op"), value(x["v"]).alias("val"))
+
+    def read(r: Column) -> Column:
+        agg, inner, listed, where = (r[c] for c in ("agg", "inner", "listed", "where"))
+        star = (agg > 0) & (inner == "*")
+        sel = F.when(star, F.lit(-999)).when(agg > 0, resolve_column(inner, headers, names=names)).when(listed == "*", F.lit(0)).otherwise(resolve_column(listed, headers, names=names))
+        found = F.zip_with(F.regexp_extract_all(where, F.lit(cond), F.lit(1)), F.arrays_zip(F.regexp_extract_all(where, F.lit(cond), F.lit(2)).alias("o"), F.regexp_extract_all(where, F.lit(cond), F.lit(3)).alias("v")), lambda c, ov: F.struct(c.alias("c"), ov["o"].alias("o"), ov["v"].alias("v")))
+        conds = F.filter(F.transform(found, build), lambda c: c["col"].isNotNull())
+        return once(sel, lambda s: F.when(s.isNotNull(), F.struct(F.greatest(agg, F.lit(0)).cast("int").alias("agg"), s.cast("int").alias("sel"), conds.alias("conds"), star.alias("count_star"))))
 
-    conds = F.filter(F.transform(found, build), lambda c: c["col"].isNotNull())
-    return once(sel, lambda s: F.when(s.isNotNull(), F.struct(F.greatest(agg, F.lit(0)).cast("int").alias("agg"), s.cast("int").alias("sel"), conds.alias("conds"), star.alias("count_star"))))
+    return once(F.struct(agg.alias("agg"), inner.alias("inner"), listed.alias("listed"), where.alias("where")), read)
 
 
 def failure_category(gold_ok: Column, pred_ok: Column, agg: Column, sel: Column, cond: Column) -> Column:

@@ -122,3 +122,42 @@ def test_parse_error_is_reported(spark):
     df = spark.createDataFrame([("select a from t", json.dumps(CATALOG)), ("what", json.dumps(CATALOG)), (None, None)], "s string, c string")
     got = parser.parse_statements(df, "s", "c").select("parsed.error").collect()
     assert got[0][0] is None and got[1][0] and got[2][0]
+
+
+def test_conditions_are_worked_out_once(spark):
+    # each side stands in the plan once, however many pairs of conditions it makes
+    from sqlassay.operators import singletable
+
+    side = lambda mark: F.array(*[F.struct(F.lit(c).alias("col"), F.lit(0).alias("op"), singletable.value(F.concat(F.lit(mark), F.col("id").cast("string"))).alias("val")) for c in (0, 1)])
+    for match, relaxed in ((singletable.values_match, True), (singletable.values_match_strict, False)):
+        df = spark.range(1).select(singletable.conditions_match(side("p-mark"), side("g-mark"), match, relaxed).alias("ok"))
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert plan.count("p-mark") == 2 and plan.count("g-mark") == 2
+        assert df.first()["ok"] is False
+
+
+def test_conditions_against_plain_python(spark):
+    # every pair of short lists: the first free one with column, operator and value; else operator and value; else column and value
+    from itertools import product
+
+    from sqlassay.operators import singletable
+
+    def plain(pred, gold, relaxed):
+        free, ok = [True] * len(pred), len(pred) >= len(gold)
+        for c, o, v in gold:
+            tests = [lambda p: p == (c, o, v), lambda p: p[1:] == (o, v), lambda p: (p[0], p[2]) == (c, v)][: 3 if relaxed else 2]
+            hit = next((k for t in tests for k, p in enumerate(pred) if free[k] and t(p)), None)
+            if hit is None:
+                ok = False
+            else:
+                free[hit] = False
+        return ok
+
+    one = list(product((0, 1), (0, 1), ("ab", "x")))
+    lists = [(), *[(a,) for a in one], *[(a, b) for a in one[:5] for b in one[2:7]]]
+    cond = lambda items: [(c, o, {"num": None, "str": v}) for c, o, v in items]
+    kind = "array<struct<col:int,op:int,val:struct<num:double,str:string>>>"
+    pairs = list(product(lists, lists))
+    df = spark.createDataFrame([(k, cond(p), cond(g)) for k, (p, g) in enumerate(pairs)], f"k int, p {kind}, g {kind}")
+    got = {r["k"]: (r["a"], r["b"]) for r in df.select("k", singletable.conditions_match(F.col("p"), F.col("g")).alias("a"), singletable.conditions_match(F.col("p"), F.col("g"), relaxed=False).alias("b")).collect()}
+    assert all(got[k] == (plain(p, g, True), plain(p, g, False)) for k, (p, g) in enumerate(pairs))
