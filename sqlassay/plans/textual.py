@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import parser, prompts, quotes, semantic, sqltext, statements
 from ..operators import grading, singletable
 from ..sources import corpora
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def made(spark, sf, *parts, name: str = "part", key: str = "p_partkey"):
@@ -273,8 +273,9 @@ def e08_e09_values_match(spark, sf):
     a = ("manchester united", "man", "1,200", "x")
     b = ("manchester unite", "manchester", "1200", "y")
     pick = lambda t: F.element_at(F.array(*map(F.lit, t)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    x, y = singletable.value(pick(a)), singletable.value(pick(b))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), singletable.values_match(x, y).alias("relaxed"), singletable.values_match_strict(x, y).alias("strict"))
+    rows = spread(spark, table(spark, sf, "part")).select(F.col("p_partkey").alias("id"), singletable.value(pick(a)).alias("x"), singletable.value(pick(b)).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return rows.select("id", singletable.values_match(x, y).alias("relaxed"), singletable.values_match_strict(x, y).alias("strict"))
 
 
 def _structural(spark, sf):
@@ -289,7 +290,7 @@ def _structural(spark, sf):
         .otherwise(F.lit("SELECT MAX(nothing) FROM t WHERE brand = 'x'"))
     )
     h = F.array(F.lit("Part Name"), F.lit("Brand"), F.lit("Size"))
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), singletable.parse_single(gold, h).alias("gold"), singletable.parse_single(pred, h).alias("pred"), h.alias("headers"))
+    rows = spread(spark, table(spark, sf, "part")).select(F.col("p_partkey").alias("id"), singletable.parse_single(gold, h).alias("gold"), singletable.parse_single(pred, h).alias("pred"), h.alias("headers"))
     rows = rows.withColumn("s", singletable.structural(F.col("pred"), F.col("gold")))
     ok = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(False)).alias(c)
     return rows.select("id", "pred", "gold", "headers", F.col("gold").isNotNull().alias("gold_ok"), F.col("pred").isNotNull().alias("pred_ok"), ok("agg_ok"), ok("sel_ok"), ok("cond_ok"), ok("em"))
