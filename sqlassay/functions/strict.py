@@ -130,11 +130,13 @@ def parse_strict(df, sql: str, headers: str, out: str = "strict"):
     names = F.col(headers)
     rows = df.withColumn("__parts", _read(F.col(sql)))
     p = F.col("__parts")
-    sel = F.when(p["star"], F.lit(-999)).when(p["sel"] == "*", F.when(F.size(names) > 0, F.lit(0))).otherwise(singletable.resolve_column(p["sel"], names, min_tokens=2))
-    build = lambda x: F.struct(singletable.resolve_column(x["c"], names, min_tokens=2).alias("col"), singletable.operator_index(x["o"]).alias("op"), singletable.value(x["v"]).alias("val"))
+    plain = F.col("__names")
+    rows = rows.withColumn("__names", F.transform(names, singletable.column_name))
+    sel = F.when(p["star"], F.lit(-999)).when(p["sel"] == "*", F.when(F.size(names) > 0, F.lit(0))).otherwise(singletable.resolve_column(p["sel"], names, min_tokens=2, names=plain))
+    build = lambda x: F.struct(singletable.resolve_column(x["c"], names, min_tokens=2, names=plain).alias("col"), singletable.operator_index(x["o"]).alias("op"), singletable.value(x["v"]).alias("val"))
     conds = F.filter(F.transform(p["conds"], build), lambda c: c["col"].isNotNull())
-    whole = F.struct(p["agg"].cast("int").alias("agg"), sel.cast("int").alias("sel"), conds.alias("conds"), p["star"].alias("count_star"))
-    return rows.withColumn(out, F.when(p["agg"].isNotNull() & sel.isNotNull(), whole)).drop("__parts")
+    whole = lambda s: F.when(p["agg"].isNotNull() & s.isNotNull(), F.struct(p["agg"].cast("int").alias("agg"), s.cast("int").alias("sel"), conds.alias("conds"), p["star"].alias("count_star")))
+    return rows.withColumn(out, singletable.once(sel, whole)).drop("__parts", "__names")
 
 
 def gold_struct(df, gold: str, headers: str, out: str = "gold"):
