@@ -126,6 +126,12 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None, lea
     return retrieval.top(found, k, F.desc("similarity"), F.col("id")).select("q_id", *kept, "rank", "similarity")
 
 
+def _few(who: np.ndarray, rows: int) -> list[np.ndarray]:
+    """``who`` in pieces, each with no more products with ``rows`` vectors than a task may hold."""
+    step = max(1, retrieval.PRODUCTS // max(rows, 1))
+    return [who[a : a + step] for a in range(0, len(who), step)]
+
+
 def _best_in_cells(rows: DataFrame, q_ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, k: int, q_type: str, keep_cell: bool) -> DataFrame:
     """Of each batch of rows (cell, id, vec, ...) the best k for each query that probes their cell; similarities to twelve places, ties by id."""
     kept, types = [c for c in rows.columns if c != "vec" and (keep_cell or c != "cell")], dict(rows.dtypes)
@@ -138,12 +144,15 @@ def _best_in_cells(rows: DataFrame, q_ids: np.ndarray, vectors: np.ndarray, near
         for f in frames:
             for c, some in f.sort_values("id", kind="stable").groupby("cell", sort=False):
                 who = cells[int(c)]
-                near = (asked[who] @ _matrix(some["vec"]).T).round(12)
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                out = some[kept].iloc[order.ravel()].reset_index(drop=True)
-                out.insert(0, "q_id", np.repeat(names[who], order.shape[1]))
-                out.insert(1, "similarity", np.take_along_axis(near, order, 1).ravel())
-                yield out
+                some_vectors, own = _matrix(some["vec"]).T, some[kept]
+                # some queries at a time: what a task holds does not grow with those that probe a cell
+                for few in _few(who, len(some)):
+                    near = (asked[few] @ some_vectors).round(12)
+                    row, column = retrieval.best_of_rows(near, k)
+                    out = own.iloc[column].reset_index(drop=True)
+                    out.insert(0, "q_id", names[few][row])
+                    out.insert(1, "similarity", near[row, column])
+                    yield out
 
     return rows.mapInPandas(score, shape)
 

@@ -297,21 +297,21 @@ def v08_distance(spark, sf):
     return pairs.select("q_id", "id", F.round(retrieval.similarity_of_distance(retrieval.squared_distance(F.col("q_vec"), F.col("vec"))), 4).alias("similarity"))
 
 
-def _rounded(spark, sf):
-    return _pairs(spark, sf).withColumn("similarity", F.round("similarity", 9))
+def _rounded(spark, sf, k=None, where=None):
+    return _pairs(spark, sf, k, where).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS rank FROM pairs WHERE label = 0) SELECT q_id, id, rank::BIGINT AS rank FROM r WHERE rank <= 4")
 def v06_relevant_schemas(spark, sf):
-    return retrieval.relevant_schemas(_rounded(spark, sf).filter("label = 0"), 4).select("q_id", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.relevant_schemas(_rounded(spark, sf, 4, {"label": 0}), 4).select("q_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {PAIRS}, a AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS near FROM pairs WHERE label = 1), a2 AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS rank FROM a WHERE near <= 6 AND s >= 0.05),
     b AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS rank FROM pairs WHERE label = 2), c AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS rank FROM pairs WHERE label = 0)
     SELECT 'question' AS kind, q_id, id, rank::BIGINT AS rank FROM a2 WHERE rank <= 2 UNION ALL SELECT 'statement', q_id, id, rank FROM b WHERE rank <= 2 AND s >= 0.05 UNION ALL SELECT 'schema', q_id, id, rank FROM c WHERE rank <= 2""")
 def v07_comprehensive(spark, sf):
-    p = _rounded(spark, sf)
-    found = retrieval.comprehensive(p.filter("label = 1"), p.filter("label = 2"), p.filter("label = 0"), 2, 0.05, F.lit(False))
+    questions, known, schemas = (_rounded(spark, sf, k, {"label": label}) for k, label in ((6, 1), (2, 2), (2, 0)))
+    found = retrieval.comprehensive(questions, known, schemas, 2, 0.05, F.lit(False))
     return found.select("kind", "q_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -324,7 +324,7 @@ def v12_commands(spark, sf):
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id) AS rank FROM pairs) SELECT q_id, rank || '. ' || id AS line FROM r WHERE rank <= 3")
 def o17_shown(spark, sf):
-    found = retrieval.shown(retrieval.top(_rounded(spark, sf), 3, F.desc("similarity"), F.col("id")), "id")
+    found = retrieval.shown(retrieval.top(_rounded(spark, sf, 3), 3, F.desc("similarity"), F.col("id")), "id")
     return found.select("q_id", F.regexp_replace("line", r" \([^)]*\)$", "").alias("line"))
 
 
