@@ -55,7 +55,7 @@ def n06_null_form(spark, sf):
 @query("SELECT p_partkey AS id, 'SELECT a FROM t WHERE b != ' || p_size AS out FROM part")
 def n07_single_table_form(spark, sf):
     df = made(spark, sf, "SELECT a FROM t  WHERE b <> ", "$p_size", " AND lower(c) = 'x' AND d IS NULL")
-    return df.select("id", statements.single_table_form(F.col("sql")).alias("out"))
+    return spread(spark, df).select("id", statements.single_table_form(F.col("sql")).alias("out"))
 
 
 @query("SELECT p_partkey AS id, 'SELECT first_name FROM t WHERE last_name = ''a__b'' AND z__z = ' || p_size AS out FROM part")
