@@ -46,12 +46,39 @@ def similar_pairs(kinds: DataFrame, over: float) -> DataFrame:
     return met.filter(F.round(alike, 9) > over).select(F.col("x.place").alias("a"), F.col("y.place").alias("b")).distinct()
 
 
+def _taken_in(pairs: DataFrame) -> DataFrame:
+    """(p) of those that an earlier one takes in: of pairs (a, b), a before b, b is one if any such a is not.
+
+    Rows (p, on, stays) say what p hangs on: p stays if each of its ``on`` is as ``stays`` says. In a
+    round what is known is put in, and another that hangs on one alone is replaced by that one. So
+    a chain of n takes some log2(n) rounds, not n / 2.
+    """
+    left = pairs.select(F.col("b").alias("p"), F.col("a").alias("on"), F.lit(False).alias("stays"))
+    known = staged(pairs.select(F.col("a").alias("p")).distinct().join(left.select("p").distinct(), "p", "left_anti").withColumn("state", F.lit(True)), "primaries")
+    gone = []
+    while not left.isEmpty():
+        # p with its one condition, if it has no other
+        single = left.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("next"), F.min("stays").alias("as")).filter("n = 1").drop("n")
+        single = single.join(known.select(F.col("p").alias("next")), "next", "left_anti")  # what hangs on a known one is known itself in a moment
+        seen = left.join(known.withColumnRenamed("p", "on"), "on", "left").join(single.withColumnRenamed("p", "on"), "on", "left")
+        on = F.when(F.col("state").isNull(), F.coalesce("next", "on"))
+        stays = F.when(F.col("next").isNull(), F.col("stays")).otherwise(F.col("stays") == F.col("as"))
+        met = F.when(F.col("state").isNotNull(), F.col("state") == F.col("stays"))
+        seen = staged(seen.select("p", on.alias("on"), F.when(F.col("state").isNull(), stays).alias("stays"), met.alias("met")).distinct(), "conditions")
+        open_, both = F.count("on"), F.count_distinct("on")
+        state = F.when((F.min("met") == False) | (open_ > both), False).when(open_ == 0, True)  # noqa: E712  (one as staying and as gone: neither can be)
+        known = staged(seen.groupBy("p").agg(state.alias("state")).filter("state IS NOT NULL"), "known")
+        gone.append(known.filter("NOT state").select("p"))
+        left = staged(seen.filter("on IS NOT NULL").join(known.select("p"), "p", "left_anti").select("p", "on", "stays"), "left")
+    return reduce(DataFrame.unionByName, gone) if gone else pairs.select(F.col("b").alias("p"))
+
+
 def merge_plan(store: DataFrame, over: float = MERGE_OVER) -> DataFrame:
     """(primary, secondary): which strategy takes in which others, as if each in turn, the most successful first, took in all later ones like it that are left.
 
     Strategies are compared as they are in the store, whatever a primary has taken in before. In each round those that no
-    earlier one can take in any more become primaries, and what is like them is taken in; a round
-    is a job over all strategies. Strategies of equal pattern, keywords and steps count as one kind: copies make no pairs.
+    earlier one can take in any more become primaries, and what is like them is taken in; where
+    that hangs on one other alone, rounds double how far they see. Strategies of equal pattern, keywords and steps count as one kind: copies make no pairs.
     """
     place = F.struct((-F.col("success_rate")).alias("rate"), F.col("strategy_id").alias("id"))
     rows = store.select("strategy_id", place.alias("place"), "pattern", F.array_sort(F.array_distinct("keywords")).alias("keywords"), F.array_sort(F.array_distinct("steps")).alias("steps"))
@@ -63,15 +90,7 @@ def merge_plan(store: DataFrame, over: float = MERGE_OVER) -> DataFrame:
     # kinds whose copies are not like each other keep every strategy apart
     apart = rows.join(kinds.filter("NOT self").select(*kind), kind).select("place", *kind)
     pairs = staged(similar_pairs(kinds.filter("self").select("place", *kind).unionByName(apart), over), "pairs")
-    left, taken = pairs, []
-    while not left.isEmpty():
-        first = left.select(F.col("a").alias("p")).distinct().join(left.select(F.col("b").alias("p")).distinct(), "p", "left_anti")
-        first = staged(first, "primaries")
-        gone = staged(left.join(first.withColumnRenamed("p", "a"), "a", "left_semi").select(F.col("b").alias("p")).distinct(), "taken-in")
-        taken.append(gone)
-        left = left.join(first.unionByName(gone).withColumnRenamed("p", "a"), "a", "left_anti")
-        left = staged(left.join(gone.withColumnRenamed("p", "b"), "b", "left_anti"), "pairs")
-    every = reduce(DataFrame.unionByName, taken) if taken else pairs.select(F.col("b").alias("p"))
+    every = _taken_in(pairs)
     # the earliest of the primaries like it takes it in
     of = pairs.join(every.withColumnRenamed("p", "a"), "a", "left_anti").join(every.withColumnRenamed("p", "b"), "b", "left_semi").groupBy("b").agg(F.min("a").alias("a"))
     heads = kinds.filter("self").select(*kind, F.col("place").alias("head"))

@@ -134,3 +134,44 @@ def test_stream_of_uses(spark, tmp_path):
     assert run() == got and s.log.version() == version
     run("again")
     assert s.log.version() == version and s.table("strategy_evolution").count() == evolved
+
+
+def test_chain_of_likes_takes_few_rounds(spark, monkeypatch):
+    # each is like the next alone: every other one is taken in, in rounds that double what they see
+    staged, calls = consolidate.staged, []
+    monkeypatch.setattr(consolidate, "staged", lambda df, tag: calls.append(tag) or staged(df, tag))
+    n = 150
+    place = lambda k: {"rate": 0.0, "id": k}
+    kind = "a struct<rate:double,id:int>, b struct<rate:double,id:int>"
+    got = consolidate._taken_in(spark.createDataFrame([(place(k), place(k + 1)) for k in range(n - 1)], kind))
+    assert sorted(r["p"]["id"] for r in got.collect()) == list(range(1, n, 2))
+    assert calls.count("left") <= 10
+
+
+def test_taken_in_as_one_after_the_other(spark):
+    # random graphs, against taking each in turn
+    import random
+
+    place = lambda k: {"rate": 0.0, "id": k}
+    for seed, n, share in ((1, 30, 0.08), (2, 25, 0.3)):
+        rnd = random.Random(seed)
+        edges = [(a, b) for a in range(n) for b in range(a + 1, n) if rnd.random() < share]
+        gone = set()
+        for b in range(n):
+            if any(y == b and x not in gone for x, y in edges):
+                gone.add(b)
+        df = spark.createDataFrame([(place(a), place(b)) for a, b in edges], "a struct<rate:double,id:int>, b struct<rate:double,id:int>")
+        assert {r["p"]["id"] for r in consolidate._taken_in(df).collect()} == gone
+
+
+def test_pairs_of_copies_are_not_candidates_one_by_one(spark):
+    # copies are compared as one kind: similarity is worked out for kinds, and all pairs come out
+    from sqlassay.operators import strategies
+
+    rows = [(k, f"P_{k % 2}", ["k", f"n{k % 2}"], ["a"]) for k in range(20)] + [(90, None, ["k"], None), (91, "P_0", None, ["a"])]
+    store = spark.createDataFrame(rows, "strategy_id long, pattern string, keywords array<string>, steps array<string>")
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in strategies.merge_pairs(store).collect())
+    assert got == [(a, b, 1.0) for a in range(20) for b in range(a + 1, 20) if (b - a) % 2 == 0]
+    assert "kind" in strategies.merge_pairs(store)._jdf.queryExecution().analyzed().toString()
+    low = {(r["a"], r["b"]) for r in strategies.merge_pairs(store, 0.4).collect()}
+    assert len(low) == 190  # both patterns share P and a keyword
