@@ -157,3 +157,10 @@ def test_unknown_grader():
 ])
 def test_conditions_that_are_not_compared(sql, form):
     assert statements.normal_nulls(sql) == form
+
+
+def test_statements_are_normalised_once(spark, small):
+    # graded rows come from what was normalised on disk, for the texts and for each side
+    from sqlassay.plans import wider
+
+    assert any("/normalised-" in f for f in wider._graded(spark, small).inputFiles())
