@@ -97,14 +97,16 @@ class WordEncoder:
         self.ids[self.used : self.used + len(flat)] = flat
         self.lanes[self.used_lanes : self.used_lanes + len(lanes)] = lanes
         many = (size + 7) >> 3
-        run = hashes[order], self.used + np.cumsum(counts) - counts, counts, (self.used_lanes + np.cumsum(many) - many)[order], size[order]
+        rest = self.used + np.cumsum(counts) - counts, counts, (self.used_lanes + np.cumsum(many) - many)[order], size[order]
+        run = hashes[order], *(x.astype(np.uint32) for x in rest)
         self.used += len(flat)
         self.used_lanes += len(lanes)
-        self.runs.append(tuple(x[np.argsort(run[0])] for x in run))
+        by = np.argsort(run[0])
+        self.runs.append(tuple(x[by] for x in run))
         if len(self.runs) > 6:
-            every = [np.concatenate(x) for x in zip(*self.runs)]
-            by = np.argsort(every[0])
-            self.runs = [tuple(x[by] for x in every)]
+            by = np.argsort(np.concatenate([r[0] for r in self.runs]))
+            # column by column: no second copy of all of them
+            self.runs = [tuple(np.concatenate([r[k] for r in self.runs])[by] for k in range(len(run)))]
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """First id, number of ids, first lane and bytes of each hash; first id -1 where it is unknown."""

@@ -93,3 +93,17 @@ def test_scores_of_thue_morse_words(spark):
     table = spark.createDataFrame([(k, x) for k in learnt] + [(held, y)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in brown.score(table).collect()}
     assert got[held]["n_known"] == 1 and all(got[k]["n_known"] == 2 for k in learnt)
+
+
+def test_cached_words_are_narrow():
+    # what the encoder remembers of a word, beside its ids and bytes, stays under 24 bytes and survives merging of runs
+    from sqlassay.llm import tokens
+
+    enc = tokens.WordEncoder(tokens.tokenizer_path())
+    texts = [" ".join(f"w{chr(97 + k)}{chr(97 + n // 26)}{chr(97 + n % 26)}x" for n in range(300)) for k in range(10)]
+    for t in texts:
+        enc.encode([t])
+    assert all(sum(c.nbytes for c in run) <= 24 * len(run[0]) for run in enc.runs) and len(enc.runs) <= 6
+    flat, counts = enc.encode(texts)
+    want, many = enc._whole(texts)
+    assert flat.tolist() == want.tolist() and counts.tolist() == many.tolist()
