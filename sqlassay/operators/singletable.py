@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import jaccard, once
+from ..staging import staged
 
 # Aggregate numbers of single-table queries, months, and what separates words in headers.
 AGGREGATES = ("", "MAX", "MIN", "COUNT", "SUM", "AVG")
@@ -276,6 +277,17 @@ def accuracy_by(rows: DataFrame, key: str) -> DataFrame:
 
 #: Operators of conditions by their number in a structure; a structure does not say what its last one was.
 OPERATORS = ("=", ">", "<")
+#: Queries and conditions that are sent to every task, in place of moving the cells to them; with more, a column's cells are dealt over so many tasks.
+SENT, DEALT = 20_000, 32
+
+
+def _beside_cells(few: DataFrame, cells: DataFrame, on: list[str], sent: bool) -> DataFrame:
+    """``few`` (conditions, queries) joined with cells, which are never sent to every task, however small their file."""
+    if sent:
+        return F.broadcast(few).join(cells, on)
+    few = few.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    cells = cells.withColumn("__deal", F.pmod(F.xxhash64("row_id"), F.lit(DEALT)).cast("int"))
+    return few.join(cells.hint("merge"), [*on, "__deal"]).drop("__deal")
 
 
 def single_rows(queries: DataFrame, cells: DataFrame) -> DataFrame:
@@ -287,26 +299,33 @@ def single_rows(queries: DataFrame, cells: DataFrame) -> DataFrame:
     number; patterns ignore case. A cell without a value meets no condition, nor does any cell one with another operator.
 
     A condition that several queries share is looked up once; one for equality by a hash join on
-    what cells hold, others along their column.
+    what cells hold, others along their column. Few conditions are sent to the cells, many meet
+    them in a column dealt over tasks.
     """
-    ready = cells.withColumn("have", value(F.col("value"))).select("db_id", "row_id", "col", "value", "have", mark(F.col("have")).alias("mark"))
     conds = queries.select("query_id", "db_id", F.explode(F.array_distinct("conds")).alias("c"), F.size(F.array_distinct("conds")).alias("differ"))
     kinds = conds.schema["c"].dataType
     op = F.lower(F.trim(F.col("c.op"))) if kinds["op"].dataType.typeName() == "string" else F.get(F.array(*map(F.lit, OPERATORS)), F.col("c.op"))
     pattern = F.col("c.text") if "text" in kinds.names else F.coalesce("c.val.str", F.col("c.val.num").cast("string"))
     wanted = conds.select("query_id", "db_id", "differ", F.col("c.col").alias("col"), op.alias("op"), F.col("c.val").alias("val"), pattern.alias("pattern"), mark(F.col("c.val")).alias("mark"))
+    wanted = staged(wanted, "conditions")
+    sent = wanted.count() <= SENT
+    tested = wanted.select("db_id", "col").distinct()
+    ready = cells.join(F.broadcast(tested) if sent else tested.hint("merge"), ["db_id", "col"], "left_semi")
+    ready = ready.withColumn("have", value(F.col("value"))).select("db_id", "row_id", "col", "value", "have", mark(F.col("have")).alias("mark"))
+    ready = staged(ready, "cells")  # values are read once
     what = ["db_id", "col", "op", "mark", "pattern"]
     each = wanted.groupBy(*what).agg(F.first("val").alias("val"))
-    equal = each.filter("op = '='").join(ready.select("db_id", "row_id", "col", "mark"), ["db_id", "col", "mark"]).select(*what, "row_id")
+    equal = _beside_cells(each.filter("op = '='"), ready.select("db_id", "row_id", "col", "mark"), ["db_id", "col", "mark"], sent).select(*what, "row_id")
     place = lambda v: F.struct(v["num"].isNull().alias("text"), v["num"].alias("num"), v["str"].alias("str"))
     have, want, like = place(F.col("have")), place(F.col("val")), F.expr("value ILIKE pattern")
     same = F.col("seen") == F.col("mark")
     holds = F.when(F.col("op") == ">", (have > want) & ~same).when(F.col("op") == "<", (have < want) & ~same).when(F.col("op") == ">=", (have > want) | same).when(F.col("op") == "<=", (have < want) | same)
     holds = holds.when(F.col("op").isin("!=", "<>"), ~same).when(F.col("op") == "like", like).when(F.col("op") == "not like", ~like)
-    along = each.filter("op <> '='").join(ready.filter("value IS NOT NULL").withColumnRenamed("mark", "seen"), ["db_id", "col"]).filter(holds).select(*what, "row_id")
-    met = wanted.select("query_id", "differ", *what).join(equal.unionByName(along), what)
+    along = _beside_cells(each.filter("op <> '='"), ready.filter("value IS NOT NULL").withColumnRenamed("mark", "seen"), ["db_id", "col"], sent).filter(holds).select(*what, "row_id")
+    asked, found = wanted.select("query_id", "differ", *what), equal.unionByName(along)
+    met = F.broadcast(asked).join(found, what) if sent else asked.join(found.hint("merge"), what)
     kept = met.groupBy("query_id", "row_id", "differ").agg(F.count(F.lit(1)).alias("n")).filter("n = differ").select("query_id", "row_id")
-    free = queries.filter(F.size("conds") == 0).select("query_id", "db_id").join(cells.select("db_id", "row_id").distinct(), "db_id").select("query_id", "row_id")
+    free = queries.filter(F.size("conds") == 0).select("query_id", "db_id").join(cells.select("db_id", "row_id").distinct().hint("merge"), "db_id").select("query_id", "row_id")
     return kept.unionByName(free)
 
 
@@ -316,15 +335,24 @@ def run_single(queries: DataFrame, cells: DataFrame) -> DataFrame:
     queries: query_id, db_id, agg, sel, conds; cells: db_id, row_id, col, value. Returns for every query
     query_id, n_rows and, by aggregate number, the result (rounded; 0 for a count of nothing,
     null for another aggregate of nothing) or, without one, the sorted array of values. Rows are
-    kept as single_rows() says. Values are collected for queries without aggregate alone, whose result they are.
+    kept as single_rows() says, once for all queries with the same conditions. Values are collected for
+    queries without aggregate alone, whose result they are, each once with its count; repeats are written out at the end.
     """
-    kept = single_rows(queries, cells).join(queries.select("query_id", "db_id", "agg", F.greatest("sel", F.lit(0)).alias("col")), "query_id")
-    rows = kept.join(cells.select("db_id", "row_id", "col", "value"), ["db_id", "row_id", "col"])
-    n = F.col("value").try_cast("double")
-    found = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("x1"), F.min(n).alias("x2"), F.sum(n).alias("x4"), F.avg(n).alias("x5"), F.array_sort(F.collect_list(F.when(F.col("agg") == 0, F.col("value")))).alias("x0"))
-    out = queries.select("query_id", "agg").join(found, "query_id", "left").withColumn("n_rows", F.coalesce("n", F.lit(0)).cast("long"))
+    first = F.min("query_id").over(Window.partitionBy("db_id", "conds"))
+    asked = staged(queries.select("query_id", "db_id", "conds", "agg", F.greatest("sel", F.lit(0)).alias("col"), first.alias("first")), "asked")
+    few = F.broadcast if asked.count() <= SENT else lambda df: df.hint("merge")
+    kept = single_rows(asked.filter("query_id = first").select("query_id", "db_id", "conds"), cells).withColumnRenamed("query_id", "first")
+    kept = kept.join(few(asked.groupBy("first", "db_id", "col").agg(F.max(F.col("agg") == 0).alias("listed"))), "first")
+    shown = cells.select("db_id", "row_id", "col", "value").join(few(asked.select("db_id", "col").distinct()), ["db_id", "col"], "left_semi")
+    rows = staged(kept.join(shown.hint("merge"), ["db_id", "row_id", "col"]).select("first", "col", "listed", "value"), "kept-values")
+    n, of = F.col("value").try_cast("double"), ["first", "col"]
+    found = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("x1"), F.min(n).alias("x2"), F.sum(n).alias("x4"), F.avg(n).alias("x5"))
+    lists = rows.filter("listed AND value IS NOT NULL").groupBy(*of, "value").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    lists = lists.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("value", "times"))).alias("x0"))
+    out = asked.join(found.hint("merge"), of, "left").join(lists.hint("merge"), of, "left").withColumn("n_rows", F.coalesce("n", F.lit(0)).cast("long"))
     pick = F.when(F.col("agg") == 3, F.col("n_rows").cast("double")).when(F.col("agg") == 1, F.col("x1")).when(F.col("agg") == 2, F.col("x2")).when(F.col("agg") == 4, F.col("x4")).when(F.col("agg") == 5, F.col("x5"))
-    values = F.when(F.col("agg") == 0, F.coalesce("x0", F.array().cast("array<string>")))
+    repeated = F.flatten(F.transform("x0", lambda x: F.array_repeat(x["value"], x["times"])))
+    values = F.when(F.col("agg") == 0, F.coalesce(repeated, F.array().cast("array<string>")))
     return out.select("query_id", "n_rows", F.round(pick, 6).alias("result"), values.alias("values"))
 
 

@@ -330,7 +330,7 @@ def e16_failure_examples(spark, sf):
 
 @query("""SELECT p_brand AS query_id, count(*) AS n_rows, round(max(p_retailprice), 6) AS result FROM part WHERE p_size > 25 GROUP BY p_brand""")
 def run_single_table_batch(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread(spark, table(spark, sf, "part"))
     cells = p.select(F.lit("part").alias("db_id"), F.col("p_partkey").alias("row_id"), F.posexplode(F.array("p_brand", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))).alias("col", "value"))
     queries = p.select(F.col("p_brand").alias("query_id")).distinct().withColumn("db_id", F.lit("part"))
     cond = lambda c, o, v: F.struct(F.lit(c).alias("col"), F.lit(o).alias("op"), singletable.value(v).alias("val"))
@@ -351,7 +351,7 @@ SINGLE = ("NULL", "max(p_retailprice)", "min(p_retailprice)", "count(*)", "sum(p
     for k, (sql, _) in enumerate(CONDITIONS) for a, x in enumerate(SINGLE)))
 def run_single_operators(spark, sf):
     # every operator with every aggregate, and a second condition that always holds
-    p = table(spark, sf, "part")
+    p = spread(spark, table(spark, sf, "part"))
     cells = p.select(F.lit("part").alias("db_id"), F.col("p_partkey").alias("row_id"), F.posexplode(F.array("p_brand", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.col("p_partkey").cast("string"))).alias("col", "value"))
     asked = [(10 * k + a, "part", a, 2, [c, (3, ">", "0")]) for k, (_, c) in enumerate(CONDITIONS) for a in range(6)]
     queries = spark.createDataFrame(asked, "query_id long, db_id string, agg int, sel int, conds array<struct<col:int,op:string,val:string>>")

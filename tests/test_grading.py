@@ -161,3 +161,22 @@ def test_conditions_against_plain_python(spark):
     df = spark.createDataFrame([(k, cond(p), cond(g)) for k, (p, g) in enumerate(pairs)], f"k int, p {kind}, g {kind}")
     got = {r["k"]: (r["a"], r["b"]) for r in df.select("k", singletable.conditions_match(F.col("p"), F.col("g")).alias("a"), singletable.conditions_match(F.col("p"), F.col("g"), relaxed=False).alias("b")).collect()}
     assert all(got[k] == (plain(p, g, True), plain(p, g, False)) for k, (p, g) in enumerate(pairs))
+
+
+def test_single_cells_are_never_broadcast(spark):
+    """Cells of a small file are many rows: only conditions and queries go to every task; queries with the same conditions are looked up once."""
+    from sqlassay.operators import singletable
+
+    cells = spark.createDataFrame([("d", r, c, v) for r in range(40) for c, v in ((0, "ab"[r % 2]), (1, str(r % 4)))], "db_id string, row_id long, col int, value string")
+    cond = "array<struct<col:int,op:string,val:struct<num:double,str:string>>>"
+    asked = [(k, "d", agg, 1, [(0, "=", (None, "a")), (1, ">", (1.0, None))]) for k, agg in enumerate((0, 3, 4))] + [(9, "d", 0, 1, []), (10, "d", 0, 0, [(1, "<", (-1.0, None))])]
+    queries = spark.createDataFrame(asked, f"query_id long, db_id string, agg int, sel int, conds {cond}")
+    for sent in (singletable.SENT, 0):  # conditions are sent, or meet cells dealt over tasks
+        was, singletable.SENT = singletable.SENT, sent
+        try:
+            plan = singletable.single_rows(queries, cells)._jdf.queryExecution().optimizedPlan().toString()
+            got = {r["query_id"]: (r["n_rows"], r["result"], r["values"]) for r in singletable.run_single(queries, cells).collect()}
+        finally:
+            singletable.SENT = was
+        assert "merge" in plan and plan.count("strategy=broadcast") == (3 if sent else 0)
+        assert got == {0: (10, None, ["2"] * 10), 1: (10, 10.0, None), 2: (10, 20.0, None), 9: (40, None, sorted(str(r % 4) for r in range(40))), 10: (0, None, [])}
