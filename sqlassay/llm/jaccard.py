@@ -25,6 +25,7 @@ forest of its links, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,10 +50,15 @@ KEPT = 8
 ROUNDS = 3
 #: Sets, and shingles, in one block of a family.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
-#: Common shingles: at most this many, found at least so often among a sample of about so many sets.
-HOT_SHINGLES, HOT_TIMES, SAMPLE_SETS = 400_000, 8, 16_000
+#: Common shingles: at most this many, found at least so often among a sample of about so many sets, or of every so many-th set where
+#: that is more: what stays uncommon is then in so many sets at most, however large the table.
+HOT_SHINGLES, HOT_TIMES, SAMPLE_SETS, SAMPLE_OF = 1_000_000, 8, 16_000, 20
 #: Signatures sorted by one task.
 PART_SIGNATURES = 1_000_000
+#: Signatures are shuffled in turns: one more for each so many parts, at most so many, so that only a share of them is on disk at a time.
+TURN_PARTS, TURNS = 64, 3
+#: Times that families too large for one block are taken apart by what is common among their own sets.
+APART = 4
 
 
 def size_bands(top: int, growth: float = GROWTH) -> np.ndarray:
@@ -260,7 +266,7 @@ def set_ids(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> DataFram
 
 def common_shingles(sets: DataFrame, n_sets: int) -> np.ndarray:
     """Shingles that are common in a sample of sets; sorted, at most HOT_SHINGLES. It only bears on speed."""
-    rate = min(1.0, SAMPLE_SETS / max(n_sets, 1))
+    rate = min(1.0, max(SAMPLE_SETS / max(n_sets, 1), 1 / SAMPLE_OF))
     sample = sets.filter(F.pmod("set_id", F.lit(1_000_003)) < int(rate * 1_000_003) + 1).select("set_id", "shingles")
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,8 +281,8 @@ def common_shingles(sets: DataFrame, n_sets: int) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that connect all sets with a common signature."""
+def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int = PERCENT, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(a, b): links that connect all sets with a common signature, of those of the parts whose turn it is."""
     ship(sets.sparkSession)
     shared = sets.sparkSession.sparkContext.broadcast(hot)
 
@@ -291,9 +297,9 @@ def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int =
                 order = np.argsort(part, kind="stable")
                 sig, ids = sig[order], ids[order]  # still by signature within a part
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, False, _packed(sig[cuts[p] : cuts[p + 1]], ids[cuts[p] : cuts[p + 1]])) for p in np.flatnonzero(np.diff(cuts))]
-                if len(pairs):
-                    rows.append((int(names[a]) % parts, True, spanning(pairs).tobytes()))
+                rows = [(p // turns, False, _packed(sig[cuts[p] : cuts[p + 1]], ids[cuts[p] : cuts[p + 1]])) for p in np.flatnonzero(np.diff(cuts)) if p % turns == turn]
+                if len(pairs) and not turn:
+                    rows.append((int(names[a]) % parts // turns, True, spanning(pairs).tobytes()))
                 yield pd.DataFrame(rows, columns=["part", "linked", "data"])
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,7 +314,45 @@ def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int =
 
     spread = sets.select("set_id", "shingles").mapInPandas(sign, "part int, linked boolean, data binary")
     # one task for each part, so that what a task holds does not grow with the data
-    return spread.repartitionById(parts, F.col("part")).select("linked", "data").mapInPandas(meet, "a long, b long")
+    return spread.repartitionById((parts - 1) // turns + 1, F.col("part")).select("linked", "data").mapInPandas(meet, "a long, b long")
+
+
+def candidate_families(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """On disk, (id, component): the families of sets that share signatures, directly or through others."""
+    total = sets.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).first()
+    parts = max(1, int((total["s"] or 0) * 0.6 / PART_SIGNATURES) + 1)
+    turns = min(TURNS, 1 + parts // TURN_PARTS)
+    hot, found = common_shingles(sets, total["n"]), []
+    for turn in range(turns):
+        forget_shuffles(sets.sparkSession)  # the sample's, or the last turn's, before more signatures are shuffled
+        found.append(staged(candidate_links(sets, hot, parts, percent, turn, turns), "candidates"))
+    families = staged(components(reduce(DataFrame.union, found)), "families")
+    discard(*found)
+    return families
+
+
+def families_apart(sets: DataFrame, families: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """``families``, those of more than ``block`` sets taken apart.
+
+    In a large table a shingle that is rare overall still joins very many sets, and families
+    grow together. What is common among the sets of large families alone tells them apart:
+    their signatures are made anew without it. Sets that are similar stay together, since they
+    are in one family and their new signatures meet as well. This is done again as long as it
+    leaves much less in large families.
+    """
+    done, before = [], None
+    for _ in range(APART):
+        large = families.groupBy("component").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > block).select("component")
+        of_large = staged(join_hot(families, large.withColumn("large", F.lit(True)), "component").select("id"), "large-families")
+        many = of_large.count()
+        if not many or before and many > 0.7 * before:
+            break
+        done.append(families.join(of_large, "id", "left_anti"))
+        members = of_large.withColumnRenamed("id", "set_id")
+        own = staged(only_ids(sets, "set_id", members).join(members, "set_id", "left_semi").dropDuplicates(["set_id"]), "large-family-sets")
+        families, before = candidate_families(own, percent), many
+        discard(own)
+    return reduce(DataFrame.unionByName, done, families)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -426,10 +470,11 @@ def large_links(large: DataFrame, percent: int, block: int, block_shingles: int,
     return links.union(rows.groupBy("job").applyInPandas(_compare(percent), "a long, b long"))
 
 
-def verified_links(sets: DataFrame, families: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def verified_links(sets: DataFrame, families: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, over: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(a, b): links between similar sets that connect all that similar sets connect.
 
-    Small families are compared whole, many to a job; large ones as large_links() says.
+    Small families are compared whole, many to a job; large ones as large_links() says. The
+    staged tables ``over`` are deleted once the sets of families have been taken out of ``sets``.
     """
     ship(sets.sparkSession)
     members = families.select(F.col("id").alias("set_id"), F.col("component").alias("family"))
@@ -441,6 +486,8 @@ def verified_links(sets: DataFrame, families: DataFrame, percent: int = PERCENT,
     # classes span four steps of what similar sizes may differ by; only their last and first steps meet others
     step = F.floor(F.log("n_shingles") / float(np.log(100 / percent))).cast("int")
     rows = staged(rows.select("family", "large", "set_id", F.col("n_shingles").alias("n"), step.alias("step"), "shingles"), "family-sets")
+    discard(*over)
+    forget_shuffles(sets.sparkSession)
     small = rows.filter("NOT large").select(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("job"), "family", "set_id", F.col("set_id").alias("label"), "shingles")
     links = small.groupBy("job").applyInPandas(_compare(percent), "a long, b long")
     if not sizes.filter("large").isEmpty():
@@ -472,15 +519,8 @@ def _classes(docs: DataFrame, percent: int, shingle: int, block: int, block_shin
     all_rows = set_ids(docs, shingle)
     rows = staged(all_rows.drop("check", "shingles"), "set-rows")
     sets = all_rows.filter(F.col("shingles").isNotNull()).select("set_id", "n_shingles", "shingles")
-    total = sets.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).first()
-    parts = max(1, int((total["s"] or 0) * 0.6 / PART_SIGNATURES) + 1)
-    hot = common_shingles(sets, total["n"])
-    forget_shuffles(docs.sparkSession)  # the sample's, before all signatures are shuffled
-    found = staged(candidate_links(sets, hot, parts, percent), "candidates")
-    families = staged(components(found), "families")
-    discard(found)
-    links = verified_links(sets, families, percent, block, block_shingles)
-    discard(all_rows)
+    families = families_apart(sets, candidate_families(sets, percent), percent, block)
+    links = verified_links(sets, families, percent, block, block_shingles, (all_rows,))
     classes = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     per_set = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))

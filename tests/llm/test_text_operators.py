@@ -204,3 +204,29 @@ def test_empty_tables(none):
     assert fim.fill_in_middle(none).count() == 0
     assert marked_words.encode_documents(none).count() == 0
     assert spelling.spelling_variants(none).count() == 0
+
+
+def test_near_duplicate_candidates_in_turns_and_families_apart(spark, monkeypatch):
+    """Signatures shuffled in turns lose no link; sets that only share a phrase rare in the table are no family, near copies stay one."""
+    from sqlassay.llm import jaccard
+
+    def text(k):
+        own = " ".join(f"w{k}x{i}" for i in range(40))
+        return own if k >= 300 else f"{own} alpha beta gamma delta epsilon zeta eta theta iota kappa"
+
+    near = [(1000 + c, text(500) + f" end{c}") for c in range(3)]
+    docs = spark.createDataFrame([(k, text(k)) for k in range(400)] + near, "doc_id long, text string")
+    sets = jaccard.set_ids(docs).filter("shingles IS NOT NULL").select("set_id", "n_shingles", "shingles")
+    largest = lambda f: f.groupBy("component").count().agg({"count": "max"}).first()[0]
+    common = jaccard.common_shingles
+    monkeypatch.setattr(jaccard, "common_shingles", lambda s, n: common(s, n)[:0])  # as in a table where the phrase is rare
+    whole = jaccard.candidate_families(sets)
+    monkeypatch.setattr(jaccard, "PART_SIGNATURES", 500)
+    monkeypatch.setattr(jaccard, "TURN_PARTS", 2)
+    in_turns = jaccard.candidate_families(sets)
+    assert {tuple(r) for r in in_turns.collect()} == {tuple(r) for r in whole.collect()} and largest(whole) > 100
+    monkeypatch.setattr(jaccard, "common_shingles", common)
+    apart = jaccard.families_apart(sets, whole, block=16)
+    assert largest(apart) <= 16
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, block=16).collect()}
+    assert got == {**{k: k for k in range(400)}, **{k: 1000 for k, _ in near}}
