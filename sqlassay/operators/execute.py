@@ -29,10 +29,10 @@ _QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`")
 
 
 class Clock:
-    """Stops statements that have run too long: each is a job group, and its time passes while its tasks run or the driver works on it.
+    """Stops statements that have run too long: each is a job group, and its time passes while its tasks run.
 
-    While all its tasks wait for a core, time stands still: a statement that holds the cores
-    takes none of the others' time.
+    While the driver plans, or all its tasks wait for a core, time stands still: neither a busy
+    driver nor a statement that holds the cores takes any of the others' time.
     """
 
     def __init__(self, spark: SparkSession, seconds: float):
@@ -50,25 +50,24 @@ class Clock:
         self.over.set()
         self.thread.join()
 
-    def _waits(self, group: str) -> bool:
-        """Whether the group has stages under way and none of them a running task."""
+    def _runs(self, group: str) -> bool:
+        """Whether a task of the group is running."""
         tracker = self.context.statusTracker()
         active = set(tracker.getActiveJobsIds())
         jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group) if j in active]
         stages = [tracker.getStageInfo(s) for job in jobs if job for s in job.stageIds]
-        stages = [s for s in stages if s and s.numCompletedTasks < s.numTasks]
-        return bool(stages) and not any(s.numActiveTasks for s in stages)
+        return any(s.numActiveTasks for s in stages if s)
 
     def _watch(self) -> None:
         last = time.monotonic()
         while not self.over.wait(LOOK):
             now = time.monotonic()
             for group in list(self.used):
-                waits = group not in self.expired and self._waits(group)
+                runs = group in self.expired or self._runs(group)
                 with self.lock:
                     if group not in self.used:
                         continue
-                    self.used[group] += 0.0 if waits else now - last
+                    self.used[group] += now - last if runs else 0.0
                     late = self.used[group] > self.seconds
                 if late:
                     # jobs that a statement starts later are stopped as well
@@ -117,7 +116,8 @@ def run_statements(spark: SparkSession, statements: Iterable[tuple], prepare: Ca
     written by the tasks that make them, in one table under the shared folder, and never pass
     through the driver. row_id grows along a sorted result. A statement that is given again is
     run once. ``prepare`` may rewrite a statement, or raise, which is then its outcome. Only
-    queries run.
+    queries run. One whose time is up beside others has it once more, alone, after the others:
+    what it shares its cores with is no outcome of its own.
     """
     base = folder(spark, "statements")
     number: dict[str, int] = {}
@@ -131,8 +131,8 @@ def run_statements(spark: SparkSession, statements: Iterable[tuple], prepare: Ca
 
     with Clock(spark, seconds) as clock, ThreadPoolExecutor(workers) as pool:
 
-        def one(n: int, sql: str) -> tuple:
-            return n, *clock.run(lambda: _write(spark, prepare(sql) if prepare else sql, f"{base}/rows/n={n}"))
+        def one(n: int, sql: str, again: str = "") -> tuple:
+            return n, *clock.run(lambda: _write(spark, prepare(sql) if prepare else sql, f"{base}/rows{again}/n={n}"))
 
         under_way: set[Future] = set()
         for query_id, side, sql in statements:
@@ -144,11 +144,17 @@ def run_statements(spark: SparkSession, statements: Iterable[tuple], prepare: Ca
                 under_way.add(pool.submit(one, number[sql], sql))
             asked.append((query_id, side, number[sql]))
         finish(under_way)
+        alone = {n for n, (status, _) in outcome.items() if status == TIMEOUT and workers > 1}
+        for sql, n in number.items():
+            if n in alone:
+                finish([pool.submit(one, n, sql, "-again")])
     kind = "string" if asked and isinstance(asked[0][0], str) else "long"
     outcomes = spark.createDataFrame([(q, s, n, *outcome[n]) for q, s, n in asked], f"query_id {kind}, side int, n long, status string, error string")
     good = outcomes.filter(F.col("status") == RESULT).select("query_id", "side", "n")
-    any_rows = any(status == RESULT for status, _ in outcome.values())
-    rows = spark.read.schema(ROWS).option("basePath", f"{base}/rows").parquet(f"{base}/rows") if any_rows else spark.createDataFrame([], ROWS)
+    rows = spark.createDataFrame([], ROWS)
+    for at, some in ((f"{base}/rows", set(outcome) - alone), (f"{base}/rows-again", alone)):
+        if any(outcome[n][0] == RESULT for n in some):
+            rows = rows.unionByName(spark.read.schema(ROWS).option("basePath", at).parquet(at))
     return rows.join(good, "n").select("query_id", "side", "row_id", "cells"), outcomes.drop("n")
 
 

@@ -109,3 +109,24 @@ def test_column_orders_that_colours_cannot_tell(spark):
     twelve = [tuple([str(i)] * 12) for i in range(5)]
     cases = [(six, moved, False), (six, threes, False), (threes, edges([0, 2, 4], [1, 3, 5], width=6), False), (unit, unit[::-1], False), (twelve, twelve[::-1], False), (twelve, twelve, True), (twelve, twelve[::-1], True)]
     assert verdicts(spark, cases) == [True, False, True, True, True, True, False]
+
+
+def test_a_statement_late_beside_others_has_its_time_alone(spark, monkeypatch):
+    """A busy driver takes nothing of a statement's time, and one that was late among others is run again alone."""
+    import time
+
+    def slow(sql):
+        time.sleep(3.5)  # longer than the limit, without a task
+        return sql
+
+    rows, outcomes = execute.run_statements(spark, [("a", 1, "SELECT 1 AS x"), ("b", 1, "SELECT 2 AS x")], slow, seconds=2)
+    assert {r["status"] for r in outcomes.collect()} == {"result"} and rows.count() == 2
+    first, own = [], execute.Clock.run
+
+    def late(clock, work):
+        first.append(1)
+        return (execute.TIMEOUT, "late") if len(first) == 1 else own(clock, work)
+
+    monkeypatch.setattr(execute.Clock, "run", late)
+    rows, outcomes = execute.run_statements(spark, [("a", 1, "SELECT 1 AS x"), ("b", 1, "SELECT 2 AS x")])
+    assert {r["status"] for r in outcomes.collect()} == {"result"} and sorted(r["cells"] for r in rows.collect()) == [["n:1"], ["n:2"]]
