@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cell
+from ..functions.arrays import cell, once
 from ..staging import staged
 
 
@@ -95,6 +95,45 @@ def placed(rows: DataFrame) -> DataFrame:
     return out.withColumn("row_id", F.col("before") + inside).select(*rows.columns)
 
 
+#: Cells of a result that is compared whole, in a row.
+SMALL = 4096
+#: Between the cells of a row that travels as one string; what looks like it in a cell is told apart.
+_END, _NULL = "\x00\x01", "\x00\x03"
+
+
+def _packed(cells: Column) -> Column:
+    """Cells as one string, others for other cells."""
+    return F.array_join(F.transform(cells, lambda c: F.coalesce(F.replace(c, F.lit("\x00"), F.lit("\x00\x02")), F.lit(_NULL))), _END)
+
+
+def _small_verdicts(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id and equal, null where it stays open: of small results, by their columns in order of what they hold.
+
+    Each query's rows meet once, as strings. Ordered results are equal if their columns, put in
+    order, are. Others are put in order by their columns' sorted values; where columns that
+    agree in those are the same row by row, or there is one of each, the rows decide.
+    """
+    each = rows.select("query_id", "side", F.when(F.col("ordered"), F.col("row_id")).alias("place"), _packed(F.col("cells")).alias("row"))
+    met = each.groupBy("query_id").agg(F.collect_list(F.struct("side", "place", "row")).alias("rows"))
+    def split(side: int) -> Column:
+        own = F.array_sort(F.filter("rows", lambda r: r["side"] == side))
+        table = F.transform(own, lambda r: F.split(r["row"], _END))
+        return once(table, lambda t: F.transform(F.sequence(F.lit(0), F.size(F.get(t, F.lit(0))) - 1), lambda k: F.transform(t, lambda r: F.get(r, k))))
+    columns = met.join(queries.select("query_id", "ordered"), "query_id").select("query_id", "ordered", split(-1).alias("gold"), split(1).alias("pred"))
+    def rows_of(cols: Column) -> Column:
+        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(F.get(cols, F.lit(0))) - 1), lambda i: F.transform(cols, lambda c: F.get(c, i))))
+    def shaded(cols: str) -> Column:
+        return F.array_sort(F.transform(cols, lambda c: F.struct(F.array_sort(c).alias("shade"), c.alias("cells"))))
+    def decided(g: Column, p: Column) -> Column:
+        shades = lambda x: F.transform(x, lambda c: c["shade"])
+        cells = lambda x: F.transform(x, lambda c: c["cells"])
+        unlike = F.coalesce(F.exists(F.sequence(F.lit(1), F.size(g)), lambda k: (F.get(g, k)["shade"] == F.get(g, k - 1)["shade"]) & (F.get(g, k)["cells"] != F.get(g, k - 1)["cells"])), F.lit(False))  # beyond the last column there is none
+        return F.when(shades(g) != shades(p), False).when(~unlike, rows_of(cells(g)) == rows_of(cells(p)))
+    free = once(F.struct(shaded("gold").alias("g"), shaded("pred").alias("p")), lambda x: decided(x["g"], x["p"]))
+    same = F.array_sort("gold") == F.array_sort("pred")
+    return columns.select("query_id", F.when(F.col("ordered"), same).otherwise(free).alias("equal"))
+
+
 def results_equal(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, equal) for each row of queries (query_id, ordered).
 
@@ -106,7 +145,31 @@ def results_equal(queries: DataFrame, rows: DataFrame) -> DataFrame:
     like colours can belong together. Where unlike columns keep the same colour, one of them is
     matched with each candidate in turn, deepest first, and colours are refined again. What
     is matched at the end is compared value by value.
+
+    Small results, of SMALL cells at most on a side, are compared whole, in one shuffle; what
+    that leaves open, and large ones, go the way above.
     """
+    ordered = queries.select("query_id", F.coalesce("ordered", F.lit(False)).alias("ordered")).distinct()
+    counts = [F.count_if(F.col("side") == s).alias(n) for n, s in (("gold", -1), ("pred", 1))]
+    spans = [f(F.when(F.col("side") == s, F.size("cells"))).alias(n) for n, f, s in (("least", F.min, -1), ("most", F.max, -1), ("p_least", F.min, 1), ("p_most", F.max, 1))]
+    sizes = staged(rows.groupBy("query_id").agg(*counts, *spans).filter("gold > 0 OR pred > 0"), "result-sizes")
+    # rows of one width, as many on both sides, and few cells
+    like = F.coalesce(F.expr("gold = pred AND least > 0 AND least = most AND least = p_least AND least = p_most"), F.lit(False))
+    small = sizes.filter(like & (F.col("gold") * F.col("most") <= SMALL)).select("query_id").join(ordered, "query_id")
+    first = staged(_small_verdicts(small, rows.hint("merge").join(small, "query_id")), "small-verdicts")
+    left = sizes.select("query_id").join(first.filter("equal IS NOT NULL"), "query_id", "left_anti")
+    left = staged(left.join(sizes.filter("gold = pred").select("query_id"), "query_id", "left_semi"), "open-results")
+    fits = first.filter("equal").select("query_id")
+    if not left.isEmpty():
+        later = _by_colours(left.join(ordered, "query_id"), rows.join(left, "query_id", "left_semi"))
+        fits = fits.unionByName(later.filter("equal").select("query_id"))
+    out = queries.select("query_id").join(fits.distinct().withColumn("__fits", F.lit(True)), "query_id", "left")
+    out = out.join(sizes.select("query_id", F.lit(True).alias("__rows")), "query_id", "left")
+    return out.select("query_id", F.coalesce("__fits", F.col("__rows").isNull()).alias("equal"))
+
+
+def _by_colours(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """results_equal() by colours of columns, whatever the size of results."""
     s = shapes(rows)
     same = s.filter("pred_rows = gold_rows AND pred_cols = gold_cols AND bags_agree").select("query_id")
     ordered = queries.select("query_id", F.coalesce("ordered", F.lit(False)).alias("ordered"))
