@@ -35,6 +35,20 @@ def test_statements_that_wait_keep_their_time(spark):
     assert {r["query_id"]: r["status"] for r in outcomes.collect()} == {"endless": "timeout"} | {f"q{k}": "result" for k in range(12)}
 
 
+def test_rows_of_a_statement_stay_dealt_out(spark):
+    # no task gets all rows of a statement, however few statements there are
+    spark.range(0, 80_000, 1, 4).createOrReplaceTempView("dealt")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = execute.run_statements(spark, [(0, 1, "SELECT id FROM dealt"), (1, 1, "SELECT id FROM dealt"), (2, 1, "SELECT x FROM dealt")])
+        per = rows.groupBy("query_id", F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert Counter(r["query_id"] for r in per for _ in range(r["count"])) == {0: 80_000, 1: 80_000}
+    assert max(r["count"] for r in per) <= 40_000
+
+
 def test_a_failing_pair_costs_no_other(spark):
     spark.createDataFrame([(k, k % 7) for k in range(200)], "k int, v int").createOrReplaceTempView("o")
     pairs = [(0, "SELECT k FROM o", "SELECT DISTINCT k FROM o"), (1, "SELECT k FROM o", "SELECT k / (v - 3) FROM o"), (2, "SELECT 'a distinct b'", "SELECT 'a  b'"), (3, "SELECT nothing FROM o", "SELECT k / (v - 3) FROM o"), (4, "SELECT v FROM o", "SELECT v FROM o WHERE k > = 0")]
