@@ -123,9 +123,9 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release(words=False)
         enc = encoder(path)
         for batch in batches:
+            release(words=False)  # what the last batch took
             for a, b, texts in text_blocks(batch):
                 flat, counts = enc.encode(texts)
                 ends = np.cumsum(counts)
@@ -140,6 +140,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
                 crc = [zlib.crc32(flat[x : x + n]) for x, n in zip(at.tolist(), length.tolist())]
                 ids = batch.column("doc_id").take(pa.array(a + who))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names)
+        release(words=False)
 
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]

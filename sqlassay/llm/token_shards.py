@@ -75,7 +75,6 @@ def token_stream(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -
     names = ["task", "at", "n", "ids", "doc_ids", "doc_at", "doc_lengths"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release(words=False)
         enc, press = encoder(path), zstandard.ZstdCompressor(level=3)
         unit = "<u2" if enc.vocab_size <= 65536 else "<u4"
         task, done, held = TaskContext.get().partitionId(), 0, 0
@@ -88,6 +87,7 @@ def token_stream(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([done], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary()), *docs], names)
 
         for batch in batches:
+            release(words=False)  # what the last batch took
             for a, b, texts in text_blocks(batch):
                 flat, counts = enc.encode(texts)
                 ends = np.cumsum(counts)

@@ -10,8 +10,8 @@ import numpy as np
 
 from .words import hash_lanes, word_lanes, word_spans
 
-#: Words kept from one batch to the next, at about 30 bytes each; beyond that all are forgotten.
-CACHE_WORDS = 3_000_000
+#: Words kept from one batch to the next, at about 45 bytes each; beyond that all are forgotten.
+CACHE_WORDS = 1_500_000
 #: Bytes of text taken at once.
 BLOCK_BYTES = 1_000_000
 #: White space between words, for cutting a very long text.
@@ -90,10 +90,8 @@ class WordEncoder:
             order += odd
             parts.append(self._one_by_one([words[i] for i in odd]))
         flat, counts = (np.concatenate(x) for x in zip(*parts))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.used_lanes + len(lanes) > len(self.lanes):
-            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
+        self.ids = _with_room(self.ids, self.used, len(flat))
+        self.lanes = _with_room(self.lanes, self.used_lanes, len(lanes))
         self.ids[self.used : self.used + len(flat)] = flat
         self.lanes[self.used_lanes : self.used_lanes + len(lanes)] = lanes
         many = (size + 7) >> 3
@@ -152,6 +150,15 @@ class WordEncoder:
         return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
 
 
+def _with_room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``x``, or a larger array that begins with its ``used`` values; pages of it that nothing was written to take no memory."""
+    if used + more <= len(x):
+        return x
+    larger = np.zeros(max(2 * len(x), used + more), x.dtype)
+    larger[:used] = x[:used]
+    return larger
+
+
 def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each, ``many`` of them."""
     return np.repeat(start - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
@@ -172,9 +179,15 @@ def encoder(path: str) -> WordEncoder:
 
 
 def release(words: bool = True) -> None:
-    """Give memory of earlier work back to the system: Python workers outlive stages, and so would their caches."""
+    """Give memory of earlier work back to the system: Python workers outlive stages, and so would their caches.
+
+    What Arrow and the C library keep of freed batches goes back as well; encoders stay, if not ``words``.
+    """
+    import pyarrow as pa
+
     if words:
         _encoders.clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -107,3 +107,27 @@ def test_cached_words_are_narrow():
     flat, counts = enc.encode(texts)
     want, many = enc._whole(texts)
     assert flat.tolist() == want.tolist() and counts.tolist() == many.tolist()
+
+
+def test_encoding_gives_memory_back_between_batches(monkeypatch):
+    # a task keeps of earlier batches what it remembers of words, within a bound, and no freed memory
+    import pyarrow as pa
+
+    freed, texts = [], [" ".join(f"w{chr(97 + n // 26)}{chr(97 + n % 26)}{'x' * k}" for n in range(300)) for k in range(1, 9)]
+    monkeypatch.setattr(packing, "release", lambda words=True: freed.append(words))
+    task = []
+
+    class Docs:
+        sparkSession, dtypes = None, [("doc_id", "bigint")]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: task.append(f)
+
+    monkeypatch.setattr(packing, "ship", lambda _: None)
+    packing.cut(Docs())
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    rows = [r for b in task[0](iter(batches)) for r in b.to_pylist()]
+    assert len(rows) == 8 and freed == [False] * 9
+    # arrays that grow leave the pages that nothing was written to alone, and keep what they hold
+    grown = tokens._with_room(np.arange(1, 9), 5, 9)
+    assert len(grown) == 16 and grown.tolist() == [1, 2, 3, 4, 5] + [0] * 11 and grown.base is None
+    assert tokens._with_room(grown, 5, 11) is grown and tokens.CACHE_WORDS * 45 < 100_000_000
