@@ -50,8 +50,9 @@ def _by_column(value: str, side: int) -> Column:
 
 def _colours(rows: DataFrame) -> DataFrame:
     """Per query the columns of both sides by their values: equal colours (gold, pred) where the values are, equal marks (gold_id, pred_id) where they are row by row."""
-    cells = rows.select("query_id", "side", "place", "row_id", F.posexplode("cells").alias("col", "v"))
-    each = cells.groupBy("query_id", "side", "col").agg(_sum_of("place", "v").alias("colour"), _sum_of("row_id", "v").alias("mark"))
+    # rows that share a row_id are told apart by what they hold
+    cells = rows.select("query_id", "side", "place", "row_id", F.xxhash64(_packed(F.col("cells"))).alias("row"), F.posexplode("cells").alias("col", "v"))
+    each = cells.groupBy("query_id", "side", "col").agg(_sum_of("place", "v").alias("colour"), _sum_of("row_id", "row", "v").alias("mark"))
     lists = [_by_column(v, s).alias(n) for v, s, n in (("colour", -1, "gold"), ("colour", 1, "pred"), ("mark", -1, "gold_id"), ("mark", 1, "pred_id"))]
     return each.groupBy("query_id").agg(*lists)
 
@@ -59,8 +60,8 @@ def _colours(rows: DataFrame) -> DataFrame:
 def _refined(rows: DataFrame, states: DataFrame) -> DataFrame:
     """The states with each column's colour told apart further, by the rows that its values stand in."""
     own = F.when(F.col("side") == -1, F.col("gold")).otherwise(F.col("pred"))
-    seen = rows.join(states.select("query_id", "gold", "pred"), "query_id").select("query_id", "side", "cells", own.alias("colours"))
-    row = F.xxhash64(F.array_sort(F.zip_with("cells", "colours", lambda v, c: F.xxhash64(v, c))))
+    seen = rows.join(states.select("query_id", "gold", "pred"), "query_id").select("query_id", "side", "place", "cells", own.alias("colours"))
+    row = F.xxhash64("place", F.array_sort(F.zip_with("cells", "colours", lambda v, c: F.xxhash64(v, c))))
     each = seen.select("query_id", "side", row.alias("row"), F.posexplode(F.arrays_zip("cells", "colours")).alias("col", "x"))
     each = each.groupBy("query_id", "side", "col", F.col("x.colours").alias("colour")).agg(_sum_of("row", "x.cells").alias("more"))
     each = each.withColumn("colour", F.xxhash64("colour", "more"))
@@ -111,15 +112,22 @@ def _small_verdicts(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
     Each query's rows meet once, as strings. Ordered results are equal if their columns, put in
     order, are. Others are put in order by their columns' sorted values; where columns that
-    agree in those are the same row by row, or there is one of each, the rows decide.
+    agree in those are the same row by row, or there is one of each, the rows decide. Ordered
+    results with rows that share a place go as these, the place being part of every cell.
     """
     each = rows.select("query_id", "side", F.when(F.col("ordered"), F.col("row_id")).alias("place"), _packed(F.col("cells")).alias("row"))
     met = each.groupBy("query_id").agg(F.collect_list(F.struct("side", "place", "row")).alias("rows"))
+    tied = F.col("ordered") & (F.size(F.array_distinct(F.transform("rows", lambda r: F.struct(r["side"], r["place"])))) < F.size("rows"))
     def split(side: int) -> Column:
         own = F.array_sort(F.filter("rows", lambda r: r["side"] == side))
-        table = F.transform(own, lambda r: F.split(r["row"], _END))
+        def row(r: Column) -> Column:
+            here = F.coalesce(r["place"].cast("string"), F.lit(""))
+            return F.when(F.col("tied"), F.transform(F.split(r["row"], _END), lambda v: F.concat(here, F.lit(_END), v))).otherwise(F.split(r["row"], _END))
+        table = F.transform(own, row)
         return once(table, lambda t: F.transform(F.sequence(F.lit(0), F.size(F.get(t, F.lit(0))) - 1), lambda k: F.transform(t, lambda r: F.get(r, k))))
-    columns = met.join(queries.select("query_id", "ordered"), "query_id").select("query_id", "ordered", split(-1).alias("gold"), split(1).alias("pred"))
+    met = met.join(queries.select("query_id", "ordered"), "query_id").withColumn("tied", tied)
+    places = lambda side: F.array_sort(F.transform(F.filter("rows", lambda r: r["side"] == side), lambda r: r["place"]))
+    columns = met.select("query_id", "ordered", "tied", (places(-1) == places(1)).alias("like"), split(-1).alias("gold"), split(1).alias("pred"))
     def rows_of(cols: Column) -> Column:
         return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(F.get(cols, F.lit(0))) - 1), lambda i: F.transform(cols, lambda c: F.get(c, i))))
     def shaded(cols: str) -> Column:
@@ -130,15 +138,16 @@ def _small_verdicts(queries: DataFrame, rows: DataFrame) -> DataFrame:
         unlike = F.coalesce(F.exists(F.sequence(F.lit(1), F.size(g)), lambda k: (F.get(g, k)["shade"] == F.get(g, k - 1)["shade"]) & (F.get(g, k)["cells"] != F.get(g, k - 1)["cells"])), F.lit(False))  # beyond the last column there is none
         return F.when(shades(g) != shades(p), False).when(~unlike, rows_of(cells(g)) == rows_of(cells(p)))
     free = once(F.struct(shaded("gold").alias("g"), shaded("pred").alias("p")), lambda x: decided(x["g"], x["p"]))
-    same = F.array_sort("gold") == F.array_sort("pred")
-    return columns.select("query_id", F.when(F.col("ordered"), same).otherwise(free).alias("equal"))
+    same = F.col("like") & (F.array_sort("gold") == F.array_sort("pred"))
+    return columns.select("query_id", F.when(F.col("ordered") & ~F.col("tied"), same).otherwise(free).alias("equal"))
 
 
 def results_equal(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, equal) for each row of queries (query_id, ordered).
 
     Equal are: both empty; or as many rows and columns, and some order of the prediction's
-    columns under which the rows agree, as a multiset or, if ordered, one by one by row_id.
+    columns under which the rows agree, as a multiset or, if ordered, one by one by row_id; of
+    rows that share a row_id, each with any.
 
     No order of columns is tried that the data exclude. Columns get a colour from their values,
     with their places if ordered, and then, round by round, from the rows these stand in; only
@@ -174,15 +183,12 @@ def _by_colours(queries: DataFrame, rows: DataFrame) -> DataFrame:
     same = s.filter("pred_rows = gold_rows AND pred_cols = gold_cols AND bags_agree").select("query_id")
     ordered = queries.select("query_id", F.coalesce("ordered", F.lit(False)).alias("ordered"))
     rows = rows.join(same, "query_id").join(ordered, "query_id")
-    rows = staged(rows.select("query_id", "side", "row_id", F.when(F.col("ordered"), F.col("row_id")).alias("place"), "ordered", "cells"), "results")
+    rows = staged(rows.select("query_id", "side", "row_id", F.when(F.col("ordered"), F.col("row_id")).alias("place"), "cells"), "results")
     alike = F.array_sort("gold") == F.array_sort("pred")
     states = staged(_colours(rows).withColumns({"depth": F.lit(0), "turn": F.lit(0)}).filter(alike), "colours")
-    by_place = rows.filter("ordered").select("query_id").distinct()
-    # where order counts, like columns agree place by place: nothing is left to refine
-    found = _same_rows(rows, states.join(by_place, "query_id", "left_semi"))
-    rows = rows.filter("NOT ordered")
-    states = states.join(by_place, "query_id", "left_anti")
-    fits = [staged(found, "equal")]
+    # where order counts and places are no row's alone, like columns agree place by place and nothing is left to refine
+    fits = [staged(_same_rows(rows, states.filter(_open_column().isNull())), "equal")]
+    states = states.filter(_open_column().isNotNull())
     while not states.isEmpty():
         top = Window.partitionBy("query_id").orderBy(F.desc("depth"), "turn")
         ranked = states.withColumn("rank", F.row_number().over(top))

@@ -125,6 +125,29 @@ def test_column_orders_that_colours_cannot_tell(spark):
     assert verdicts(spark, cases) == [True, False, True, True, True, True, False]
 
 
+@pytest.mark.parametrize("small", [results.SMALL, 0])
+def test_column_orders_of_ordered_rows_that_share_a_place(spark, monkeypatch, small):
+    """Rows of one place count as a multiset, compared whole or by colours."""
+    monkeypatch.setattr(results, "SMALL", small)
+    rng, cases = random.Random(5), []
+    for _ in range(120):
+        width, height = rng.randrange(1, 5), rng.randrange(1, 7)
+        gold = [(rng.randrange(3), tuple(rng.choice("abc") for _ in range(width))) for _ in range(height)]
+        order = rng.sample(range(width), width)
+        pred = [(p, tuple(r[k] for k in order)) for p, r in rng.sample(gold, height)]
+        if rng.random() < 0.5:
+            k = rng.randrange(height)
+            pred[k] = (rng.randrange(3), pred[k][1]) if rng.random() < 0.5 else (pred[k][0], tuple(rng.choice("abc") for _ in range(width)))
+        cases.append((gold, pred, rng.random() < 0.8))
+    rows = [(n, side, p, list(r)) for n, (gold, pred, _) in enumerate(cases) for side, some in ((-1, gold), (1, pred)) for p, r in some]
+    queries = spark.createDataFrame([(n, o) for n, (_, _, o) in enumerate(cases)], "query_id long, ordered boolean")
+    got = results.results_equal(queries, spark.createDataFrame(rows, "query_id long, side int, row_id long, cells array<string>"))
+    def equal(gold, pred, ordered):
+        kept = [Counter((p if ordered else 0, tuple(r[k] for k in order)) for p, r in pred) for order in permutations(range(len(gold[0][1])))]
+        return Counter((p if ordered else 0, r) for p, r in gold) in kept
+    assert [r["equal"] for r in got.orderBy("query_id").collect()] == [equal(*c) for c in cases]
+
+
 def test_a_statement_late_beside_others_has_its_time_alone(spark, monkeypatch):
     """A busy driver takes nothing of a statement's time, and one that was late among others is run again alone."""
     import time
