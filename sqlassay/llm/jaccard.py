@@ -13,9 +13,13 @@ more empty bands than the spare ones adds them all. Very common shingles, found
 are left out of bands as well: what is left differs no more than the whole. A set of which
 that leaves too little adds its full bands under another name. No similar pair is lost.
 
+Few sets that share a sketch are compared in pairs by one-bit parity sketches of all their
+shingles, whose Hamming distance never exceeds the number of differing shingles: pairs that
+these tell apart do not meet. Else, the larger the table, the more sets would meet by chance,
+until most were one family.
+
 Verification. Sets that meet, directly or through others, form a family. A small family is
-compared whole: first by size, then by one-bit parity sketches, whose Hamming distance never
-exceeds the number of differing shingles, and at last shingle by shingle. In a large one,
+compared whole: first by size, then by one-bit parity sketches, and at last shingle by shingle. In a large one,
 blocks dealt at random are compared first, in a few rounds, which connects near copies at a
 cost that grows with their number; only what is not in the family's largest part after that is
 compared with all blocks. Pairs already connected are skipped, and a block hands on a spanning
@@ -53,6 +57,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Common shingles: at most this many, found at least so often among a sample of about so many sets, or of every so many-th set where
 #: that is more: what stays uncommon is then in so many sets at most, however large the table.
 HOT_SHINGLES, HOT_TIMES, SAMPLE_SETS, SAMPLE_OF = 1_000_000, 8, 16_000, 20
+#: Sets that share a signature and are compared in pairs; more than that are linked unseen.
+FEW = 64
 #: Signatures sorted by one task.
 PART_SIGNATURES = 1_000_000
 #: Signatures are shuffled in turns: one more for each so many parts, at most so many, so that only a share of them is on disk at a time.
@@ -144,16 +150,42 @@ def signatures(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT)
     return (np.concatenate(sigs), np.concatenate(who)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts (signature, id) pairs; the links of each id to the first of its signature, and which pairs come first."""
+def _groups(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, id) pairs, each once, by signature and id; the place where each one's signature begins, and how many ids that has."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    head = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-    other = head != ids
-    pairs = np.unique(np.stack([head[other], ids[other]], 1), axis=0)
-    return pairs, sig[new], ids[new]
+    new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+    sig, ids = sig[new], ids[new]
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    many = np.diff(np.append(begin, len(sig)))
+    return sig, ids, np.repeat(begin, many), np.repeat(many, many)
+
+
+def _stars(sig: np.ndarray, ids: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of signatures with over ``few`` ids, of each to the first, and the (signature, id) pairs that are still needed: few + 1 of such a signature, all of others."""
+    sig, ids, begin, many = _groups(sig, ids)
+    place = np.arange(len(sig)) - begin
+    other = (many > few) & (place > 0)
+    needed = (many <= few) | (place <= few)
+    return np.unique(np.stack([ids[begin][other], ids[other]], 1), axis=0), sig[needed], ids[needed]
+
+
+def _meetings(sig: np.ndarray, ids: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that share a signature with at most ``few``, each once; and links that connect those that share one with more."""
+    sig, ids, begin, many = _groups(sig, ids)
+    names, which = np.unique(ids, return_inverse=True)
+    place = np.arange(len(sig)) - begin
+    at, ahead, found, waiting = np.flatnonzero(many <= few), 0, np.zeros(0, np.int64), []
+    while len(at):
+        ahead += 1
+        at = at[place[at] + ahead < many[at]]
+        waiting.append(which[at] * len(names) + which[at + ahead])
+        if not len(at) or sum(map(len, waiting)) > 1_000_000:  # near copies meet under many signatures
+            found, waiting = np.unique(np.concatenate([found, *waiting])), []
+    other = (many > few) & (place > 0)
+    links = np.unique(np.stack([ids[begin][other], ids[other]], 1), axis=0)
+    return np.stack([names[found // max(1, len(names))], names[found % max(1, len(names))]], 1), links
 
 
 #: Bytes of a signature that travel, beside the part it is sent to. Fewer only make some more sets meet, of which the comparison
@@ -281,8 +313,54 @@ def common_shingles(sets: DataFrame, n_sets: int) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int = PERCENT, turn: int = 0, turns: int = 1) -> DataFrame:
-    """(a, b): links that connect all sets with a common signature, of those of the parts whose turn it is."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """One-bit parity sketch of one to two bits a shingle, a power of two of them and 64 at least; folded to half its length, it is the shorter one."""
+    wide = 64 << max(0, (len(shingles) - 1).bit_length() - 6)
+    at = ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(wide - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=wide) & 1).astype(np.uint8)).tobytes()
+
+
+def _may_link(percent: int):
+    """Of rows (m, x, n, y), sizes and sketches of two sets: false only where these show that the two are not similar."""
+
+    @F.pandas_udf("boolean")
+    def may(m: pd.Series, x: pd.Series, n: pd.Series, y: pd.Series) -> pd.Series:
+        a, b = m.to_numpy(np.int64), n.to_numpy(np.int64)
+        out = np.maximum(a, b) * percent <= np.minimum(a, b) * 100
+        wide, other = x.str.len().to_numpy(np.int64), y.str.len().to_numpy(np.int64)
+        for w, o in np.unique(np.stack([wide[out], other[out]], 1), axis=0).tolist():
+            at = np.flatnonzero(out & (wide == w) & (other == o))
+            short = min(w, o)
+            fold = lambda rows, of: np.bitwise_xor.reduce(np.frombuffer(b"".join(rows.iloc[at]), np.uint8).reshape(len(at), of // short, short), axis=1)
+            apart = np.bitwise_count(fold(x, w) ^ fold(y, o)).sum(1, dtype=np.int64)
+            out[at] = apart * (100 + percent) <= (100 - percent) * (a[at] + b[at])
+        return pd.Series(out)
+
+    return may
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """On disk, (id, n, sketch) of each set."""
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        for f in frames:
+            yield pd.DataFrame({"id": f["set_id"], "n": f["n_shingles"], "sketch": [sketch(_unpack(x)) for x in f["shingles"]]})
+
+    ship(sets.sparkSession)
+    drawn = sets.select("set_id", "n_shingles", "shingles").mapInPandas(draw, "id long, n long, sketch binary")
+    return staged(drawn.dropDuplicates(["id"]), "sketches")
+
+
+def possible_links(met: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of ``met`` (a, b, sure), without pairs that are not sure and that sketches tell apart."""
+    pairs = met.filter("NOT sure").select("a", "b").distinct()
+    pairs = pairs.join(drawn.toDF("a", "m", "x"), "a").join(drawn.toDF("b", "n", "y"), "b")
+    return met.filter("sure").select("a", "b").union(pairs.filter(_may_link(percent)("m", "x", "n", "y")).select("a", "b"))
+
+
+def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int = PERCENT, turn: int = 0, turns: int = 1, few: int = FEW) -> DataFrame:
+    """(a, b, sure): of the parts whose turn it is, all pairs of sets with a signature that at most ``few`` share; and, sure, links that connect those with others."""
     ship(sets.sparkSession)
     shared = sets.sparkSession.sparkContext.broadcast(hot)
 
@@ -292,7 +370,7 @@ def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int =
             lists, names = f["shingles"].tolist(), f["set_id"].to_numpy(np.int64)
             for a, b in blocks(lists, 500_000 * KEPT):
                 sig, who = signatures([_unpack(x) for x in lists[a:b]], shared.value, percent)
-                pairs, sig, ids = _stars(sig, names[a:b][who])
+                pairs, sig, ids = _stars(sig, names[a:b][who], few)
                 part = (mix64(sig) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 sig, ids = sig[order], ids[order]  # still by signature within a part
@@ -308,26 +386,34 @@ def candidate_links(sets: DataFrame, hot: np.ndarray, parts: int, percent: int =
         for f in frames:
             found += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in f["data"][f["linked"]]]
             pairs += [_unpacked(x) for x in f["data"][~f["linked"]]]
+        met = np.zeros((0, 2), np.int64)
         if pairs:
-            found.append(_stars(*map(np.concatenate, zip(*pairs)))[0])
-        yield pd.DataFrame(spanning(np.concatenate(found)), columns=["a", "b"])
+            met, links = _meetings(*map(np.concatenate, zip(*pairs)), few)
+            found.append(links)
+        for sure, some in ((True, spanning(np.concatenate(found))), (False, met)):
+            yield pd.DataFrame(some, columns=["a", "b"]).assign(sure=sure)
 
     spread = sets.select("set_id", "shingles").mapInPandas(sign, "part int, linked boolean, data binary")
     # one task for each part, so that what a task holds does not grow with the data
-    return spread.repartitionById((parts - 1) // turns + 1, F.col("part")).select("linked", "data").mapInPandas(meet, "a long, b long")
+    return spread.repartitionById((parts - 1) // turns + 1, F.col("part")).select("linked", "data").mapInPandas(meet, "a long, b long, sure boolean")
 
 
-def candidate_families(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """On disk, (id, component): the families of sets that share signatures, directly or through others."""
+def candidate_families(sets: DataFrame, percent: int = PERCENT, apart: bool = False) -> DataFrame:
+    """On disk, (id, component): the families of sets that share signatures, directly or through others; with ``apart``, but for pairs that sketches tell apart."""
     total = sets.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).first()
     parts = max(1, int((total["s"] or 0) * 0.6 / PART_SIGNATURES) + 1)
     turns = min(TURNS, 1 + parts // TURN_PARTS)
     hot, found = common_shingles(sets, total["n"]), []
+    drawn = sketches(sets) if apart else None
     for turn in range(turns):
         forget_shuffles(sets.sparkSession)  # the sample's, or the last turn's, before more signatures are shuffled
         found.append(staged(candidate_links(sets, hot, parts, percent, turn, turns), "candidates"))
-    families = staged(components(reduce(DataFrame.union, found)), "families")
-    discard(*found)
+        if apart:
+            forget_shuffles(sets.sparkSession)
+            met, found[-1] = found[-1], staged(possible_links(found[-1], drawn, percent), "candidates")
+            discard(met)
+    families = staged(components(reduce(DataFrame.union, [x.select("a", "b") for x in found])), "families")
+    discard(*found, *([drawn] if apart else []))
     return families
 
 
@@ -350,7 +436,7 @@ def families_apart(sets: DataFrame, families: DataFrame, percent: int = PERCENT,
         done.append(families.join(of_large, "id", "left_anti"))
         members = of_large.withColumnRenamed("id", "set_id")
         own = staged(only_ids(sets, "set_id", members).join(members, "set_id", "left_semi").dropDuplicates(["set_id"]), "large-family-sets")
-        families, before = candidate_families(own, percent), many
+        families, before = candidate_families(own, percent, True), many
         discard(own)
     return reduce(DataFrame.unionByName, done, families)
 
@@ -519,7 +605,7 @@ def _classes(docs: DataFrame, percent: int, shingle: int, block: int, block_shin
     all_rows = set_ids(docs, shingle)
     rows = staged(all_rows.drop("check", "shingles"), "set-rows")
     sets = all_rows.filter(F.col("shingles").isNotNull()).select("set_id", "n_shingles", "shingles")
-    families = families_apart(sets, candidate_families(sets, percent), percent, block)
+    families = families_apart(sets, candidate_families(sets, percent, True), percent, block)
     links = verified_links(sets, families, percent, block, block_shingles, (all_rows,))
     classes = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))

@@ -230,3 +230,25 @@ def test_near_duplicate_candidates_in_turns_and_families_apart(spark, monkeypatc
     assert largest(apart) <= 16
     got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, block=16).collect()}
     assert got == {**{k: k for k in range(400)}, **{k: 1000 for k, _ in near}}
+
+
+def test_near_duplicates_that_meet_by_chance_are_no_family(spark, monkeypatch):
+    """Few sets that share a phrase are told apart before they are moved; sketches keep every similar pair."""
+    from sqlassay.llm import jaccard
+
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    texts = {k: f"{own(k)} alpha beta gamma delta epsilon zeta eta theta iota kappa k{k // 10}" for k in range(30)} | {100: own(100), 101: own(100) + " end"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    names = {r["set_id"]: r["doc_id"] for r in jaccard.set_ids(docs).collect()}
+    compared, own_links = [], jaccard.verified_links
+    monkeypatch.setattr(jaccard, "verified_links", lambda sets, families, *a: (compared.extend(r["id"] for r in families.collect()), own_links(sets, families, *a))[1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {**{k: k for k in texts}, 101: 100} and {names[k] for k in compared} == {100, 101}
+    rng, pairs = np.random.default_rng(3), []
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, len(a) // 8 + 1)], rng.integers(0, 2**63, rng.integers(0, len(a) // 8 + 2)).astype(np.uint64)]))
+        pairs.append((a, b) if rng.random() < 0.5 else (b, a))
+    frame = spark.createDataFrame([(k, len(a), jaccard.sketch(a), len(b), jaccard.sketch(b), jaccard.similar(a, b)) for k, (a, b) in enumerate(pairs) if len(b)], "k int, m long, x binary, n long, y binary, similar boolean")
+    got = frame.withColumn("may", jaccard._may_link(80)("m", "x", "n", "y")).collect()
+    assert sum(r["similar"] for r in got) > 50 and all(r["may"] for r in got if r["similar"])
